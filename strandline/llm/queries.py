@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from strandline.llm.bpe import digests
+from strandline.llm.decontaminate import contaminated
 from strandline.llm.exact_dedup import exact_dedup
+from strandline.llm.language import language_id
 from strandline.llm.near_dedup import near_dedup
 
 
@@ -10,15 +15,33 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_bpe(spark, sf_dir):
+    return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_decontaminate(spark, sf_dir):
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash_near_dedup(spark, sf_dir):
     return near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark, sf_dir):
+    return language_id(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op10_exact_dedup)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_decontaminate, op5_simhash_near_dedup, op7_language_id, op10_exact_dedup, pipeline)}
 
 SQL = {
     "op10_exact_dedup": r"""
