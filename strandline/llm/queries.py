@@ -9,6 +9,15 @@ from strandline.llm.decontaminate import contaminated
 from strandline.llm.exact_dedup import exact_dedup
 from strandline.llm.language import language_id
 from strandline.llm.near_dedup import near_dedup
+from strandline.llm.pii import pseudonymise
+from strandline.llm.substring_dedup import repeated_passages
+from strandline.llm.token_counts import section_token_counts
+from strandline.llm.toxicity import toxicity
+from strandline.llm.url_filter import judge
+
+BPE = "byte_bpe_50k.tiktoken"
+#: A stand-in: a deployment passes its own secret.
+PII_KEY = "demonstration key"
 
 
 def _table(spark, sf_dir, name):
@@ -16,7 +25,15 @@ def _table(spark, sf_dir, name):
 
 
 def op1_byte_bpe(spark, sf_dir):
-    return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), public_tokenizers.PATTERN)
+
+
+def op2_url_filter(spark, sf_dir):
+    return judge(_table(spark, sf_dir, "pages"))
+
+
+def op3_pii_pseudonyms(spark, sf_dir):
+    return pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY)
 
 
 def op4_decontaminate(spark, sf_dir):
@@ -27,10 +44,22 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark, sf_dir):
     return language_id(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_token_counts(spark, sf_dir):
+    return section_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), public_tokenizers.PATTERN)
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +70,10 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_decontaminate, op5_simhash_near_dedup, op7_language_id, op10_exact_dedup, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_url_filter, op3_pii_pseudonyms, op4_decontaminate, op5_simhash_near_dedup, op6_substring_dedup, op7_language_id, op8_token_counts, op9_toxicity, op10_exact_dedup, pipeline)
+}
 
 SQL = {
     "op10_exact_dedup": r"""
