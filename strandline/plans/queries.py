@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.plans import names_queries
+from strandline.plans import evidence_queries, names_queries
 
-QUERIES = dict(names_queries.QUERIES)
-SQL = dict(names_queries.SQL)
+QUERIES = names_queries.QUERIES | evidence_queries.QUERIES
+SQL = names_queries.SQL | evidence_queries.SQL
