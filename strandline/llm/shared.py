@@ -35,7 +35,7 @@ def crc_part(column: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def slices(texts, limit: int = 4 << 20):
+def slices(texts, limit: int = 1 << 20):
     """Cut an Arrow string array into (start, end) row ranges of about `limit` bytes; a longer text is a range alone."""
     import numpy as np
     import pyarrow.compute as pc
