@@ -58,10 +58,11 @@ def detect_virus(records: DataFrame, registry: DataFrame) -> DataFrame:
 def annotate(records: DataFrame, reference: Reference, config: LiftConfig | None = None, hsps: DataFrame | None = None) -> Run:
     """records: schema.RECORD. hsps: alignments made elsewhere; without them the native search runs on the records to lift.
 
-    Records without a sequence can be neither read nor lifted: they are errors, and the others go on.
+    Records without a sequence can be neither read nor lifted: they are errors, and the others go on. A record_id stands for
+    one record; of records that repeat it one is annotated.
     """
     config = config or LiftConfig(codons=reference.level == "CDS")
-    good = records.where("seq is not null and seq_len > 0")
+    good = records.where("seq is not null and seq_len > 0").dropDuplicates(["record_id"])
     errors = records.where("seq is null or coalesce(seq_len, 0) = 0").select("record_id", F.lit("no sequence").alias("error"))
     rows = features_of(good, reference.level)
     if reference.lookup is not None:
