@@ -102,10 +102,13 @@ def gap_filled(lifted: DataFrame) -> DataFrame:
 
     Neighbours touch in the reference; only + strand features; the gap is 0.5 to 1.5 times the reference's length.
     """
-    rows = lifted.withColumn("_open", F.col("status").isin("no_hit", "translation_fail") & F.col("query_start").isNull() & F.col("query_end").isNull() & (F.coalesce("strand", F.lit("+")) == "+"))
-    left = lifted.groupBy("record_id", (F.col("ref_end") + 1).alias("ref_start")).agg(F.max_by("query_end", "feature_idx").alias("_l"))
-    right = lifted.groupBy("record_id", (F.col("ref_start") - 1).alias("ref_end")).agg(F.max_by("query_start", "feature_idx").alias("_r"))
-    rows = rows.join(left, ["record_id", "ref_start"], "left").join(right, ["record_id", "ref_end"], "left")
+    # A record's features are few: each row sees them all through one window, and the lift behind it is computed once.
+    near = F.collect_list(F.struct("feature_idx", "ref_start", "ref_end", "query_start", "query_end")).over(Window.partitionBy("record_id"))
+    last = lambda test, value: F.array_max(F.transform(F.filter("_near", test), lambda x: F.struct(x["feature_idx"], x[value].alias("v"))))["v"]
+    rows = lifted.withColumn("_near", near).withColumns({
+        "_open": F.col("status").isin("no_hit", "translation_fail") & F.col("query_start").isNull() & F.col("query_end").isNull() & (F.coalesce("strand", F.lit("+")) == "+"),
+        "_l": last(lambda x: x["ref_end"] + 1 == F.col("ref_start"), "query_end"), "_r": last(lambda x: x["ref_start"] - 1 == F.col("ref_end"), "query_start"),
+    }).drop("_near")
     gap, size = F.col("_r") - F.col("_l") - 1, F.col("ref_end") - F.col("ref_start") + 1
     fill = F.coalesce(F.col("_open") & (gap >= 1) & gap.between(0.5 * size, 1.5 * size), F.lit(False))
     return rows.withColumns({
