@@ -60,7 +60,7 @@ def batches(rows: DataFrame, size: int = 200) -> DataFrame:
 
 def keywords(virus: str, text: str):
     """Column: the virus name and the comma- or line-separated keywords, distinct, in order."""
-    return first_wins(F.concat(F.array(F.lit(virus)), F.transform(F.split(F.lit(text), "[,\\n]+"), F.trim)))
+    return first_wins(F.concat(F.array(F.lit(virus)), F.transform(F.split(F.lit(text), "[,\\n]+"), lambda k: F.trim(k))))
 
 
 def longest_keyword(registry: DataFrame) -> DataFrame:

@@ -101,3 +101,20 @@ def accuracy(rows: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "ok_rescued").alias("rescued"), F.count_if(F.col("status") == "invalid_boundaries").alias("invalid"), F.count_if(F.col("status") == "no_hit").alias("no_hit"),
         F.count_if(F.col("status").startswith("low_coverage")).alias("low_coverage"), F.count_if(F.col("match_note") == "size_mismatch").alias("size_mismatch"), F.count_if(F.col("match_note") == "not_in_actual").alias("not_in_actual"))
     return out.withColumn("perfect_pct", F.when(F.col("matched") > 0, rounded(F.col("perfect") * 100 / F.col("matched"), 1)).otherwise(0.0))
+
+
+def fasta_counts(lifted: DataFrame, genes: list[str], approved: DataFrame, **limits) -> DataFrame:
+    """(candidates, skipped) among the features of the chosen genes."""
+    mine = lifted.where(F.col("gene").isin(genes)).agg(F.count("*").alias("all"))
+    kept = fasta_rows(lifted, genes, approved, **limits).agg(F.count("*").alias("candidates"))
+    return mine.crossJoin(kept).select("candidates", (F.col("all") - F.col("candidates")).alias("skipped"))
+
+
+def display_frame(lifted: DataFrame, reference_names: DataFrame) -> DataFrame:
+    """What a reader of results sees: the reference's gene names, coverage to three places."""
+    return display_rows(lifted, reference_names).select("record_id", "gene", "status", "method", "query_start", "query_end", "strand", rounded(F.col("coverage"), 3).alias("coverage"), "identity")
+
+
+def percent(x: Column, places: int = 1) -> Column:
+    """A share as text with a percent sign; a dash where it is null."""
+    return F.coalesce(F.format_string(f"%.{places}f%%", x * 100), F.lit("-"))

@@ -347,3 +347,32 @@ def raw_name_tsv(t):
     case when rescue_offset is null then '' else coalesce(rescue_target, 'start') || ' ' || printf('%+d', rescue_offset) || ' bp' end as rescue from (select * replace (case when has_stop_codon is null then null else has_stop_codon end as has_stop_codon) from lifted) where has_stop_codon is not null""", "lifted")
 def boundary_text(t):
     return t.lifted.where("has_stop_codon is not null").withColumn("rescue_action", F.lit(None).cast("string")).select("record_id", "feature_idx", summary.boundary_check().alias("boundary"), summary.rescue_text().alias("rescue"))
+
+
+@query(f"""with {SHOWN}, m as (select * from sh where gene in ('Spike', 'E', 'Nucleocapsid')) select count(*) filter (sequence <> '' and ((status = 'invalid_boundaries' and coverage > 0.8) or (status in ('ok', 'direct', 'ok_rescued', 'ok_extrapolated') and coverage >= 0.5))) as candidates,
+    count(*) - count(*) filter (sequence <> '' and ((status = 'invalid_boundaries' and coverage > 0.8) or (status in ('ok', 'direct', 'ok_rescued', 'ok_extrapolated') and coverage >= 0.5))) as skipped from m""", "lifted", "records")
+def fasta_counts(t):
+    rows = _displayed(t)
+    return summary.fasta_counts(rows, ["Spike", "E", "Nucleocapsid"], rows.where("status = 'invalid_boundaries' and coverage > 0.8").select(summary.export_key().alias("key")))
+
+
+@query(f"select record_id, coalesce(v.shown, l.name) as gene, status, method, query_start, query_end, strand, floor(coverage * 1000 + 0.5) / 1000 as coverage, identity from lifted l left join {NAMES} on l.name = v.name", "lifted")
+def display_frame(t):
+    return summary.display_frame(t.lifted, t.spark.createDataFrame([("S", "Spike"), ("ORF1a", "Replicase A"), ("N", "Nucleocapsid")], "name string, shown string"))
+
+
+@query("""with b as (select record_id, count(*) as n, bool_or(method = 'direct') as d, bool_or(method = 'tblastn') as t from lifted group by record_id) select r.record_id, case when error is not null or n is null then 'other' when d and t then 'mixed' when d then 'direct' when t then 'tblastn' else 'other' end as bucket from records r left join b on r.record_id = b.record_id left join errors e on r.record_id = e.record_id""", "lifted", "records", "errors")
+def method_buckets(t):
+    return summary.record_overview(t.records, t.lifted, t.errors).select("record_id", summary.method_bucket().alias("bucket"))
+
+
+@query("select record_id, feature_idx, hsp_idx, case when f is not null then case when f < 0 then '-' else '+' end when a <= b then '+' else '-' end as side from (select *, case when hsp_idx % 2 = 0 then align_length % 7 - 3 end as f, case when align_length % 3 = 0 then s_hi else s_lo end as a, case when align_length % 3 = 0 then s_lo else s_hi end as b from hsps)", "hsps")
+def hsp_strand_side(t):
+    n, turned = F.col("align_length"), F.col("align_length") % 3 == 0
+    side = hsp.hsp_strand(F.when(F.col("hsp_idx") % 2 == 0, n % 7 - 3), F.when(turned, F.col("s_hi")).otherwise(F.col("s_lo")), F.when(turned, F.col("s_lo")).otherwise(F.col("s_hi")))
+    return t.hsps.select("record_id", "feature_idx", "hsp_idx", side.alias("side"))
+
+
+@query("select record_id, feature_idx, printf('%.1f%%', coverage * 100) as coverage from lifted", "lifted")
+def percent_text(t):
+    return t.lifted.select("record_id", "feature_idx", summary.percent(F.col("coverage")).alias("coverage"))

@@ -277,3 +277,39 @@ def containment_split(t):
 
 def spans(t):
     return t.features.join(t.records.select("record_id", "seq"), "record_id").select("record_id", "ord", cut(F.col("seq"), F.col("start"), F.col("end"), F.col("strand")).alias("sequence"))
+
+
+@query(f"""with {NAMED}, g as (select record_id, count(*) filter (type = 'mat_peptide') as m, count(*) filter (type = 'CDS') as c, count(*) filter (type = 'CDS' and (lower(shown) in ('', 'unknown') or contains(lower(shown), 'polyprotein'))) as s from named where record_id like '%7' or type = 'CDS' group by record_id)
+    select record_id, case when m > 0 then 'mat_peptide' else 'CDS' end as type from g where m > 0 or (c > 0 and not (c = 1 and s = 1))""", "features")
+def level_by_type(t):
+    return routing.level_without_lookup(named_features(t).where("record_id like '%7' or type = 'CDS'"))
+
+
+@query(f"""with x as (select p_partkey, v, k, {d_norm("v")} as n from (select p_partkey, trim(unnest(string_split_regex(p_name || ',' || p_brand || chr(10) || ' ' || upper(p_name) || ',,' || p_type, '[,\\n]+'))) as v, generate_subscripts(string_split_regex(p_name || ',' || p_brand || chr(10) || ' ' || upper(p_name) || ',,' || p_type, '[,\\n]+'), 1) as k from part))
+    select p_partkey, string_agg(v, '|' order by k) as keywords from (select *, row_number() over (partition by p_partkey, n order by k) as r from x where n <> '') where r = 1 group by p_partkey""")
+def keyword_split(t):
+    text = F.concat(F.col("p_name"), F.lit(","), F.col("p_brand"), F.lit("\n "), F.upper("p_name"), F.lit(",,"), F.col("p_type"))
+    return t.part.select("p_partkey", F.array_join(N.first_wins(F.transform(F.split(text, "[,\\n]+"), lambda k: F.trim(k))), "|").alias("keywords"))
+
+
+@query("""with d as (select v as raw_value, case i % 3 when 0 then 'S' when 1 then 'M' else 'N' end as canonical, case i % 4 when 0 then 'save' when 1 then 'ignore' else 'skip' end as action, i from pool),
+    s as (select raw_value, canonical, i + 1048576 as ord, """ + d_norm("raw_value") + """ as n from d where action = 'save'), known as (select canonical, """ + d_norm("alias") + """ as n from aliases union select canonical, """ + d_norm("canonical") + """ from aliases)
+    select canonical, alias, ord from aliases union all select canonical, raw_value, ord from s where (canonical, n) not in (select canonical, n from known)""", "pool", "aliases")
+def decisions_applied(t):
+    from strandline.operators.suggest import applied
+
+    i = F.col("i")
+    decisions = t.pool.select(F.col("v").alias("raw_value"), F.when(i % 3 == 0, "S").when(i % 3 == 1, "M").otherwise("N").alias("canonical_name"), F.when(i % 4 == 0, "save").when(i % 4 == 1, "ignore").otherwise("skip").alias("action"), i.alias("ord"))
+    return applied(t.aliases, t.excluded, decisions)[0]
+
+
+@query(f"""select ord, n.canonical as canonical_override, coalesce(n.canonical, s.canonical_name) as canonical_name from suggestions s left join (select distinct canonical from aliases) n on {d_norm("s.raw_value")} = {d_norm("n.canonical")}""", "suggestions", "aliases")
+def seed_override(t):
+    from strandline.operators import suggest
+
+    return suggest.seed_override(t.suggestions, t.aliases).select("ord", "canonical_override", "canonical_name")
+
+
+@query("select virus, arg_max(keyword, (length(keyword), -kw_ord)) as keyword from registry group by virus", "registry")
+def longest_keyword(t):
+    return crawl.longest_keyword(t.registry)
