@@ -79,15 +79,17 @@ def exact_dedup(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     rows = identities(docs, size)
     best = rows.groupBy("blocks", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("points", F.expr("~doc_id").alias("i"), F.expr("~row").alias("r"))).alias("best"))
     best = best.select(F.col("blocks").alias("b"), F.col("name").alias("m"), "group_size", F.expr("~best.i").alias("keep_id"), F.expr("~best.r").alias("keep_row"))
+    # As a table of its own this side leaves the join two plain exchanges, so a group of any size is split over tasks.
+    best = stored(best)
     out = rows.join(best, (F.col("blocks") == F.col("b")) & (F.col("name") == F.col("m")))
     return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("points").cast("long").alias("n_points"))
 
 
 def drop_copies(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     """The rows of docs that stay, with all their columns. Rows that repeat with the same doc_id and text become one."""
-    kept = cut(exact_dedup(docs, size).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_n")))
-    rows = docs.withColumns({"_s": F.sha2(normalised(), 256), "_p": F.length(F.coalesce("text", F.lit(""))).cast("long")})
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")) & (F.col("_p") == F.col("_n")), "left_semi")
+    kept = cut(exact_dedup(docs, size).where("kept").select(F.col("doc_id").alias("__own_id"), F.col("text_sha256").alias("__own_sha"), F.col("n_points").alias("__own_n")))
+    rows = docs.withColumns({"__own_s": F.sha2(normalised(), 256), "__own_p": F.length(F.coalesce("text", F.lit(""))).cast("long")})
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__own_id")) & (F.col("__own_s") == F.col("__own_sha")) & (F.col("__own_p") == F.col("__own_n")), "left_semi")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "_s", "_p"])
-    return rows.drop("_s", "_p")
+        rows = rows.dropDuplicates(["doc_id", "__own_s", "__own_p"])
+    return rows.drop("__own_s", "__own_p")
