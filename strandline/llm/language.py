@@ -19,10 +19,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import crc_part, slices
+from strandline.llm.shared import crc_part, sampled, slices
 
 WORD, LONGEST, UNKNOWN, MARK = 48, 16, 1e-8, "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -125,9 +125,11 @@ def parts(text: str) -> list[str]:
 
 def fit(labelled: DataFrame, path: str, per_language: int = 400, max_points: int = 6000, rounds: int = 3) -> tuple[list[str], np.ndarray]:
     """(languages, table of piece probabilities). labelled has doc_id, text and lang; at most per_language rows each are read."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id")
-    known = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(f"lang is not null and text is not null and length(text) <= {max_points}")
-    rows = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("lang", "text").collect()
+    known = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null")
+    chosen = sampled(known.select("doc_id", "lang", F.length("text").alias("size")).where(f"size <= {max_points}").drop("size"), per_language, 7, "lang")
+    # The few chosen rows are read to the driver; their texts are then picked out without a shuffle of all texts.
+    ids = [r["doc_id"] for r in chosen.select("doc_id").distinct().collect()]
+    rows = known.where(F.col("doc_id").isin(ids) & (F.length("text") <= max_points)).select("lang", "text").limit(2 * len(ids)).collect() if ids else []
     languages = sorted({r["lang"] for r in rows})
     size = len(vocabulary(path)[0])
     table = np.full((size + 1, max(1, len(languages))), 1.0 / size)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,25 @@ def crc_part(column: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+def sampled(rows: DataFrame, n: int, salt: int, by: str | None = None) -> DataFrame:
+    """The n rows (of each value of `by`) with the least hash of doc_id, for any number of rows and partitions.
+
+    Rows are first thinned to about 8 n by that same hash, from a count, so that the final choice never gathers n rows
+    from each of very many tasks. `by` must have few values (languages): their counts are read to the driver.
+    """
+    scale = 1 << 30
+    h = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(scale))
+    share = lambda total: int(min(1.0, 8 * n / max(1, total)) * scale)
+    if by is None:
+        return rows.where(h < share(rows.count())).orderBy(h, *rows.columns).limit(n)
+    counts = rows.groupBy(by).count().collect()
+    if not counts:
+        return rows
+    limit = F.create_map(*(F.lit(x) for r in counts for x in (r[by], share(r["count"]))))
+    first = Window.partitionBy(by).orderBy(h, "doc_id")
+    return rows.where(h < F.try_element_at(limit, F.col(by))).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n).drop("_n")
+
+
 def slices(texts, limit: int = 1 << 20):
     """Cut an Arrow string array into (start, end) row ranges of about `limit` bytes; a longer text is a range alone."""
     import numpy as np

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import crc_part, slices
+from strandline.llm.shared import crc_part, sampled, slices
 
 #: Letters that a digit or symbol is commonly written for.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "%": "x"}
@@ -163,8 +163,10 @@ def word_table(docs: DataFrame, model, extra: tuple[str, ...] = ()) -> DataFrame
 
 def fit(docs: DataFrame, labels: DataFrame, model, sample: int = 40_000, features: int = 1000, rounds: int = 300) -> tuple[dict[str, float], float]:
     """(weight of each word, bias)."""
-    y = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("y")).where("y is not null and _id is not null").orderBy(F.xxhash64("_id", F.lit(11)), "_id", "y").limit(sample)
-    rows = docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id")).select("y", "text")
+    y = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("y is not null and doc_id is not null")
+    y = sampled(y, sample, 11).withColumnRenamed("doc_id", "_id")
+    # At most `sample` ids are broadcast, so the texts are not shuffled to pick a few of them.
+    rows = docs.select("doc_id", "text").join(F.broadcast(y), F.col("doc_id") == F.col("_id")).select("y", "text")
     table = word_table(rows, model, ("y",)).select(F.monotonically_increasing_id().alias("row"), "y", "words").persist()
     try:
         total = {r["y"]: r["n"] for r in table.groupBy("y").agg(F.count("*").alias("n")).collect()}
