@@ -122,5 +122,5 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The rows of docs that hold no item, with all their columns. Rows whose doc_id is null stay."""
-    gone = cut(contaminated(docs, items, containment).where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = cut(contaminated(docs, items, containment).where("doc_id is not null").select(F.col("doc_id").alias("__own_gone")).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col("__own_gone"), "left_anti")

