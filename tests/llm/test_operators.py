@@ -305,6 +305,26 @@ def test_passages_of_fifty_words_are_found_wherever_they_stand(spark):
     assert {r["doc_id"] for r in twice} == {0, 1, 2}
 
 
+def test_passages_of_50_to_59_words_are_found_whole(spark):
+    rng = random.Random(66)
+    vocabulary = ["".join(rng.choice(string.ascii_lowercase) for _ in range(7)) for _ in range(200_000)]
+    make = lambda n: prose(rng, n, vocabulary)
+    rows, where = [], {}
+    for i in range(300):
+        passage = make(50 + i % 10)
+        for j in range(2):
+            head = make(rng.randrange(1, 80))
+            rows.append((i * 10 + j, f"{head} {passage} {make(rng.randrange(1, 80))}"))
+            where[i * 10 + j] = (len(head) + 1, len(head) + 1 + len(passage), 50 + i % 10, j == 1)
+    got = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    assert {r["doc_id"]: (r["start"], r["end"], r["n_words"], r["removed"]) for r in got} == where and len(got) == len(where)
+    # Two later texts have more in common than the first has with them: what only they share goes once and stays once.
+    a, b, c = make(12), make(60), make(12)
+    got = substring_dedup.repeated_passages(docs(spark, [(1, f"{make(30)} {b} {make(30)}"), (2, f"{make(30)} {a} {b} {c} {make(30)}"), (3, f"{make(30)} {a} {b} {c} {make(30)}")])).collect()
+    covered = {d: sum(r["n_words"] for r in got if r["doc_id"] == d and r["removed"]) for d in (1, 2, 3)}
+    assert covered[1] == 0 and 60 <= covered[2] < 84 <= covered[3] and len([r for r in got if r["doc_id"] == 2 and not r["removed"]]) == 2
+
+
 def test_boundaries_are_window_minima():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
