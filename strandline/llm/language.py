@@ -1,14 +1,15 @@
 """Language identification by segmentation-marginalised unigrams over a fixed public vocabulary.
 
 Each language has a probability for every piece of the vocabulary, learnt by expectation maximisation on a bounded sample
-of labelled documents (per_language each, of at most max_points code points, the least by a hash of doc_id). A word's
-likelihood under a language is the sum over all its segmentations into pieces, by the forward algorithm; a text's is the
+of labelled documents (per_language each, of any length, the least by a hash of doc_id). Their words are counted on the
+executors; only the counts of distinct words reach the driver. A word's likelihood under a language is the sum over all its segmentations into pieces, by the forward algorithm; a text's is the
 product over its words, and its score the posterior of the best language under equal priors.
 
 The forward pass runs once for each distinct word of a block, all languages and all words of a length together; texts are
 then counted against it. Words are runs of letters, lower-cased; a longer run than WORD is read in parts.
 
-Defined results: null texts and texts without a letter are `und` with score 0; rows with a null lang teach nothing; with
+Defined results: null texts and texts without a letter are `und` with score 0; rows with a null doc_id or lang teach nothing, and rows
+that repeat a doc_id and a lang teach once, by the text with the least hash; with
 no labelled row at all every text is `und`; repeated rows give repeated rows; an empty table gives an empty result.
 """
 
@@ -123,25 +124,37 @@ def parts(text: str) -> list[str]:
     return [w for x in found for w in ([x] if len(x) <= WORD else [x[i : i + WORD] for i in range(0, len(x), WORD)])]
 
 
-def fit(labelled: DataFrame, path: str, per_language: int = 400, max_points: int = 6000, rounds: int = 3) -> tuple[list[str], np.ndarray]:
-    """(languages, table of piece probabilities). labelled has doc_id, text and lang; at most per_language rows each are read."""
-    known = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null")
-    chosen = sampled(known.select("doc_id", "lang", F.length("text").alias("size")).where(f"size <= {max_points}").drop("size"), per_language, 7, "lang")
-    # The few chosen rows are read to the driver; their texts are then picked out without a shuffle of all texts.
-    ids = [r["doc_id"] for r in chosen.select("doc_id").distinct().collect()]
-    rows = known.where(F.col("doc_id").isin(ids) & (F.length("text") <= max_points)).select("lang", "text").limit(2 * len(ids)).collect() if ids else []
-    languages = sorted({r["lang"] for r in rows})
+def word_counts(rows: DataFrame) -> DataFrame:
+    """lang, word, n: how often each word stands in the texts of a language. The empty word stands for the language itself."""
+
+    def run(batches):
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                counts = {"": 1}
+                for w in parts(text or ""):
+                    counts[w] = counts.get(w, 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), pa.array(list(counts)), pa.array(list(counts.values()))], names=["lang", "word", "n"])
+
+    return rows.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def fit(labelled: DataFrame, path: str, per_language: int = 400, rounds: int = 3) -> tuple[list[str], np.ndarray]:
+    """(languages, table of piece probabilities). labelled has doc_id, text and lang; at most per_language documents each teach."""
+    known = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and doc_id is not null")
+    chosen = sampled(known.select("doc_id", "lang").distinct(), per_language, 7, "lang").withColumnsRenamed({"doc_id": "_id", "lang": "_lang"})
+    # The few chosen ids are broadcast, so their texts are picked out without a shuffle of all texts.
+    rows = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+    rows = rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    languages, seen = [], []
+    for r in word_counts(rows).orderBy("lang", "word").toLocalIterator():
+        if not languages or languages[-1] != r["lang"]:
+            languages.append(r["lang"])
+            seen.append({})
+        if r["word"]:
+            seen[-1][r["word"]] = r["n"]
     size = len(vocabulary(path)[0])
     table = np.full((size + 1, max(1, len(languages))), 1.0 / size)
     table[size] = 0
-    seen: list[dict[str, int]] = []
-    for x in languages:
-        counts: dict[str, int] = {}
-        for r in rows:
-            if r["lang"] == x:
-                for w in parts(r["text"]):
-                    counts[w] = counts.get(w, 0) + 1
-        seen.append(counts)
     for _ in range(rounds if languages else 0):
         got = np.zeros_like(table)
         for k, counts in enumerate(seen):

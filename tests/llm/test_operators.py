@@ -381,6 +381,18 @@ def test_language_id(spark):
     assert (unlabelled["lang_pred"], unlabelled["score"]) == ("und", 0.0)
 
 
+def test_long_documents_teach_and_repeated_ids_teach_once(spark):
+    rng = random.Random(77)
+    kinds = {"en": ["the", "house", "running", "with", "nation", "thing"], "de": ["der", "haus", "laufend", "mit", "straße", "ding"]}
+    rows = [(i, prose(rng, 30, kinds["en"]), "en") for i in range(40)] + [(100 + i, prose(rng, 2000, kinds["de"]), "de") for i in range(20)]
+    assert min(len(t) for _, t, x in rows if x == "de") > 6000
+    languages, _ = language.fit(docs(spark, rows), PIECES)
+    assert languages == ["de", "en"]
+    # A repeated row changes nothing, however often it is repeated.
+    once, many = (language.fit(docs(spark, rows + rows[:1] * n), PIECES, per_language=10) for n in (0, 500))
+    assert once[0] == many[0] and np.array_equal(once[1], many[1])
+
+
 # ---- 8 token counts
 
 
