@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions.names import first_wins, slug
 
+MOST_KEYWORDS = 10_000
+
 
 def accessions(lines: DataFrame, column: str = "value") -> DataFrame:
     """One row for each accession of the lines; commas and white space separate, lines that begin with # are comments."""
@@ -18,9 +20,11 @@ def keyword_match(records: DataFrame, text: str, registry: DataFrame) -> DataFra
     """records with virus: the first registry entry, by (ord, kw_ord), one of whose keywords the text holds.
 
     The registry is a few hundred rows of configuration; it is read to the driver and becomes one expression, so records
-    are not shuffled.
+    are not shuffled. Raises when it has over MOST_KEYWORDS rows.
     """
-    rows = registry.orderBy("ord", "kw_ord").limit(10_000).collect()
+    rows = registry.orderBy("ord", "kw_ord").limit(MOST_KEYWORDS + 1).collect()
+    if len(rows) > MOST_KEYWORDS:
+        raise ValueError(f"over {MOST_KEYWORDS} registry rows")
     hit = F.lit(None).cast("string")
     for r in reversed(rows):
         if r["keyword"]:

@@ -81,3 +81,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert "test_virus" in " ".join(p.name for p in (tmp_path / "split0/species").iterdir())
     main(["summary", "--query", str(tmp_path / "ref.gb")])
     assert "total" in capsys.readouterr().out
+
+
+def test_configuration_over_its_limit_raises(spark):
+    import pytest
+
+    from strandline.operators import crawl, search
+
+    registry = spark.range(10_001).selectExpr("cast(id as int) as ord", "0 as kw_ord", "concat('word', id) as keyword", "'v' as virus")
+    with pytest.raises(ValueError, match="registry rows"):
+        crawl.keyword_match(spark.createDataFrame([("word10000",)], "text string"), "text", registry)
+    proteins = spark.range(100_001).selectExpr("id as feature_idx", "'MKLV' as protein")
+    with pytest.raises(ValueError, match="proteins"):
+        search.search(spark.createDataFrame([], "record_id string, seq string"), proteins)
