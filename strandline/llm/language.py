@@ -1,16 +1,20 @@
 """Language identification by segmentation-marginalised unigrams over a fixed public vocabulary.
 
 Each language has a probability for every piece of the vocabulary, learnt by expectation maximisation on a bounded sample
-of labelled documents (per_language each, of any length, the least by a hash of doc_id). Their words are counted on the
-executors; only the counts of distinct words reach the driver. A word's likelihood under a language is the sum over all its segmentations into pieces, by the forward algorithm; a text's is the
-product over its words, and its score the posterior of the best language under equal priors.
+of labelled documents: of the `languages` values of lang with most labelled documents (equal ones by name), per_language
+documents each, of any length, the least by a hash of doc_id. Words are counted and each language is fitted on the
+executors; one array of piece counts for each language reaches the driver. A word's likelihood under a language is the sum
+over all its segmentations into pieces, by the forward algorithm; a text's is the product over its words, and its score the
+posterior of the best language under equal priors.
 
 The forward pass runs once for each distinct word of a block, all languages and all words of a length together; texts are
-then counted against it. Words are runs of letters, lower-cased; a longer run than WORD is read in parts.
+then counted against it. Words are runs of letters, lower-cased, and are scored whole, however long; only what is learnt
+is learnt from runs cut after every WORD letters.
 
-Defined results: null texts and texts without a letter are `und` with score 0; rows with a null doc_id or lang teach nothing, and rows
-that repeat a doc_id and a lang teach once, by the text with the least hash; with
-no labelled row at all every text is `und`; repeated rows give repeated rows; an empty table gives an empty result.
+Defined results: null texts and texts without a letter are `und` with score 0; rows with a null doc_id or lang teach
+nothing, and rows that repeat a doc_id and a lang teach once, by the text with the least hash; of languages that score
+alike the first by name is named; with no labelled row at all every text is `und`; repeated rows give repeated rows; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,22 +29,22 @@ from pyspark.sql import functions as F
 
 from strandline.llm.shared import crc_part, sampled, slices
 
-WORD, LONGEST, UNKNOWN, MARK = 48, 16, 1e-8, "▁"
+WORD, UNKNOWN, MARK = 48, 1e-8, "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 @functools.cache
-def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes of the pieces, their numbers): pieces of lower-case letters, with or without the word mark."""
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted hashes of the pieces, their numbers, the longest piece's length): lower-case letters, with or without the word mark."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    pieces = sorted(p for p in pieces if 0 < len(p) <= LONGEST and (p == MARK or p.lstrip(MARK).isalpha()) and MARK not in p[1:])
+    pieces = sorted(p for p in pieces if p and (p == MARK or p.lstrip(MARK).isalpha()) and MARK not in p[1:])
     hashes = np.array([_hash(p) for p in pieces], np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], order
+    return hashes[order], order, max(map(len, pieces))
 
 
 def _hash(piece: str) -> int:
@@ -52,10 +56,10 @@ def _hash(piece: str) -> int:
 
 def lookups(path: str, words: np.ndarray):
     """words: (count, length) code points. Yields (piece length, (count, starts) piece numbers or -1)."""
-    hashes, numbers = vocabulary(path)
+    hashes, numbers, longest = vocabulary(path)
     n = words.shape[1]
     h = np.zeros(words.shape, np.uint64)
-    for size in range(1, min(n, LONGEST) + 1):
+    for size in range(1, min(n, longest) + 1):
         h = h[:, : n - size + 1] * _MUL + words[:, size - 1 :] + np.uint64(1)
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         yield size, np.where(hashes[at] == h, numbers[at], -1)
@@ -76,16 +80,29 @@ def _edges(path, words, table):
         yield size, numbers, p
 
 
-def forward(path: str, words: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """(count, languages) log likelihood of each word, all segmentations summed. table's last row is zeros."""
-    n = words.shape[1]
-    edges = [(size, p) for size, _, p in _edges(path, words, table)]
-    alpha = np.zeros((n + 1, len(words), table.shape[1]))
-    alpha[0] = 1
-    for j in range(1, n + 1):
-        for size, p in edges[:j]:
-            alpha[j] += alpha[j - size] * p[:, j - size]
-    return np.log(np.maximum(alpha[n], 1e-300))
+def forward(path: str, words: np.ndarray, table: np.ndarray, step: int = 4096) -> np.ndarray:
+    """(count, languages) log likelihood of each word, all segmentations summed. table's last row is zeros.
+
+    Long words are read `step` letters at a time; the sums of as many letters as the longest piece has are carried on, and
+    scaled so that they do not vanish.
+    """
+    n, longest = words.shape[1], vocabulary(path)[2]
+    alpha = np.zeros((longest, len(words), table.shape[1]))
+    alpha[-1] = 1
+    log = np.zeros(alpha.shape[1:])
+    for s in range(0, n, step):
+        low, m = max(0, s - longest + 1), min(step, n - s)
+        edges = [(size, p) for size, _, p in _edges(path, words[:, low : s + m], table)]
+        alpha = np.concatenate([alpha[-longest:], np.zeros((m, *alpha.shape[1:]))])
+        for k in range(1, m + 1):
+            j = longest - 1 + k
+            for size, p in edges[: s + k]:
+                alpha[j] += alpha[j - size] * p[:, s + k - size - low]
+            if k % longest == 0 or k == m:
+                scale = np.maximum(alpha[j - longest + 1 : j + 1].max(0), 1e-300)
+                alpha[j - longest + 1 : j + 1] /= scale
+                log += np.log(scale)
+    return log + np.log(np.maximum(alpha[-1], 1e-300))
 
 
 def expected(path: str, words: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -119,9 +136,12 @@ def by_length(words: list[str], limit: int = 20_000):
             yield part, matrix([words[i] for i in part.tolist()])
 
 
+def runs(text: str) -> list[str]:
+    return LETTERS.findall(text.lower())
+
+
 def parts(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    return [w for x in found for w in ([x] if len(x) <= WORD else [x[i : i + WORD] for i in range(0, len(x), WORD)])]
+    return [x[i : i + WORD] for x in runs(text) for i in range(0, len(x), WORD)]
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -138,56 +158,63 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, path: str, per_language: int = 400, rounds: int = 3) -> tuple[list[str], np.ndarray]:
+def piece_counts(counts: DataFrame, path: str, rounds: int) -> DataFrame:
+    """lang, used (float64 array as bytes): expected uses of every piece after the rounds, each language fitted by a task."""
+
+    def run(key, rows):
+        size = len(vocabulary(path)[0])
+        at = [i for i, w in enumerate(rows.column("word").to_pylist()) if w]
+        words, times = rows.column("word").take(pa.array(at, pa.int64())).to_pylist(), np.asarray(rows.column("n"), float)[at]
+        used = np.zeros(size + 1)
+        for _ in range(rounds):
+            table = np.append((used[:size] + 200 / size) / (used.sum() + 200), 0)[:, None]
+            used = np.zeros(size + 1)
+            for i, m in by_length(words):
+                used += expected(path, m, times[i], table)
+        return pa.table({"lang": pa.array([key[0].as_py()]), "used": pa.array([used.tobytes()], pa.binary())})
+
+    return counts.groupBy("lang").applyInArrow(run, "lang string, used binary")
+
+
+def fit(labelled: DataFrame, path: str, per_language: int = 400, rounds: int = 3, languages: int = 256) -> tuple[list[str], np.ndarray]:
     """(languages, table of piece probabilities). labelled has doc_id, text and lang; at most per_language documents each teach."""
     known = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and doc_id is not null")
-    chosen = sampled(known.select("doc_id", "lang").distinct(), per_language, 7, "lang").withColumnsRenamed({"doc_id": "_id", "lang": "_lang"})
+    chosen = sampled(known.select("doc_id", "lang").distinct(), per_language, 7, "lang", languages).withColumnsRenamed({"doc_id": "_id", "lang": "_lang"})
     # The few chosen ids are broadcast, so their texts are picked out without a shuffle of all texts.
     rows = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
     rows = rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    languages, seen = [], []
-    for r in word_counts(rows).orderBy("lang", "word").toLocalIterator():
-        if not languages or languages[-1] != r["lang"]:
-            languages.append(r["lang"])
-            seen.append({})
-        if r["word"]:
-            seen[-1][r["word"]] = r["n"]
     size = len(vocabulary(path)[0])
-    table = np.full((size + 1, max(1, len(languages))), 1.0 / size)
+    fitted = sorted(piece_counts(word_counts(rows), path, rounds).collect(), key=lambda r: r["lang"])
+    if not fitted:
+        return [], np.zeros((size + 1, 1))
+    used = np.stack([np.frombuffer(r["used"]) for r in fitted], 1)
+    total = used.sum(1, keepdims=True)
+    shared = (total + 0.1) / (total.sum() + 0.1 * size)
+    table = (used + 200 * shared) / (used.sum(0, keepdims=True) + 200)
     table[size] = 0
-    for _ in range(rounds if languages else 0):
-        got = np.zeros_like(table)
-        for k, counts in enumerate(seen):
-            words, times = list(counts), np.array(list(counts.values()), float)
-            for at, m in by_length(words):
-                got[:, k] += expected(path, m, times[at], table[:, k : k + 1])
-        total = got.sum(1, keepdims=True)
-        shared = (total + 0.1) / (total.sum() + 0.1 * size)
-        table = (got + 200 * shared) / (got.sum(0, keepdims=True) + 200)
-        table[size] = 0
-    return languages, table
+    return [r["lang"] for r in fitted], table
 
 
 class Judge:
-    """Scores blocks of texts; word likelihoods are remembered for up to `most` distinct words."""
+    """Scores blocks of texts; word likelihoods are remembered for up to `most` distinct words, or `letters` letters of them."""
 
-    def __init__(self, languages, table, path: str, most: int = 400_000):
-        self.languages, self.table, self.path, self.most = languages, table, path, most
-        self.numbers, self.scores = {}, np.zeros((0, max(1, len(languages))))
+    def __init__(self, languages, table, path: str, most: int = 400_000, letters: int = 1 << 23):
+        self.languages, self.table, self.path, self.most, self.letters = languages, table, path, most, letters
+        self.numbers, self.scores, self.held = {}, np.zeros((0, max(1, len(languages)))), 0
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        if len(self.numbers) > self.most:
-            self.numbers, self.scores = {}, self.scores[:0]
+        if len(self.numbers) > self.most or self.held > self.letters:
+            self.numbers, self.scores, self.held = {}, self.scores[:0], 0
         numbers, rows = self.numbers, []
         for text in texts:
-            words = parts(text) if text else []
+            words = runs(text) if text else []
             rows.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
         new = list(numbers)[len(self.scores) :]
         if new:
             scores = np.zeros((len(new), self.table.shape[1]))
             for at, m in by_length(new):
                 scores[at] = forward(self.path, m, self.table)
-            self.scores = np.concatenate([self.scores, scores])
+            self.scores, self.held = np.concatenate([self.scores, scores]), self.held + sum(map(len, new))
         best, score = [], np.zeros(len(texts))
         for i, at in enumerate(rows):
             if not len(at) or not self.languages:

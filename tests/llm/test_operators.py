@@ -201,6 +201,9 @@ def test_contamination_equals_brute_force(spark, block):
     assert got == want and 15 < len(want)
     kept = decontaminate.drop_contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _ in texts if d not in {d for d, _ in want}) and kept.columns == docs(spark, []).columns
+    texts += [(300, prose(rng, 30)), (300, items[20][1])]
+    kept = decontaminate.drop_contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_shingles=block)
+    assert [r["text"] for r in kept.where("doc_id = 300").collect()] == [texts[-2][1]]
     assert decontaminate.contaminated(docs(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontaminate.contaminated(docs(spark, texts), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
@@ -269,7 +272,9 @@ def test_near_dedup_equals_brute_force(spark):
     want = sorted((str(d), f"{fps[i]:016x}", str(low.get(root[i]))) for i, (d, _) in enumerate(rows))
     assert sorted((str(r[0]), r[1], str(r[2])) for r in near_dedup.near_dedup(docs(spark, rows)).collect()) == want
     kept = near_dedup.drop_near_copies(docs(spark, rows))
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(d) for i, (d, _) in enumerate(rows) if d is None or low[root[i]] == d)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(low.get(x)) for x in {root[i] for i in range(len(rows))}) and kept.columns == docs(spark, []).columns
+    same_id = docs(spark, [(1, rows[-1][1]), (5, rows[-1][1]), (5, prose(rng, 80)), (None, prose(rng, 70))])
+    assert sorted((r["doc_id"] or 0, len(r["text"].split()) == 80) for r in near_dedup.drop_near_copies(same_id).collect()) == [(0, False), (1, False), (5, True)]
     assert near_dedup.near_dedup(docs(spark, [])).count() == 0
 
 
@@ -337,20 +342,21 @@ def test_boundaries_are_window_minima():
 
 
 def brute_likelihood(word, table):
+    """Forward sums in logarithms, letter by letter."""
     word = language.MARK + word
-    hashes, numbers = language.vocabulary(PIECES)
-    number = dict(zip(hashes.tolist(), numbers.tolist()))
-    alpha = [np.ones(table.shape[1])]
+    hashes, numbers, longest = language.vocabulary(PIECES)
+    known = dict(zip(hashes.tolist(), numbers.tolist()))
+    alpha = [np.zeros(table.shape[1])]
     for j in range(1, len(word) + 1):
-        total = np.zeros(table.shape[1])
-        for i in range(max(0, j - language.LONGEST), j):
-            n = number.get(language._hash(word[i:j]), -1)
-            if n >= 0:
-                total = total + alpha[i] * table[n]
+        ways = []
+        for i in range(max(0, j - longest), j):
+            at = known.get(language._hash(word[i:j]))
+            if at is not None:
+                ways.append(alpha[i] + np.log(table[at]))
             elif j - i == 1:
-                total = total + alpha[i] * language.UNKNOWN
-        alpha.append(total)
-    return np.log(alpha[-1])
+                ways.append(alpha[i] + np.log(language.UNKNOWN))
+        alpha.append(np.logaddexp.reduce(ways))
+    return alpha[-1]
 
 
 def test_forward_sums_all_segmentations():
@@ -361,6 +367,9 @@ def test_forward_sums_all_segmentations():
     for w in words:
         got = language.forward(PIECES, language.matrix([w]), table)[0]
         assert np.allclose(got, brute_likelihood(w, table))
+    long = "nation" * 300 + "straße" * 5
+    for step in (1, 7, 64, 4096):
+        assert np.allclose(language.forward(PIECES, language.matrix([long]), table, step)[0], brute_likelihood(long, table))
     counted = language.expected(PIECES, language.matrix(["nation"]), np.array([2.0]), table[:, :1])
     assert 2 <= counted.sum() <= 14
 
@@ -393,6 +402,24 @@ def test_long_documents_teach_and_repeated_ids_teach_once(spark):
     assert once[0] == many[0] and np.array_equal(once[1], many[1])
 
 
+def test_posteriors_equal_brute_force(spark):
+    """The query's language and score against posteriors computed word by word from the fitted table."""
+    rng = random.Random(70)
+    kinds = {"en": ["the", "house", "running", "nation"], "de": ["der", "haus", "laufend", "nation"], "fr": ["le", "maison", "courant", "nation"]}
+    rows = [(i, prose(rng, 12, kinds[x]), x) for i in range(60) for x in [("en", "de", "fr")[i % 3]]]
+    rows += [(600, "nation nation", None), (601, "haus the", None), (602, "maison" * 40, None)]
+    table = docs(spark, rows)
+    languages, model = language.fit(table.where(shared.crc_part("doc_id", 4) != 2), PIECES)
+    assert languages == ["de", "en", "fr"]
+    got = {r["doc_id"]: r for r in language.language_id(table, PIECES).collect()}
+    for d, text, _ in rows:
+        total = sum(brute_likelihood(w, model) for w in re.findall(r"[^\W\d_]+", text.lower()))
+        post = np.exp(total - np.logaddexp.reduce(total))
+        assert got[d]["lang_pred"] == languages[int(total.argmax())] and abs(got[d]["score"] - post.max()) < 1e-9
+    few, _ = language.fit(docs(spark, [*rows, *((900 + i, "der haus", f"x{i}") for i in range(9))]), PIECES, languages=3)
+    assert few == ["de", "en", "fr"]
+
+
 # ---- 8 token counts
 
 
