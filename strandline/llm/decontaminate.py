@@ -6,8 +6,8 @@ document must share a sketch entry with it: at most u - ceil(c u) shingles can b
 document is a candidate for the items whose sketch it hits; for those the share of the item's shingles that the document
 holds is counted exactly. Nothing is missed below that, however long the document.
 
-Documents are scanned once for each block of items and never shuffled. A block holds at most block_shingles shingles, so
-what is sent to the executors is bounded whatever the size of the benchmark.
+Documents are scanned once for each block of items and never shuffled. A block holds about block_shingles shingles (an item
+is never cut), so what is sent to the executors does not grow with the benchmark.
 
 Words are cut at white space after folding A-Z and deleting ASCII punctuation; a shingle is k words; an item of fewer
 words is one shingle of all its words and is looked for at that length. Defined results: null and empty texts, items
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import cut, slices, stored
+from strandline.llm.shared import slices, stored
 
 K, CONTAINMENT, BLOCK_SHINGLES = 5, 0.8, 1 << 20
 PAIRS = "doc_id long, item_id long, n_shared int, n_shingles int, containment double"
@@ -84,43 +84,67 @@ class Index:
                 yield row, item, shared
 
 
-def _scan(docs: DataFrame, rows: list, containment: float) -> DataFrame:
-    by_width = {w: [r for r in rows if r["width"] == w] for w in sorted({r["width"] for r in rows})}
-    sent = docs.sparkSession.sparkContext.broadcast({w: Index(r, containment) for w, r in by_width.items()})
+def _blocks(items: DataFrame, containment: float, block_shingles: int):
+    """Yields broadcast indexes, by width, of blocks of items with about block_shingles shingles each."""
+    table = stored(item_shingles(items).withColumn("n", F.size("shingles")))
+    total = table.agg(F.sum("n")).first()[0] or 0
+    blocks = -(-total // block_shingles)
+    for b in range(blocks):
+        rows = (table if blocks == 1 else table.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)).select("item_id", "width", "shingles").collect()
+        if rows:
+            by_width = {w: Index([r for r in rows if r["width"] == w], containment) for w in sorted({r["width"] for r in rows})}
+            yield items.sparkSession.sparkContext.broadcast(by_width)
+
+
+def _found(texts: pa.Array, indexes: dict, containment: float) -> list[tuple[int, int, int, int]]:
+    """(row, item_id, shared, size) of every item that a text of the array holds."""
+    from strandline.llm.words import PLAIN, Words
+
+    words, found = Words(texts, PLAIN), []
+    for width, index in indexes.items():
+        shingles, at = words.shingles(width)
+        found += [(r, int(index.ids[i]), n, int(index.sizes[i])) for r, i, n in index.find(shingles, words.row[at], containment)]
+    return found
 
-    def run(batches):
-        from strandline.llm.words import PLAIN, Words
 
+def _scan(docs: DataFrame, sent, containment: float) -> DataFrame:
+    def run(batches):
         for batch in batches:
             texts, ids = batch.column("text"), batch.column("doc_id")
             for s, e in slices(texts):
-                words, found = Words(texts.slice(s, e - s), PLAIN), []
-                for width, index in sent.value.items():
-                    shingles, at = words.shingles(width)
-                    found += [(s + r, int(index.ids[i]), n, int(index.sizes[i])) for r, i, n in index.find(shingles, words.row[at], containment)]
-                if found:
+                if found := _found(texts.slice(s, e - s), sent.value, containment):
                     r, i, n, m = zip(*found)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(np.array(n) / np.array(m))], names=["doc_id", "item_id", "n_shared", "n_shingles", "containment"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(s).take(pa.array(r)), pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(np.array(n) / np.array(m))], names=["doc_id", "item_id", "n_shared", "n_shingles", "containment"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PAIRS)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment: every pair in which the document holds the item."""
-    spark = docs.sparkSession
-    table = stored(item_shingles(items).withColumn("n", F.size("shingles")))
-    total = table.agg(F.sum("n")).first()[0] or 0
-    blocks = -(-total // block_shingles)
     out = None
-    for b in range(blocks):
-        rows = (table if blocks == 1 else table.where((F.xxhash64("item") % blocks + blocks) % blocks == b)).select("item_id", "width", "shingles").collect()
-        if rows:
-            part = _scan(docs, rows, containment)
-            out = part if out is None else out.union(part)
-    return spark.createDataFrame([], PAIRS) if out is None else out
+    for sent in _blocks(items, containment, block_shingles):
+        part = _scan(docs, sent, containment)
+        out = part if out is None else out.union(part)
+    return docs.sparkSession.createDataFrame([], PAIRS) if out is None else out
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns, whatever these and their doc_id are.
+
+    Rows are left out where they are read, one filter for each block of items in a single scan: nothing is joined.
+    """
+
+    def clean(sent):
+        def run(batches):
+            for batch in batches:
+                texts = batch.column("text")
+                for s, e in slices(texts):
+                    kept = np.ones(e - s, bool)
+                    kept[[r for r, *_ in _found(texts.slice(s, e - s), sent.value, containment)]] = False
+                    yield batch.slice(s, e - s).filter(pa.array(kept))
 
+        return run
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns. Rows whose doc_id is null stay."""
-    gone = cut(contaminated(docs, items, containment).where("doc_id is not null").select(F.col("doc_id").alias("__own_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("__own_gone"), "left_anti")
+    for sent in _blocks(items, containment, block_shingles):
+        docs = docs.mapInArrow(clean(sent), docs.schema)
+    return docs

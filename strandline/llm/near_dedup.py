@@ -59,16 +59,17 @@ def fingerprints_of(texts: pa.Array, k: int = 3) -> np.ndarray:
     return out
 
 
-def simhash(docs: DataFrame, k: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long)."""
+def simhash(docs: DataFrame, k: int = 3, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the extra columns (of type long) and fp (the fingerprint's 64 bits as a long)."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
             for s, e in slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s, e - s), pa.array(fingerprints_of(texts.slice(s, e - s), k).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s, e - s) for c in ("doc_id", *extra)), pa.array(fingerprints_of(texts.slice(s, e - s), k).view(np.int64))], names=["doc_id", *extra, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    fields = "".join(f"{c} long, " for c in ("doc_id", *extra))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, "text").mapInArrow(run, f"{fields}fp long")
 
 
 @functools.cache
@@ -158,12 +159,15 @@ def links(fps: DataFrame) -> DataFrame:
     return met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
+def _rooted(least: DataFrame) -> DataFrame:
+    """least (fp, low) with the root of each fp's component."""
+    return least.join(components(links(least)).withColumnsRenamed({"node": "fp"}), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_dedup(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id linked to it, directly or through others)."""
     rows = stored(simhash(docs, k))
-    least = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(least)).withColumnsRenamed({"node": "fp"})
-    joined = least.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    joined = _rooted(cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low"))))
     named = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     of = joined.where("root is not null").select("fp", "root").join(named, "root").select(F.col("fp").alias("f"), "component_id")
     # As a table of its own this side leaves the join two plain exchanges, so a fingerprint with very many rows is split.
@@ -173,6 +177,13 @@ def near_dedup(docs: DataFrame, k: int = 3) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, k: int = 3) -> DataFrame:
-    """The rows of docs that stay: of each group the one with the least doc_id. Rows whose doc_id is null all stay."""
-    gone = near_dedup(docs, k).where("doc_id <> component_id").select(F.col("doc_id").alias("__own_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__own_gone"), "left_anti")
+    """The rows of docs that stay, with all their columns: of each group the one with the least doc_id.
+
+    Rows are told apart by themselves, so rows that repeat a doc_id with another text are judged each for itself, and of
+    rows that repeat in full one stays. A null doc_id loses every tie. Of all column names only `__own_row` is reserved.
+    """
+    numbered = stored(docs.withColumn("__own_row", F.monotonically_increasing_id()))
+    rows = simhash(numbered.select("doc_id", "text", F.col("__own_row").alias("row")), k, ("row",))
+    least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("low"))
+    kept = cut(_rooted(cut(least)).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__own_row")))
+    return numbered.join(kept, "__own_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -22,36 +22,54 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Paths of the tables that stored() has written and nothing has released.
+_tables: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: as cut(), columnar and with column pruning.
 
-    The table is deleted when the driver's JVM ends.
+    The table is deleted when the driver's JVM ends, or by released() before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame, work) -> DataFrame:
+    """work(df) as a stored table; df's own table, where stored() wrote it, and all that work stored on the way are deleted."""
+    spark, old = df.sparkSession, len(_tables)
+    out = stored(work(df))
+    done = _tables[old:-1] + [p for p in _tables[:old] if any(f.startswith(p + "/") or f"{p}/" in f for f in df.inputFiles()[:1])]
+    for path in done:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _tables.remove(path)
+    return out
+
+
 def crc_part(column: str, modulus: int) -> Column:
     """crc32 of a column as text, modulo modulus: the split into training and held-out rows. Null ids fall to part 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def sampled(rows: DataFrame, n: int, salt: int, by: str | None = None) -> DataFrame:
-    """The n rows (of each value of `by`) with the least hash of doc_id, for any number of rows and partitions.
+def sampled(rows: DataFrame, n: int, salt: int, by: str | None = None, values: int = 256) -> DataFrame:
+    """The n rows (of each of the `values` most frequent values of `by`) with the least hash of doc_id, for any number of
+    rows and partitions.
 
     Rows are first thinned to about 8 n by that same hash, from a count, so that the final choice never gathers n rows
-    from each of very many tasks. `by` must have few values (languages): their counts are read to the driver.
+    from each of very many tasks. No more than `values` counts are read to the driver.
     """
     scale = 1 << 30
     h = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(scale))
     share = lambda total: int(min(1.0, 8 * n / max(1, total)) * scale)
     if by is None:
         return rows.where(h < share(rows.count())).orderBy(h, *rows.columns).limit(n)
-    counts = rows.groupBy(by).count().collect()
+    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(values).collect()
     if not counts:
         return rows
     limit = F.create_map(*(F.lit(x) for r in counts for x in (r[by], share(r["count"]))))
