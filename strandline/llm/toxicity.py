@@ -1,16 +1,21 @@
 """Toxicity by noisy-channel deobfuscation: Viterbi over character lattices, then a linear score of the restored text.
 
 A character trigram model is counted over every document of the table. A token that may be disguised (letters mixed with
-digits or symbols, a letter three or more times running, or single characters spaced out) becomes a lattice: each symbol
-may stand for the letters it imitates or for nothing, each repeated letter for one or two. The Viterbi path under the
-trigram model and the channel's costs is the restored word; other words stand for themselves.
-
-The classifier is a logistic regression over restored words, learnt from at most `sample` labelled rows (the least by a
-hash of doc_id) and at most `features` words, those whose counts differ most between the labels.
-
-Defined results: null and empty texts score as a text without known words; labels that are null or whose document is
-missing teach nothing, and a document labelled twice teaches twice; without labels every score is 0; repeated rows give
-repeated rows; a null doc_id is scored and is in the held-out part; an empty table gives an empty result.
+digits or symbols, symbols that imitate letters, a letter three or more times running) becomes a lattice: each symbol may
+stand for the letters it imitates or for nothing, each repeated letter for one or two. A run of single characters becomes a
+lattice in which every gap may be the end of a word or nothing. The Viterbi path under the trigram model and the channel's
+costs is the restored text; other words stand for themselves. Symbols at a token's rim are read both as marks and as
+letters. Where two neighbouring words make up a word of the classifier, they are joined if the channel finds that likelier.
+
+The classifier is a logistic regression over restored words and the first PREFIX letters of longer ones, learnt from at most
+`sample` labelled rows (the least by a hash of doc_id) and at most `features` words, those whose counts differ most between
+the labels.
+
+Defined results: null and empty texts score as a text without known words; without a letter, digits with less than two
+imitating symbols are a number, not a disguise; labels
+that are null or whose document is missing teach nothing, and a document labelled twice teaches twice; without labels every
+score is 0; repeated rows give repeated rows; a null doc_id is scored and is in the held-out part; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,16 +32,17 @@ from strandline.llm.shared import crc_part, sampled, slices
 
 #: Letters that a digit or symbol is commonly written for.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "%": "x"}
-LETTERS = 26
 EDGE, OTHER, SIZE = 26, 27, 28
-TOKEN = re.compile(r"\S+")
 SPACED = re.compile(r"(?<![^\s])(?:[^\s][ \t]){2,}[^\s](?![^\s])")
 JOINED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*~]){2,}[^\W_](?![^\W_])")
+GAPS = re.compile(r"[ \t.\-_*~]+")
 PLAIN = re.compile(r"[^\W\d_]+")
 THRICE = re.compile(r"(.)\1\1")
-EDGES = ".,;:!?\"'()[]{}<>*#%&$~-_=/\\|"
-FRONT = EDGES.replace("$", "").replace("*", "")
-SUBSTITUTED, DELETED, COLLAPSED, UNDOUBLED = -1.0, -8.0, -0.5, -6.0
+EDGES = ".,;:!?\"'()[]{}<>*#%&$~-_=/\\|@+"
+#: Marks that may stand before or behind a word; an imitating symbol there is read as a letter too.
+BEHIND = "".join(c for c in EDGES if c not in IMITATES or c in "!*#%")
+SUBSTITUTED, DELETED, COLLAPSED, UNDOUBLED, CLOSED, UNSPACED = -1.0, -8.0, -0.5, -6.0, -0.5, -3.0
+PREFIX = 5
 
 
 def _codes(data: np.ndarray) -> np.ndarray:
@@ -77,12 +83,17 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 5 * bi[None]) / (counts.sum(2, keepdims=True) + 5))
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of the token the strings it may stand for, and the channel's log costs."""
+def lattice(token: str, gaps: bool = False) -> list[list[tuple[str, float]]]:
+    """For each run of the token the strings it may stand for, and the channel's log costs.
+
+    With gaps, white space and joining marks may be nothing or the space between two words.
+    """
     out = []
-    for m in re.finditer(r"(.)\1*", token):
+    for m in re.finditer(r"(.)\1*", token, re.S):
         c, n = m[1], len(m[0])
-        if c.isalpha():
+        if gaps and GAPS.fullmatch(c):
+            out.append([(" ", 0.0), ("", CLOSED)])
+        elif c.isalpha():
             out.append([(c * n, 0.0)] if n == 1 else [(c, COLLAPSED if n > 2 else UNDOUBLED), (c * 2, COLLAPSED * (n > 2))])
         else:
             may = [(x * k, SUBSTITUTED - math.log(len(IMITATES[c])) - (k > 1)) for x in IMITATES.get(c, "") for k in ((1, 2) if n > 1 else (1,))]
@@ -90,61 +101,92 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def _code(c: str) -> int:
+    return ord(c) - 97 if "a" <= c <= "z" else EDGE if c == " " else OTHER
+
+
 class Channel:
-    """Restores words under a trigram model; remembers up to `most` tokens."""
+    """Restores words under a trigram model; remembers up to `most` tokens of up to 64 characters."""
 
     def __init__(self, model: np.ndarray, most: int = 200_000):
-        self.model, self.most, self.known = model, most, {}
+        self.model, self.most, self.known = model.tolist(), most, {}
 
-    def restore(self, token: str) -> str:
+    def restore(self, token: str, gaps: bool = False) -> str:
         """The best path through the token's lattice: state is the last two characters."""
-        score = self.model
-        code = lambda ch: ord(ch) - 97 if "a" <= ch <= "z" else OTHER
-        best = {(EDGE, EDGE): (0.0, None)}
-        for options in lattice(token):
+        score, best = self.model, {(EDGE, EDGE): (0.0, None)}
+        for options in lattice(token, gaps):
             after: dict = {}
             for (a, b), (v, path) in best.items():
                 for text, cost in options:
                     x, y, total = a, b, v + cost
                     for ch in text:
-                        z = code(ch)
-                        total += score[x, y, z]
+                        z = _code(ch)
+                        total += score[x][y][z]
                         x, y = y, z
                     if (x, y) not in after or after[x, y][0] < total:
                         after[x, y] = (total, (path, text) if text else path)
             best = after
-        _, path = max(((v + score[a, b, EDGE], path) for (a, b), (v, path) in best.items()), key=lambda t: t[0])
+        _, path = max(((v + score[a][b][EDGE], path) for (a, b), (v, path) in best.items()), key=lambda t: t[0])
         found = []
         while path:
             path, text = path
             found.append(text)
         return "".join(reversed(found))
 
-    def word(self, token: str) -> str:
-        """The restored form of a lower-cased token."""
+    def likelihood(self, text: str) -> float:
+        codes, total = [EDGE, EDGE, *map(_code, text), EDGE], 0.0
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            total += self.model[a][b][c]
+        return total
+
+    def readings(self, token: str) -> tuple[str, ...]:
+        """The restored forms of a lower-cased token: with the symbols at its rim as marks and, if they imitate, as letters."""
+        core = token.strip(EDGES)
+        rim = token.rstrip(BEHIND).lstrip("".join(c for c in BEHIND if c not in IMITATES))
+        out = []
+        for form in dict.fromkeys((core, rim)):
+            if PLAIN.fullmatch(form) and not THRICE.search(form):
+                out.append(form)
+            elif any(c.isalpha() for c in form) or sum(c in IMITATES and not c.isdigit() for c in form) > 1:
+                out.append(self.restore(form))
+        return tuple(x for x in dict.fromkeys(out) if x)
+
+    def word(self, token: str) -> tuple[str, ...]:
         got = self.known.get(token)
         if got is None:
-            core = token.rstrip(EDGES).lstrip(FRONT)
-            plain = PLAIN.fullmatch(core)
-            if plain and not THRICE.search(core):
-                got = core
-            elif not any(c.isalpha() for c in core):
-                got = ""
-            else:
-                got = self.restore(core)
-            if len(self.known) >= self.most:
-                self.known.clear()
-            self.known[token] = got
+            got = self.readings(token)
+            if len(token) <= 64:
+                if len(self.known) >= self.most:
+                    self.known.clear()
+                self.known[token] = got
         return got
 
-    def words(self, text: str | None) -> set[str]:
+    def words(self, text: str | None, lexicon: Lexicon | None = None) -> set[str]:
+        """The distinct restored words of a text, and the first letters of the longer ones with a mark behind."""
         text = (text or "").lower()
-        out = set(map(self.word, set(text.split())))
+        tokens = text.split()
+        out = {x for token in set(tokens) for x in self.word(token)}
         for form in (SPACED, JOINED):
             for m in form.finditer(text):
-                out.add(self.word(re.sub(r"[\s.\-_*~]", "", m[0])))
-        out.discard("")
-        return out
+                out.update(self.restore(m[0], True).split())
+        if lexicon:
+            out.update(self.joined(tokens, lexicon))
+        return out | {x[:PREFIX] + "~" for x in out if len(x) > PREFIX}
+
+    def joined(self, tokens: list[str], lexicon: Lexicon):
+        """Words of the lexicon that two neighbouring tokens make up, where that is likelier than the two."""
+        for i in [i for i, t in enumerate(tokens[:-1]) if t in lexicon.heads]:
+            left, right = tokens[i], tokens[i + 1].rstrip(EDGES)
+            if left + right in lexicon.words and self.likelihood(left + right) + UNSPACED > self.likelihood(f"{left} {right}"):
+                yield left + right
+
+
+class Lexicon:
+    """Words, and all that they may begin with."""
+
+    def __init__(self, words):
+        self.words = {w for w in words if w.isalpha()}
+        self.heads = {w[:i] for w in self.words for i in range(1, len(w))}
 
 
 def word_table(docs: DataFrame, model, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -201,10 +243,11 @@ def score(docs: DataFrame, model, weights: tuple[dict[str, float], float]) -> Da
 
     def run(batches):
         channel, (weight, bias) = Channel(model.value), sent.value
+        lexicon = Lexicon(w for w, x in weight.items() if x > 0)
         for batch in batches:
             for s, e in slices(batch.column("text")):
                 part = batch.slice(s, e - s)
-                z = np.array([bias + sum(weight[w] for w in channel.words(t) & weight.keys()) for t in part.column("text").to_pylist()])
+                z = np.array([bias + sum(weight[w] for w in channel.words(t, lexicon) & weight.keys()) for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")

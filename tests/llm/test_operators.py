@@ -511,7 +511,7 @@ def test_deobfuscation_and_scores(spark):
     rng = random.Random(9)
     words = ["house", "garden", "little", "water", "people", "morning", "seven", "letter", "coffee", "summer"]
     bad = ["idiot", "moron", "stupid"]
-    hide = {"idiot": ["1d10t", "id!ot", "i d i o t", "idiiiot", "i.d.i.o.t"], "moron": ["m0r0n", "m o r o n", "mooooron"], "stupid": ["$tup1d", "stup!d", "s-t-u-p-i-d"]}
+    hide = {"idiot": ["1d10t", "id!ot", "i d i o t", "idiiiot", "i.d.i.o.t", "!d10t", "id iot", "a i d i o t"], "moron": ["m0r0n", "m o r o n", "mooooron", "mo ron", "moron$$$"], "stupid": ["$tup1d", "stup!d", "s-t-u-p-i-d", "s t u p i d a"]}
     rows, labels = [], []
     for i in range(400):
         w = prose(rng, 30, words).split()
@@ -533,6 +533,20 @@ def test_deobfuscation_and_scores(spark):
     assert {r["score"] for r in toxicity.toxicity(table, marks.limit(0)).collect()} <= {toxicity.toxicity(table, marks.limit(0)).first()["score"]}
 
 
+def test_restore_is_the_best_of_all_paths():
+    """Viterbi against every path through the lattice, scored in full."""
+    import itertools
+
+    rng = np.random.default_rng(90)
+    model = toxicity.log_model(rng.integers(0, 50, (28, 28, 28)).astype(float))
+    channel = toxicity.Channel(model)
+    for token, gaps in [("1d10t", False), ("m00r0n", False), ("@$$", False), ("a i d t", True), ("i.d.1.t", True), ("heyyyy", False), ("7|2@", False), ("é1x", False)]:
+        best = max(itertools.product(*toxicity.lattice(token, gaps)), key=lambda path: sum(c for _, c in path) + channel.likelihood("".join(t for t, _ in path)))
+        assert channel.restore(token, gaps) == "".join(t for t, _ in best), token
+    assert channel.readings("455") == () and channel.readings("(12:30)") == () and channel.readings("house") == ("house",) and channel.readings("house!") == ("house",)
+    assert len(channel.readings("(lown")) == 2 and channel.readings("@$$")
+
+
 # ---- 10 exact dedup
 
 
