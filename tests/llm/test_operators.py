@@ -121,6 +121,52 @@ def test_block_reaches_aliases_unless_allowed(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_links_equal_brute_force(spark):
+    """References resolved by urllib, classes by union-find."""
+    from urllib.parse import urljoin, urlsplit
+
+    def key(url):
+        u = urlsplit(urljoin(url, url))
+        path = urlsplit(urljoin(f"http://h{u.path or '/'}", urlsplit(f"http://h{u.path or '/'}").path)).path
+        return (u.netloc.lower(), path, u.query)
+
+    def rule(url):
+        u = urlsplit(url)
+        fits = [(len(h + p), len(h), v == "allow", v) for v, h, p in url_filter.RULES if f".{u.netloc.lower()}".endswith("." + h) and u.path.startswith(p)]
+        return max(fits)[-1] if fits else None
+
+    rng = random.Random(20)
+    hosts, refs = ["N.net", "x.com", *(f"h{j}.net" for j in range(90))], ["../x", "./y", "?id=2", "#top", "z?a=1&amp;b=2", "/de/a", "//x.com/de/a", "../../q/", "..", "https://x.com/de/../de/b", "http://good.org/", "http://n.net", "a/b/../c", "mailto:x"]
+    rows = []
+    for i in range(300):
+        url = f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/a/b', '/a/b/', '/de/a', '/x', '/a/./y', '/q/', '/c?id=2'])}"
+        tag = f'<link data-href="http://x.com/de/no" rel="canonical" href="{rng.choice(refs)}">'
+        rows.append((i, url, [tag, f"<!-- {tag} -->", f"<!-- {tag}", "<p>canonical"][rng.choice([0, 0, 1, 2, 3])] if rng.random() < 0.3 else None))
+    rows.append((900, "http://late.net/", "<p> " * 50_000 + '<meta http-equiv=refresh content="0;url=//x.com/de/a">'))
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    urls = [u for _, u, _ in rows]
+    for _, u, html in rows:
+        ref = re.search(r'(?: href="|url=)([^">]*)', re.sub(r"(?s)<!--.*?(-->|$)", "", html or ""))
+        if ref and not re.match("#|mailto", ref[1]):
+            to = urljoin(u, ref[1].replace("&amp;", "&"))
+            urls.append(to)
+            parent[find(key(u))] = find(key(to))
+    rules = {}
+    for u in urls:
+        rules.setdefault(find(key(u)), set()).add(rule(u))
+    want = {i: rule(u) or ("block" if "block" in rules[find(key(u))] and "allow" not in rules[find(key(u))] else "allow") for i, u, _ in rows}
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and sum(want[i] == "block" and rule(u) is None for i, u, _ in rows) > 3
+    none = spark.createDataFrame([("http://n.net/", None), (None, "http://x.com/de/a")], "source string, target string")
+    assert url_filter.judge(spark.createDataFrame([(1, "http://n.net", None)], "page_id long, url string, html string"), redirects=none).first()["verdict"] == "allow"
+
+
 # ---- 3 pseudonyms
 
 
