@@ -206,6 +206,68 @@ def test_pseudonyms_are_permutations(spark):
     assert all(luhn(g) for g, v in zip(got, values) if v in set(cards))
 
 
+def brute_feistel(a, b, size_a, size_b, key, tweak):
+    for r in range(10):
+        digest = lambda x: int(hashlib.sha256(f"{key}:{tweak}:{r}:{x}".encode()).hexdigest()[:15], 16)
+        a, b = ((a + digest(b)) % size_a, b) if r % 2 == 0 else (a, (b + digest(a)) % size_b)
+    return a, b
+
+
+def test_pseudonyms_equal_an_independent_network(spark):
+    """Phones, IPv4, dates, numbers and IPv6 against the network written again in Python."""
+    import datetime
+    import ipaddress
+
+    def digits(d, tweak):
+        h = len(d) // 2
+        a, b = brute_feistel(int(d[:h] or 0), int(d[h:]), 10**h, 10 ** (len(d) - h), "k", f"{tweak}{len(d)}")
+        return (f"{a:0{h}d}" if h else "") + f"{b:0{len(d) - h}d}"
+
+    def day(y, m, d):
+        n = (datetime.date(y, m, d) - datetime.date(1800, 1, 1)).days
+        a, b = brute_feistel(n // 773, n % 773, 189, 773, "k", "date")
+        return datetime.date(1800, 1, 1) + datetime.timedelta(a * 773 + b)
+
+    def second(y, m, d):
+        t = day(y, m, d)
+        while t.day <= 12:
+            t = day(t.year, t.month, t.day)
+        return t
+
+    def phone(code, rest):
+        return code + digits(rest, f"phone{code}/")
+
+    def ip(x):
+        a, b = brute_feistel(*divmod(int(ipaddress.IPv4Address(x)), 65536), 65536, 65536, "k", "ip")
+        return str(ipaddress.IPv4Address(a * 65536 + b))
+
+    def ipv6(x):
+        n, out = int(ipaddress.IPv6Address(x)), []
+        for i, half in ((0, n >> 64), (4, n & (1 << 64) - 1)):
+            out += brute_feistel(*divmod(half, 1 << 32), 1 << 32, 1 << 32, "k", f"ipv6/{i}")
+        return ":".join(f"{w >> 16:x}:{w & 65535:x}" for w in out)
+
+    want = {
+        "+15551234567": "+" + phone("1", "5551234567"), "+1 5551234567": "+1 " + phone("1", "5551234567")[1:], "+35312345678": "+" + phone("353", "12345678"),
+        "10.1.2.3": ip("10.1.2.3"), "1999-02-28": day(1999, 2, 28).isoformat(), "02/28/1999": day(1999, 2, 28).strftime("%m/%d/%Y"), "25/12/1990": second(1990, 12, 25).strftime("%d/%m/%Y"),
+        "25.12.1990": day(1990, 12, 25).strftime("%d.%m.%Y"), "12.25.1990": second(1990, 12, 25).strftime("%m.%d.%Y"), "31-12-1999": day(1999, 12, 31).strftime("%d-%m-%Y"),
+        "1.5.1990": "{0.day}.{0.month}.{0.year}".format(day(1990, 5, 1)), "3/4/2020": "{0.month}/{0.day}/{0.year}".format(day(2020, 3, 4)), "31/31/1999": "31/31/1999", "2001-02-30": "2001-02-30",
+        "2001:db8::1": ipv6("2001:db8::1"), "2001:0db8:0:0:0:0:0:1": ipv6("2001:db8::1"), "fe80::A:2": ipv6("fe80::a:2"), "std::vector": "std::vector", "1:2:3:4:5:6:7:8:9": "1:2:3:4:5:6:7:8:9",
+    }
+    rows = [*enumerate(want), (100, "иван@mail.com"), (101, "Иван@mail.com"), (102, "ПЁТР@mail.com"), (103, "a@mail.com " * 20_000)]
+    secret = spark.createDataFrame([("k",)], "key string")
+    for key in ("k", secret):
+        got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs(spark, rows), key).collect()}
+        assert {x: got[i] for i, x in enumerate(want)} == want
+        assert got[100] == got[101] and len({got[100], got[102], "иван@mail.com"}) == 3 and got[100].endswith("@mail.com") and len(set(got[103].split())) == 1
+    hidden = pii.pseudonymise(docs(spark, rows), spark.createDataFrame([("s3cr3t",)], "key string"))
+    assert "s3cr3t" not in hidden._jdf.queryExecution().toString()
+    names = [f"{a}{b}@x.io" for a in "абвгдежз" for b in "éàüñ日本語ξ"]
+    assert len({r["text"] for r in pii.pseudonymise(docs(spark, list(enumerate(names))), "k").collect()}) == 64
+    slashes = [f"{d:02d}/{m:02d}/1990" for m in range(1, 13) for d in range(1, 29)]
+    assert len({r["text"] for r in pii.pseudonymise(docs(spark, list(enumerate(slashes))), "k").collect()}) == len(slashes)
+
+
 # ---- 4 decontamination
 
 
