@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Qualifiers by how much they say about a gene's name.
 STRONG_FIELDS, WEAK_FIELDS = ("gene", "label", "standard_name"), ("product", "note", "locus_tag")
 #: Qualifiers in the order in which a name is looked up.
 QUALIFIERS = ("gene", "product", "label", "standard_name", "locus_tag", "note")
@@ -25,6 +26,9 @@ DESCRIPTIVE_TERMS = (
 #: Descriptive names and the short symbol each stands for.
 DESCRIPTIVE_SYMBOLS = {"envelope protein": "E", "membrane protein": "M", "nucleocapsid protein": "N", "spike protein": "S", "spike glycoprotein": "S"}
 
+#: Words that may follow a canonical.
+PLAIN_ENDINGS = ("protein", "polyprotein", "gene", "cds")
+
 
 def _norm(text: str) -> str:
     return text.strip().lower().replace("-", "").replace("_", "").replace(" ", "")
@@ -108,6 +112,35 @@ def orf_polyprotein(raw: Column, canonical: Column) -> Column:
     return (mine != "") & (F.regexp_extract(norm(raw), "polyprotein(?:orf)?([0-9]+[a-z]*)$", 1) == mine)
 
 
+def combined_orf(raw: Column, canonical: Column) -> Column:
+    """The name speaks of both halves of the canonical ORF1ab."""
+    r = F.lower(F.coalesce(raw, F.lit("")))
+    spelt = norm(raw).isin("orf1a/1b", "orf1a/b") | r.rlike(r"orf\s*1a\s*/\s*(?:orf\s*)?1?b") | r.rlike(r"orf\s*1a\s+and\s+orf\s*1b")
+    return (norm(canonical) == "orf1ab") & spelt
+
+
+def match_tier(raw: Column, canonical: Column) -> Column:
+    """0 the same name, 1 the name with a word that says nothing more, 2 its ORF polyprotein, 3 both its halves; null: none."""
+    r, c = norm(raw), norm(canonical)
+    with_word = F.lit(False)
+    for word in PLAIN_ENDINGS:
+        with_word = with_word | (r == F.concat(c, F.lit(word)))
+    tier = F.when(r == c, 0).when(with_word, 1).when(orf_polyprotein(raw, canonical), 2).when(combined_orf(raw, canonical), 3)
+    return F.when((r != "") & (c != ""), tier)
+
+
+def best_canonical(raw: Column, canonicals: Column) -> Column:
+    """Of an array of canonicals the one that matches best: by tier, then the shortest, then the first; null where none does."""
+    ranked = F.transform(canonicals, lambda c, i: F.struct(match_tier(raw, c).alias("tier"), F.length(c).alias("n"), i.alias("i"), c.alias("canonical")))
+    return F.array_min(F.filter(ranked, lambda x: x["tier"].isNotNull()))["canonical"]
+
+
+def first_matching(values: Column, canonicals: Column) -> Column:
+    """The best canonical of the first of the values that has one."""
+    found = F.filter(F.transform(values, lambda v: best_canonical(v, canonicals)), lambda c: c.isNotNull())
+    return F.try_element_at(found, F.lit(1))
+
+
 def generic(raw: Column) -> Column:
     spelt = F.array_join(words(raw), " ")
     return norm(raw).isin([_norm(g) for g in GENERIC_NAMES]) | (~F.coalesce(raw, F.lit("")).rlike("[0-9]") & spelt.isin(list(GENERIC_NAMES)))

@@ -1,7 +1,7 @@
 """Alias tables: lookup, conflicts, feature resolution, configuration edits.
 
-Alias terms are rows (canonical, alias, ord), exclusions rows (name). Both are metadata of a few thousand rows; what
-resolve() sends to the executors is bounded by MOST_TERMS, beyond which it joins instead.
+Alias terms are rows (canonical, alias, ord), exclusions rows (name). What resolve() sends to the executors is bounded by
+MOST_TERMS, beyond which it joins instead.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.lineage import settled
 from strandline.functions.names import AMBIGUOUS, QUALIFIERS, SENTINEL, filled, norm, parts
 
 MOST_TERMS = 200_000
@@ -34,11 +35,11 @@ def alias_conflicts(terms: DataFrame, excluded: DataFrame) -> DataFrame:
     return shared.where("n > 1").select(F.lit("several canonicals").alias("kind"), "norm", "canonicals").union(shared.join(barred, "norm", "left_semi").select(F.lit("excluded alias"), "norm", "canonicals"))
 
 
-def lookup_map(lookup: DataFrame) -> Column:
-    """The lookup as a map literal. Raises when it has over MOST_TERMS terms."""
-    rows = lookup.limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"over {MOST_TERMS} alias terms; use resolve_values()")
+def lookup_map(lookup: DataFrame, most: int = MOST_TERMS) -> Column:
+    """The lookup as a map literal. Raises when it has over `most` terms: resolve() takes tables of any size."""
+    rows = lookup.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} alias terms; give resolve() the table")
     return F.from_json(F.lit(json.dumps({r["norm"]: r["target"] for r in rows})), "map<string,string>")
 
 
@@ -54,15 +55,35 @@ def target_of(value: Column, table: Column) -> Column:
 
 
 def resolve_values(values: DataFrame, column: str, lookup: DataFrame) -> DataFrame:
-    """values with `target`, by a join: for lookups of any size, whole values only."""
+    """values with `target`, by a join, of the whole values."""
     return values.join(lookup.select(F.col("norm").alias("_norm"), "target"), norm(F.col(column)) == F.col("_norm"), "left").drop("_norm")
 
 
-def resolve(features: DataFrame, lookup: DataFrame | Column, qualifiers: tuple[str, ...] = QUALIFIERS) -> DataFrame:
-    """features with raw_name, name, alias_source_value and name_source (raw, alias, alias_conflict_resolved, excluded)."""
-    table = lookup if isinstance(lookup, Column) else lookup_map(lookup)
-    values = [c for c in qualifiers if c in features.columns]
-    hits = F.array(*(F.struct(F.col(c).alias("value"), F.when(filled(F.col(c)).isNotNull(), target_of(F.col(c), table)).alias("target")) for c in values))
+def joined_targets(features: DataFrame, lookup: DataFrame, values: list[str]) -> DataFrame:
+    """features with column _<value>, the target of each value, by joins: every distinct value is looked up once, with its parts."""
+    for c in values:
+        once = features.select(F.col(c).alias("_v")).where("_v <> ''").distinct()
+        pieces = once.select("_v", F.posexplode(F.concat(F.array("_v"), parts(F.col("_v")))).alias("_k", "_p"))
+        found = resolve_values(pieces, "_p", lookup).where("target is not null")
+        first = F.min(F.struct((F.col("_k") > 0).alias("part"), ((F.col("_k") > 0) & is_sentinel(F.col("target"))).alias("barred"), "_k", "target"))
+        found = found.groupBy("_v").agg(first.alias("_x")).select("_v", F.col("_x.target").alias(f"_{c}"))
+        features = features.join(found, F.col(c) == F.col("_v"), "left").drop("_v")
+    return features
+
+
+def resolve(features: DataFrame, lookup: DataFrame | Column, qualifiers: tuple[str, ...] = QUALIFIERS, most: int = MOST_TERMS) -> DataFrame:
+    """features with raw_name, name, alias_source_value and name_source (raw, alias, alias_conflict_resolved, excluded).
+
+    A lookup table of up to `most` terms becomes an expression; a larger one is joined, with the same result.
+    """
+    values, columns = [c for c in qualifiers if c in features.columns], features.columns
+    if isinstance(lookup, DataFrame) and lookup.limit(most + 1).count() > most:
+        features = joined_targets(features, lookup, values)
+        of = lambda c: F.col(f"_{c}")
+    else:
+        table = lookup if isinstance(lookup, Column) else lookup_map(lookup, most)
+        of = lambda c: F.when(filled(F.col(c)).isNotNull(), target_of(F.col(c), table))
+    hits = F.array(*(F.struct(F.col(c).alias("value"), of(c).alias("target")) for c in values))
     out = features.withColumn("_hits", F.filter(hits, lambda h: h["target"].isNotNull()))
     real = F.filter("_hits", lambda h: ~is_sentinel(h["target"]))
     kinds = F.size(F.array_distinct(F.transform("_hits", lambda h: h["target"])))
@@ -72,7 +93,7 @@ def resolve(features: DataFrame, lookup: DataFrame | Column, qualifiers: tuple[s
         "name": F.when(F.col("_real"), F.col("_won.target")).otherwise(F.col("raw_name")),
         "alias_source_value": F.col("_won.value"),
         "name_source": F.when(F.col("_kinds") == 0, "raw").when(~F.col("_real"), "excluded").when(F.col("_kinds") == 1, "alias").otherwise("alias_conflict_resolved"),
-    }).drop("_hits", "_real", "_kinds", "_won")
+    }).drop("_hits", "_real", "_kinds", "_won", *(f"_{c}" for c in values if f"_{c}" not in columns))
 
 
 def ordered_distinct(names: DataFrame, value: str = "name", order: str = "ord") -> DataFrame:
@@ -93,26 +114,23 @@ def overlay(base: DataFrame, decisions: DataFrame) -> DataFrame:
     return both.groupBy("norm").agg(F.min_by("target", F.struct("p", "target")).alias("target"))
 
 
-def parent_closure(links: DataFrame) -> DataFrame:
-    """(name, ancestor, distance) over (name, parent) rows; a name that reaches itself lies on a cycle, and goes round it once.
+def parent_closure(links: DataFrame, rounds: int = 40) -> DataFrame:
+    """(name, ancestor, distance) over (name, parent) rows, distances the shortest; a name that reaches itself lies on a cycle.
 
-    Links are configuration, read to the driver behind a check of their number.
+    Known paths are joined to themselves until none is new or shorter, so their length doubles with every round; each round
+    is settled, and only its count and the sum of its distances reach the driver.
     """
-    rows = links.where("parent is not null").select("name", "parent").distinct().limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"over {MOST_TERMS} parent links")
-    up: dict[str, list[str]] = {}
-    for r in rows:
-        up.setdefault(r["name"], []).append(r["parent"])
-    out = []
-    for name in up:
-        level, seen, distance = up[name], set(), 1
-        while level:
-            fresh = sorted(set(level) - seen)
-            seen.update(fresh)
-            out += [(name, a, distance) for a in fresh]
-            level, distance = [p for a in fresh if a != name for p in up.get(a, ())], distance + 1
-    return links.sparkSession.createDataFrame(out, "name string, ancestor string, distance int")
+    paths = settled(links.where("parent is not null and name is not null").select("name", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct())
+    seen = None
+    for _ in range(rounds):
+        on = paths.select(F.col("name").alias("ancestor"), F.col("ancestor").alias("further"), F.col("distance").alias("more"))
+        longer = paths.join(on, "ancestor").select("name", F.col("further").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        paths = settled(paths.union(longer).groupBy("name", "ancestor").agg(F.min("distance").alias("distance")))
+        now = tuple(paths.agg(F.count("*"), F.sum("distance")).first())
+        if now == seen:
+            return paths
+        seen = now
+    raise RuntimeError(f"parent links did not settle in {rounds} rounds")
 
 
 def parent_faults(names: DataFrame, links: DataFrame) -> DataFrame:

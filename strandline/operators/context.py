@@ -44,12 +44,24 @@ def slot_candidates(before, after, order: list[str]):
 
 
 def unknown_names(features: DataFrame) -> DataFrame:
-    """Groups of names nothing resolves, by representative: (representative, records, first_candidates).
+    """Names nothing resolves, by representative: (representative, n_records, first_candidates).
 
-    features: record_id, ord, and candidates, an array of (value, target, sentinel) in order of priority.
+    features: record_id, ord, and candidates, an array of (value, target, sentinel) in order of priority. Which records bear
+    a name is in unknown_name_records(), a row each: some names stand in most records.
     """
+    names = F.array_join(F.transform("candidates", lambda c: c["value"]), "|")
+    rows = _unresolved(features).withColumn("names", names)
+    # First by record, then over records: a name's rows are summed before they meet.
+    one = rows.groupBy("representative", "record_id").agg(F.min(F.struct("ord", "names")).alias("x"))
+    return one.groupBy("representative").agg(F.count("*").alias("n_records"), F.min_by("x.names", "record_id").alias("first_candidates"))
+
+
+def unknown_name_records(features: DataFrame) -> DataFrame:
+    """(representative, record_id), each pair once."""
+    return _unresolved(features).select("representative", "record_id").distinct()
+
+
+def _unresolved(features: DataFrame) -> DataFrame:
     real = F.exists("candidates", lambda c: c["target"].isNotNull() & ~c["sentinel"])
     free = F.filter("candidates", lambda c: ~F.coalesce(c["sentinel"], F.lit(False)))
-    rows = features.where(~real & (F.size(free) > 0)).withColumn("representative", F.element_at(free, 1)["value"])
-    names = F.array_join(F.transform("candidates", lambda c: c["value"]), "|")
-    return rows.groupBy("representative").agg(F.array_join(F.sort_array(F.collect_set("record_id")), ",").alias("records"), F.min_by(names, F.struct("record_id", "ord")).alias("first_candidates"))
+    return features.where(~real & (F.size(free) > 0)).withColumn("representative", F.element_at(free, 1)["value"])

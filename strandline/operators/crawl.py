@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.lineage import settled
 from strandline.functions.names import first_wins, slug
 
+#: Registry rows that become one expression; larger registries are joined.
 MOST_KEYWORDS = 10_000
+GRAM = 4
 
 
 def accessions(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -16,20 +19,42 @@ def accessions(lines: DataFrame, column: str = "value") -> DataFrame:
     return kept.select(F.explode(F.split(F.trim(F.regexp_replace(column, ",", " ")), r"\s+")).alias("accession")).where("accession <> ''")
 
 
-def keyword_match(records: DataFrame, text: str, registry: DataFrame) -> DataFrame:
+def keyword_match(records: DataFrame, text: str, registry: DataFrame, most: int = MOST_KEYWORDS) -> DataFrame:
     """records with virus: the first registry entry, by (ord, kw_ord), one of whose keywords the text holds.
 
-    The registry is a few hundred rows of configuration; it is read to the driver and becomes one expression, so records
-    are not shuffled. Raises when it has over MOST_KEYWORDS rows.
+    A registry of up to `most` rows is read to the driver and becomes one expression, so records are not shuffled. The
+    keywords of a larger one are found by their first GRAM letters among all such runs of the text, then compared whole;
+    keywords of fewer letters are few and stay an expression. Both give the same rows.
     """
-    rows = registry.orderBy("ord", "kw_ord").limit(MOST_KEYWORDS + 1).collect()
-    if len(rows) > MOST_KEYWORDS:
-        raise ValueError(f"over {MOST_KEYWORDS} registry rows")
-    hit = F.lit(None).cast("string")
-    for r in reversed(rows):
-        if r["keyword"]:
-            hit = F.when(F.contains(F.lower(F.col(text)), F.lower(F.lit(r["keyword"]))), r["virus"]).otherwise(hit)
-    return records.withColumn("virus", hit)
+    listed = registry.where("keyword <> ''").select("ord", "kw_ord", "virus", F.lower("keyword").alias("keyword"))
+    held = F.lower(F.col(text))
+
+    def first(rows):
+        hit = F.lit(None).cast("struct<ord:bigint,kw_ord:bigint,virus:string>")
+        for r in sorted(rows, key=lambda r: (r["ord"], r["kw_ord"]), reverse=True):
+            hit = F.when(F.contains(held, F.lit(r["keyword"])), F.struct(F.lit(r["ord"]).cast("bigint").alias("ord"), F.lit(r["kw_ord"]).cast("bigint").alias("kw_ord"), F.lit(r["virus"]).alias("virus"))).otherwise(hit)
+        return hit
+
+    rows = listed.limit(most + 1).collect()
+    if len(rows) <= most:
+        return records.withColumn("virus", first(rows)["virus"])
+    short = listed.where(F.length("keyword") < GRAM).groupBy("keyword").agg(F.min(F.struct("ord", "kw_ord", "virus")).alias("x")).select("keyword", "x.*").collect()
+    texts = records.select(held.alias("_held")).where("_held is not null").distinct()
+    grams = texts.select("_held", F.explode(F.array_distinct(F.regexp_extract_all("_held", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))).alias("_gram"))
+    long = listed.where(F.length("keyword") >= GRAM).withColumn("_gram", F.substring("keyword", 1, GRAM))
+    best = grams.join(long, "_gram").where(F.contains("_held", "keyword")).groupBy("_held").agg(F.min(F.struct(F.col("ord").cast("bigint").alias("ord"), F.col("kw_ord").cast("bigint").alias("kw_ord"), "virus")).alias("_long"))
+    out = records.join(best, held == F.col("_held"), "left")
+    return out.withColumn("virus", F.least("_long", first(short))["virus"]).drop("_held", "_long")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with ord, their place from 1 in the order: places are counted in each partition, and only the partitions' sizes are read."""
+    placed = settled(rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
+    sizes, total, before = placed.groupBy("_part").count().orderBy("_part").collect(), 0, {}
+    for r in sizes:
+        before[r["_part"]], total = total, total + r["count"]
+    offset = F.create_map(*(F.lit(x) for p, n in before.items() for x in (p, n))) if before else F.create_map().cast("map<int,int>")
+    return placed.withColumn("ord", F.col("_id").bitwiseAND((1 << 33) - 1) + F.try_element_at(offset, F.col("_part")) + 1).drop("_part", "_id")
 
 
 def dedup_status(records: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def collapse_duplicates(resolved: DataFrame, reference: DataFrame) -> DataFrame:
 
     first_ord is the place of the name's first feature, which is the place of the one that stays.
     """
-    rows = resolved.where("name is not null and name <> ''").join(F.broadcast(reference_names(reference)), "name", "left").withColumn("length", F.col("end") - F.col("start") + 1)
+    rows = resolved.where("name is not null and name <> ''").join(reference_names(reference), "name", "left").withColumn("length", F.col("end") - F.col("start") + 1)
     by_name = Window.partitionBy("record_id", "name")
     best = by_name.orderBy(F.coalesce(F.abs(F.col("length") - F.col("ref_len")), F.lit(0)), F.col("length").desc(), "start", "ord")
     return rows.withColumns({"first_ord": F.min("ord").over(by_name), "_n": F.row_number().over(best)}).where("_n = 1").drop("_n")

@@ -16,6 +16,7 @@ from strandline.functions.sequence import cds_flags, cut, first_stop_end, has_st
 from strandline.operators import hsp
 
 TRUSTED_MISSING = 3
+MOST_FEATURES = 20_000
 
 
 @dataclass(frozen=True)
@@ -43,9 +44,12 @@ def _shift(n: Column) -> Column:
 def lift(records: DataFrame, reference: DataFrame, hsps: DataFrame, config: LiftConfig = LiftConfig()) -> DataFrame:
     """Rows of schema.LIFTED. reference: as reference_proteins() gives it; hsps: schema.HSP, of any strand."""
     ref = reference.select("feature_idx", "name", F.col("start").alias("ref_start"), F.col("end").alias("ref_end"), F.col("strand").alias("ref_strand"), "protein", "protein_len", "atg")
-    aligned = hsps.join(F.broadcast(ref.select("feature_idx", "protein_len")), "feature_idx")
+    aligned = hsps.join(ref.select("feature_idx", "protein_len"), "feature_idx")
     ends = hsp.on_voted_strand(aligned).groupBy(*hsp.KEY).agg(F.min("q_lo").alias("q_min"), F.max("q_hi").alias("q_max"))
     spans = hsp.merged(aligned).drop("protein_len").join(ends, hsp.KEY)
+    # Every record meets every feature of the one reference genome, whose number is checked.
+    if ref.limit(MOST_FEATURES + 1).count() > MOST_FEATURES:
+        raise ValueError(f"over {MOST_FEATURES} reference features; lift them in several calls")
     rows = records.select("record_id").crossJoin(F.broadcast(ref)).join(spans, hsp.KEY, "left").join(records.select("record_id", "seq", "seq_len"), "record_id")
     rows = rows.withColumns({"raw_start": F.col("start"), "raw_end": F.col("end"), "missing": F.greatest(F.col("q_min") - 1, F.lit(0)), "expected": F.col("protein_len") * 3 + 3, "strand": F.coalesce("strand", "ref_strand")})
     c = F.col

@@ -31,13 +31,19 @@ def classified(rows: DataFrame) -> DataFrame:
 
 
 def deduplicated(rows: DataFrame) -> DataFrame:
-    """One row for each (normal form, field, canonical): the best score, the first of equals by ord; with its support."""
-    value = [c for c in rows.columns if c not in ("field", "canonical_name")]
-    keyed = rows.withColumn("norm", norm(F.col("raw_value")))
-    one = keyed.groupBy("norm", F.coalesce("field", F.lit("")).alias("field"), F.coalesce("canonical_name", F.lit("")).alias("canonical_name")).agg(
-        F.max_by(F.struct(*value), F.struct("score", (-F.col("ord")).alias("o"))).alias("r"), F.sort_array(F.collect_set(F.nullif("record_id", F.lit("")))).alias("s"), F.min("ord").alias("first_ord"))
-    listed = F.concat(F.array_join(F.slice("s", 1, 10), ", "), F.when(F.size("s") > 10, F.format_string(", ... (+%d)", F.size("s") - 10)).otherwise(""))
-    return one.select("norm", "field", "canonical_name", *(F.col(f"r.{c}").alias(c) for c in value), "first_ord", F.size("s").alias("support_count"), listed.alias("support_records"))
+    """One row for each (normal form, field, canonical): the best score, the first of equals by ord; with its support.
+
+    ord is any column that has an order. Of the records of a name only ten are ever gathered; the others are counted.
+    """
+    key, value = ["norm", "field", "canonical_name"], [c for c in rows.columns if c not in ("field", "canonical_name")]
+    keyed = rows.withColumns({"norm": norm(F.col("raw_value")), "field": F.coalesce("field", F.lit("")), "canonical_name": F.coalesce("canonical_name", F.lit(""))})
+    one = keyed.groupBy(*key).agg(F.min_by(F.struct(*value), F.struct((-F.col("score")).alias("s"), F.col("ord").alias("o"))).alias("r"), F.min("ord").alias("first_ord"))
+    named = keyed.where("record_id <> ''").select(*key, "record_id").distinct()
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("record_id"))
+    first = named.withColumn("_n", rank).where("_n <= 10").groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list("record_id")), ", ").alias("_first"))
+    support = named.groupBy(*key).agg(F.count("*").cast("int").alias("_all")).join(first, key)
+    more = F.when(F.col("_all") > 10, F.format_string(", ... (+%d)", F.col("_all") - 10)).otherwise("")
+    return one.join(support, key, "left").select(*key, *(F.col(f"r.{c}").alias(c) for c in value), "first_ord", F.coalesce("_all", F.lit(0)).alias("support_count"), F.coalesce(F.concat("_first", more), F.lit("")).alias("support_records"))
 
 
 def demoted(rows: DataFrame) -> DataFrame:
@@ -67,7 +73,7 @@ def in_order(rows: DataFrame) -> DataFrame:
 def seed_override(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     """rows whose name is a seed canonical (seeds: canonical) take it for their canonical."""
     known = seeds.select(norm(F.col("canonical")).alias("_n"), F.col("canonical").alias("canonical_override")).dropDuplicates(["_n"])
-    return rows.join(F.broadcast(known), norm(F.col("raw_value")) == F.col("_n"), "left").withColumn("canonical_name", F.coalesce("canonical_override", "canonical_name")).drop("_n")
+    return rows.join(known, norm(F.col("raw_value")) == F.col("_n"), "left").withColumn("canonical_name", F.coalesce("canonical_override", "canonical_name")).drop("_n")
 
 
 def risky_shape(raw: Column, canonical: Column) -> Column:
@@ -113,7 +119,7 @@ def valid_reviews(reviews: DataFrame, canonicals: DataFrame) -> DataFrame:
     """Reviews with known values; one that saves an alias must name a known canonical."""
     known = canonicals.select(F.col("canonical").alias("canonical_name")).distinct().withColumn("_k", F.lit(True))
     rows = reviews.where(F.col("recommendation").isin("save_alias", "ignore", "move_to_ambiguous", "skip") & F.col("confidence").isin("low", "medium", "high"))
-    return rows.join(F.broadcast(known), "canonical_name", "left").where("recommendation <> 'save_alias' or _k").drop("_k")
+    return rows.join(known, "canonical_name", "left").where("recommendation <> 'save_alias' or _k").drop("_k")
 
 
 def merged_reviews(rows: DataFrame, reviews: DataFrame) -> DataFrame:

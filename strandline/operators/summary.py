@@ -67,7 +67,7 @@ def export_key() -> Column:
 
 def display_rows(lifted: DataFrame, reference_names: DataFrame) -> DataFrame:
     """lifted with gene, the reference's own name for it (reference_names: name, shown)."""
-    return lifted.join(F.broadcast(reference_names.select("name", "shown")), "name", "left").withColumn("gene", F.coalesce("shown", "name")).drop("shown")
+    return lifted.join(reference_names.select("name", "shown"), "name", "left").withColumn("gene", F.coalesce("shown", "name")).drop("shown")
 
 
 def fasta_rows(lifted: DataFrame, genes: list[str] | None, approved: DataFrame, least_coverage: float = 0.5, least_identity: float = 0.0, accepted: tuple[str, ...] = ("ok", "direct", "ok_rescued", "ok_extrapolated")) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.lineage import settled
 from strandline.operators.alias import alias_lookup, lookup_map, resolve
 from strandline.operators.crawl import keyword_match
 from strandline.operators.direct import direct_features, with_sequence
@@ -17,6 +18,10 @@ from strandline.operators.summary import status_counts
 from strandline.sources.genbank import features_of
 
 
+#: Stands between a repeated record_id and its number; no record_id holds it.
+REPEAT = "\u0001"
+
+
 @dataclass
 class Reference:
     """One reference record ready for use: its features with canonical names, its genome, its level, the alias map."""
@@ -55,15 +60,24 @@ def detect_virus(records: DataFrame, registry: DataFrame) -> DataFrame:
     return keyword_match(rows, "_t", registry).drop("_t")
 
 
+def told_apart(records: DataFrame) -> DataFrame:
+    """records, each with a record_id of its own: all but the first of a record_id bear a number behind REPEAT."""
+    if records.groupBy("record_id").count().where("count > 1").isEmpty():
+        return records
+    rows = settled(records.withColumn("_n", F.monotonically_increasing_id()))
+    first = rows.groupBy(F.col("record_id").alias("_id")).agg(F.min("_n").alias("_first"))
+    rows = rows.join(first, F.col("record_id").eqNullSafe(F.col("_id")))
+    return rows.withColumn("record_id", F.when(F.col("_n") == F.col("_first"), F.col("record_id")).otherwise(F.concat("record_id", F.lit(REPEAT), F.col("_n").cast("string")))).drop("_n", "_first", "_id")
+
+
 def annotate(records: DataFrame, reference: Reference, config: LiftConfig | None = None, hsps: DataFrame | None = None) -> Run:
     """records: schema.RECORD. hsps: alignments made elsewhere; without them the native search runs on the records to lift.
 
-    Records without a sequence can be neither read nor lifted: they are errors, and the others go on. A record_id stands for
-    one record; of records that repeat it one is annotated.
+    Records without a sequence can be neither read nor lifted, and a record in which the search fails is not lifted: they are
+    errors, and the others go on. Records that repeat a record_id are annotated each for itself.
     """
     config = config or LiftConfig(codons=reference.level == "CDS")
-    good = records.where("seq is not null and seq_len > 0").dropDuplicates(["record_id"])
-    errors = records.where("seq is null or coalesce(seq_len, 0) = 0").select("record_id", F.lit("no sequence").alias("error"))
+    good, errors = told_apart(records.where("seq is not null and seq_len > 0")), records.where("seq is null or coalesce(seq_len, 0) = 0").select("record_id", F.lit("no sequence").alias("error"))
     rows = features_of(good, reference.level)
     if reference.lookup is not None:
         rows = resolve(rows, reference.lookup)
@@ -75,6 +89,12 @@ def annotate(records: DataFrame, reference: Reference, config: LiftConfig | None
     direct = with_sequence(direct_features(rows.join(routes.where("strategy = 'direct'").select("record_id"), "record_id", "left_semi"), reference.features), good)
     todo = good.join(routes.where("strategy = 'tblastn'").select("record_id"), "record_id", "left_semi").select("record_id", "seq", "seq_len")
     proteins = reference_proteins(reference.features.select("feature_idx", "name", "start", "end", "strand"), reference.genome)
-    lifted = lift(todo, proteins, hsps if hsps is not None else search(todo, proteins.select("feature_idx", "protein"), config.evalue), config)
+    if hsps is None:
+        # Settled, because the errors are read from the same rows.
+        hsps = settled(search(todo, proteins.select("feature_idx", "protein"), config.evalue))
+        failed = hsps.where("feature_idx is null").select("record_id", F.col("strand").alias("error")).distinct()
+        hsps, errors, todo = hsps.where("feature_idx is not null"), errors.union(failed), todo.join(failed.select("record_id"), "record_id", "left_anti")
+    lifted = lift(todo, proteins, hsps, config)
     both = lifted.unionByName(direct.withColumn("feature_idx", F.col("first_ord").cast("int")).drop("first_ord"), allowMissingColumns=True)
+    both, errors, routes = (x.withColumn("record_id", F.substring_index("record_id", REPEAT, 1)) for x in (both, errors, routes))
     return Run(both, status_counts(both), errors, routes)

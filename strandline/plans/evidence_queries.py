@@ -103,22 +103,24 @@ def six_frame_translate(t):
     return search.translated_frames(t.records)
 
 
-QUERY_GENES = "qp as (select record_id, frame, protein from fr where record_id in ('R1', 'R7', 'R19') and frame = 1)"
+#: The first frames of every fiftieth record are searched for in all records.
+QUERY_GENES = "qp as (select record_id, frame, protein from fr where cast(substring(record_id, 2) as int) % 50 = 0 and frame = 1)"
+K = 5
 
 
 @query(f"""with f as (select record_id, seq as s, unnest([0, 1, 2]) as o, 1 as g from records union all select record_id, {d_revcomp('seq')}, unnest([0, 1, 2]), -1 from records), x as (select record_id, g * (o + 1) as frame, substring(s, o + 1) as x from f), fr as (select record_id, frame, {d_translated('x')} as protein from x), {QUERY_GENES},
-    gk as (select record_id, frame, pos, substring(protein, pos, 3) as kmer from (select *, unnest(range(1, length(protein) - 1)) as pos from fr)), qk as (select case record_id when 'R1' then 1 when 'R7' then 7 else 19 end as feature_idx, pos, substring(protein, pos, 3) as kmer from (select *, unnest(range(1, length(protein) - 1)) as pos from qp))
+    gk as (select record_id, frame, pos, substring(protein, pos, {K}) as kmer from (select *, unnest(range(1, length(protein) - {K} + 2)) as pos from fr)), qk as (select cast(substring(record_id, 2) as int) as feature_idx, pos, substring(protein, pos, {K}) as kmer from (select *, unnest(range(1, length(protein) - {K} + 2)) as pos from qp))
     select q.feature_idx, g.record_id, g.frame, g.pos - q.pos as diagonal, count(*) as seeds from gk g join qk q using (kmer) group by all having count(*) >= 2""", "records")
 def kmer_seed_join(t):
     frames = search.translated_frames(t.records)
-    mine = frames.where("record_id in ('R1', 'R7', 'R19') and frame = 1").select(F.substring("record_id", 2, 9).cast("int").alias("feature_idx"), "protein")
-    return search.seed_diagonals(search.kmers(mine, ["feature_idx"], "protein", 3), search.kmers(frames, ["record_id", "frame"], "protein", 3))
+    mine = search.translated_frames(t.records.where("rid % 50 = 0")).where("frame = 1").select(F.substring("record_id", 2, 9).cast("int").alias("feature_idx"), "protein")
+    return search.seed_diagonals(search.kmers(mine, ["feature_idx"], "protein", K), search.kmers(frames, ["record_id", "frame"], "protein", K))
 
 
 @query()
 def native_hsp_search(t):
-    proteins = t.records.where("record_id in ('R1', 'R7', 'R19')").select(F.substring("record_id", 2, 9).cast("int").alias("feature_idx"), F.substring(S.translated(F.col("seq")), 20, 40).alias("protein"))
-    return search.search(t.records, proteins.withColumn("protein", F.replace("protein", F.lit("*"), F.lit("X"))))
+    proteins = t.records.where("rid % 50 = 0").select(F.col("rid").cast("int").alias("feature_idx"), F.replace(S.translated(F.col("seq")), F.lit("*"), F.lit("X")).alias("protein"))
+    return search.search(t.records, proteins)
 
 
 # ---- intervals and alignments
@@ -175,9 +177,9 @@ def threshold_gate(t):
 GAPPY = """gp as (select record_id, feature_idx, name, (feature_idx - 1) * 60 + 1 as ref_start, feature_idx * 60 as ref_end, '+' as strand, case when query_start is null then null else (feature_idx - 1) * 60 + query_start % 20 end as query_start, case when query_start is null then null else feature_idx * 60 - query_start % 15 end as query_end, coverage, status from lifted)"""
 
 
-@query(f"""with {GAPPY} select g.record_id, g.feature_idx, case when ok then l.query_end + 1 else g.query_start end as query_start, case when ok then r.query_start - 1 else g.query_end end as query_end, case when ok then 'ok_gap_filled' else g.status end as status, case when ok then 1.0 else g.coverage end as coverage
-    from (select g.*, coalesce(g.status = 'no_hit' and g.query_start is null and r.query_start - l.query_end - 1 between greatest(1, 30.0) and 90.0, false) as ok from gp g left join gp l on g.record_id = l.record_id and l.ref_end = g.ref_start - 1 left join gp r on g.record_id = r.record_id and r.ref_start = g.ref_end + 1) g
-    left join gp l on g.record_id = l.record_id and l.ref_end = g.ref_start - 1 left join gp r on g.record_id = r.record_id and r.ref_start = g.ref_end + 1""", "lifted")
+@query(f"""with {GAPPY}, w as (select *, lag(query_end) over near as l, lead(query_start) over near as r from gp window near as (partition by record_id order by feature_idx)),
+    k as (select *, coalesce(status = 'no_hit' and query_start is null and r - l - 1 between 30.0 and 90.0, false) as ok from w)
+    select record_id, feature_idx, case when ok then l + 1 else query_start end as query_start, case when ok then r - 1 else query_end end as query_end, case when ok then 'ok_gap_filled' else status end as status, case when ok then 1.0 else coverage end as coverage from k""", "lifted")
 def gap_fill_neighbours(t):
     i, q = F.col("feature_idx"), F.col("query_start")
     rows = t.lifted.select("record_id", "feature_idx", "name", ((i - 1) * 60 + 1).alias("ref_start"), (i * 60).alias("ref_end"), F.lit("+").alias("strand"), ((i - 1) * 60 + q % 20).alias("query_start"), (i * 60 - q % 15).alias("query_end"), "coverage", "status")

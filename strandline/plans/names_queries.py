@@ -191,19 +191,47 @@ def ncbi_query_build(t):
 
 @query("select record_id, (rank - 1) // 200 as batch from (select record_id, row_number() over (order by rid) as rank from records)", "records")
 def accession_batches(t):
-    return crawl.batches(t.records.withColumn("ord", F.row_number().over(Window.orderBy("rid")))).select("record_id", "batch")
+    return crawl.batches(crawl.numbered(t.records.select("record_id", "rid"), "rid")).select("record_id", "batch")
 
 
 @query(f"""with {RESOLVED}, cand as (select h.record_id, h.ord, count(*) filter (not barred) as good from hits h group by h.record_id, h.ord),
     v as (select q.*, h.target, coalesce(h.barred, false) as barred from q left join hits h on q.record_id = h.record_id and q.ord = h.ord and q.pr = h.pr),
     open as (select v.* from v left join cand c on v.record_id = c.record_id and v.ord = c.ord where coalesce(c.good, 0) = 0),
     rep as (select record_id, ord, arg_min(value, pr) filter (not barred) as representative, string_agg(value, '|' order by pr) as names from open group by record_id, ord)
-    select representative, string_agg(distinct record_id, ',' order by record_id) as records, arg_min(names, (record_id, ord)) as first_candidates from rep where representative is not null group by representative""", *RAW)
+    select representative, count(distinct record_id) as n_records, arg_min(names, (record_id, ord)) as first_candidates from rep where representative is not null group by representative""", *RAW)
 def unknown_name_scan(t):
+    return context.unknown_names(_candidates(t))
+
+
+@query(f"""with {RESOLVED}, cand as (select h.record_id, h.ord, count(*) filter (not barred) as good from hits h group by h.record_id, h.ord),
+    v as (select q.*, h.target, coalesce(h.barred, false) as barred from q left join hits h on q.record_id = h.record_id and q.ord = h.ord and q.pr = h.pr),
+    open as (select v.* from v left join cand c on v.record_id = c.record_id and v.ord = c.ord where coalesce(c.good, 0) = 0)
+    select distinct representative, record_id from (select record_id, ord, arg_min(value, pr) filter (not barred) as representative from open group by record_id, ord) where representative is not null""", *RAW)
+def unknown_name_records(t):
+    return context.unknown_name_records(_candidates(t))
+
+
+def _candidates(t):
     table = alias.lookup_map(lookup(t))
     one = lambda c: F.when(F.col(c) != "", F.struct(F.col(c).alias("value"), alias.target_of(F.col(c), table).alias("target"), F.coalesce(alias.is_sentinel(alias.target_of(F.col(c), table)), F.lit(False)).alias("sentinel")))
-    rows = t.features.select("record_id", "ord", F.filter(F.array(one("gene"), one("product"), one("locus_tag")), lambda x: x.isNotNull()).alias("candidates"))
-    return context.unknown_names(rows)
+    return t.features.select("record_id", "ord", F.filter(F.array(one("gene"), one("product"), one("locus_tag")), lambda x: x.isNotNull()).alias("candidates"))
+
+
+#: Names as reviewers see them, and the canonicals there are.
+SHOWN_NAMES = "case i % 8 when 0 then v when 1 then v || ' protein' when 2 then v || '-CDS' when 3 then 'replicase polyprotein 1a' when 4 then 'ORF1a/1b ' || v when 5 then 'contains ORF1a and ORF1b' when 6 then upper(v) || ' gene' else 'polyprotein ORF' || i || 'b' end"
+AVAILABLE = ("ORF1a", "ORF1ab", "ORF7b", "orf-7b", "S", "E", "M", "N", "Spike", "ORF3")
+
+
+@query(f"""with s as (select p_partkey, {SHOWN_NAMES.replace("i %", "p_partkey %").replace("|| i ||", "|| (p_partkey % 9)::varchar ||").replace(" v ", " p.v ").replace("(v)", "(p.v)")} as raw_value from part join pool p on p_partkey % 24 = p.i),
+    c as (select unnest({list(AVAILABLE)}) as canonical, unnest(range({len(AVAILABLE)})) as k), n as (select *, {d_norm("raw_value")} as r, {d_norm("canonical")} as z from s, c),
+    m as (select *, case when r = z then 0 when r in (z || 'protein', z || 'polyprotein', z || 'gene', z || 'cds') then 1 when regexp_extract(z, '^orf([0-9]+[a-z]*)$', 1) <> '' and regexp_extract(r, 'polyprotein(?:orf)?([0-9]+[a-z]*)$', 1) = regexp_extract(z, '^orf([0-9]+[a-z]*)$', 1) then 2
+        when z = 'orf1ab' and (regexp_matches(lower(raw_value), 'orf\\s*1a\\s*/\\s*(?:orf\\s*)?1?b') or regexp_matches(lower(raw_value), 'orf\\s*1a\\s+and\\s+orf\\s*1b')) then 3 end as tier from n)
+    select p_partkey, max(raw_value) as raw_value, arg_min(canonical, (tier, length(canonical), k)) filter (tier is not null) as canonical from m group by p_partkey""", "pool")
+def best_available_canonical(t):
+    i, v = F.col("p_partkey") % 8, F.col("v")
+    shown = F.when(i == 0, v).when(i == 1, F.concat(v, F.lit(" protein"))).when(i == 2, F.concat(v, F.lit("-CDS"))).when(i == 3, "replicase polyprotein 1a").when(i == 4, F.concat(F.lit("ORF1a/1b "), v)).when(i == 5, "contains ORF1a and ORF1b").when(i == 6, F.concat(F.upper(v), F.lit(" gene"))).otherwise(F.concat(F.lit("polyprotein ORF"), (F.col("p_partkey") % 9).cast("string"), F.lit("b")))
+    rows = t.part.join(t.pool, F.col("p_partkey") % 24 == F.col("i")).select("p_partkey", shown.alias("raw_value"))
+    return rows.withColumn("canonical", N.best_canonical(F.col("raw_value"), F.array(*map(F.lit, AVAILABLE))))
 
 
 @query(f"""with {LOOKUP}, dec as (select {d_norm("v")} as norm, 'NEW' || i::varchar as target from pool where i % 5 = 0), d as (select norm, min(target) as target from dec group by norm)
@@ -279,10 +307,10 @@ def spans(t):
     return t.features.join(t.records.select("record_id", "seq"), "record_id").select("record_id", "ord", cut(F.col("seq"), F.col("start"), F.col("end"), F.col("strand")).alias("sequence"))
 
 
-@query(f"""with {NAMED}, g as (select record_id, count(*) filter (type = 'mat_peptide') as m, count(*) filter (type = 'CDS') as c, count(*) filter (type = 'CDS' and (lower(shown) in ('', 'unknown') or contains(lower(shown), 'polyprotein'))) as s from named where record_id like '%7' or type = 'CDS' group by record_id)
+@query(f"""with {NAMED}, g as (select record_id, count(*) filter (type = 'mat_peptide') as m, count(*) filter (type = 'CDS') as c, count(*) filter (type = 'CDS' and (lower(shown) in ('', 'unknown') or contains(lower(shown), 'polyprotein'))) as s from named group by record_id)
     select record_id, case when m > 0 then 'mat_peptide' else 'CDS' end as type from g where m > 0 or (c > 0 and not (c = 1 and s = 1))""", "features")
 def level_by_type(t):
-    return routing.level_without_lookup(named_features(t).where("record_id like '%7' or type = 'CDS'"))
+    return routing.level_without_lookup(named_features(t))
 
 
 @query(f"""with x as (select p_partkey, v, k, {d_norm("v")} as n from (select p_partkey, trim(unnest(string_split_regex(p_name || ',' || p_brand || chr(10) || ' ' || upper(p_name) || ',,' || p_type, '[,\\n]+'))) as v, generate_subscripts(string_split_regex(p_name || ',' || p_brand || chr(10) || ' ' || upper(p_name) || ',,' || p_type, '[,\\n]+'), 1) as k from part))

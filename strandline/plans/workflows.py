@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.names import QUALIFIERS, compound_parts, filled, norm
+from strandline.functions.names import QUALIFIERS, best_canonical, compound_parts, filled, first_matching, first_wins, norm
 from strandline.operators import alias, context, crawl, routing, suggest, summary
 from strandline.operators.lift import LiftConfig, lift, reference_proteins
 from strandline.operators.search import search
 from strandline.plans.annotate import Reference
 from strandline.sources import sinks, tables
-from strandline.sources.genbank import features_of, parse_record
+from strandline.sources.genbank import features_of, parse_record, raw_records
 
 
 def split_crawl(spark: SparkSession, raw: str, registry: dict, ledger: str, output: str, known: bool = False) -> DataFrame:
@@ -19,18 +19,18 @@ def split_crawl(spark: SparkSession, raw: str, registry: dict, ledger: str, outp
 
     The raw texts are written as they came. known: only report, write nothing.
     """
-    texts = spark.read.option("lineSep", "\n//\n").text(raw).where("length(trim(value)) > 0")
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            rows = [(r["record_id"], r["organism"], r["seq_len"], t) for t in batch.value if (r := parse_record(t))]
-            yield pd.DataFrame(rows, columns=["accession", "organism", "length", "text"])
+            rows = [(r["record_id"], r["organism"], r["seq_len"], *row) for row in batch.itertuples(index=False) if (r := parse_record(row[0]))]
+            yield pd.DataFrame(rows, columns=["accession", "organism", "length", "text", "file_path", "file_block_start"])
 
-    rows = texts.mapInPandas(run, "accession string, organism string, length int, text string")
-    # The order of the files decides which of equal accessions is new: file name, then place within it.
-    rows = rows.withColumn("ord", F.monotonically_increasing_id())
+    rows = raw_records(spark, raw).mapInPandas(run, "accession string, organism string, length int, text string, file_path string, file_block_start long")
+    # The order of the files decides which of equal accessions is new: file name, then place within it. A block of a file is
+    # read by one task from its beginning, so within it the running number is that place.
+    rows = rows.withColumn("ord", F.struct("file_path", "file_block_start", F.monotonically_increasing_id().alias("n"))).drop("file_path", "file_block_start")
     rows = crawl.keyword_match(rows, "organism", tables.registry_table(spark, registry, with_name=True))
     marked = crawl.dedup_status(rows, tables.read_ledger(spark, ledger))
     table = crawl.manifest(marked)
@@ -72,8 +72,7 @@ def coordinate_suggestions(records: DataFrame, reference: Reference, seeds: Data
     rows = names.join(met, ["record_id", "q_idx"]).withColumns({"canonical_name": F.col("coordinate_canonical_name"), "strand_match": F.col("q_strand") == F.col("l_strand")})
     if seeds is not None:
         rows = suggest.seed_override(rows, seeds)
-    rows = rows.withColumn("ord", F.struct("record_id", "q_idx", "k"))
-    rows = suggest.classified(rows).withColumn("ord", F.xxhash64("record_id", "q_idx", "k"))
+    rows = suggest.classified(rows.withColumn("ord", F.struct("record_id", "q_idx", "k")))
     return suggest.demoted(suggest.deduplicated(rows)).withColumn("needs_review", suggest.needs_review()).withColumn("review_id", suggest.review_id(F.col("norm"), F.col("field"), F.col("canonical_name")))
 
 
@@ -105,17 +104,33 @@ def unresolved_payload(unresolved: DataFrame, coding: DataFrame, gene_order: lis
     """
     placed = context.neighbours(coding).join(context.enclosing(coding), ["record_id", "ord"], "left").select("record_id", "ord", "neighbor_before", "neighbor_after", "container")
     rows = unresolved.join(placed, ["record_id", "ord"], "left").withColumn("norm", norm(F.col("name")))
-    one = rows.groupBy("norm").agg(F.min_by(F.struct("name", "record_id", "type", "start", "end", "strand", "length", "neighbor_before", "neighbor_after", "container", *(filled(F.col(q)).alias(q) for q in QUALIFIERS)), F.struct("record_id", "ord")).alias("x"), F.count("*").alias("n"))
+    one = rows.groupBy("norm").agg(F.min_by(F.struct("name", "record_id", "type", "start", "end", "strand", "length", "neighbor_before", "neighbor_after", "container", *(filled(F.col(q)).alias(q) for q in QUALIFIERS)), F.struct("record_id", "ord")).alias("x"), F.count("*").alias("n"), F.count_distinct("record_id").alias("records"))
     slots = context.slot_candidates(F.col("x.neighbor_before"), F.col("x.neighbor_after"), gene_order)
-    body = F.struct(F.lit(virus).alias("virus"), F.col("x.name").alias("raw_value"), F.col("n").alias("occurrences"), F.col("x").alias("feature"), slots.alias("slot_candidates"), F.when(F.size(slots) == 1, slots[0]).alias("slot"), F.array(*map(F.lit, gene_order)).alias("canonical_names"))
+    names = F.array(*map(F.lit, gene_order)) if gene_order else F.array().cast("array<string>")
+    values = first_wins(F.filter(F.array(F.col("x.name"), *(F.col(f"x.{q}") for q in QUALIFIERS)), lambda v: v.isNotNull()))
+    match = F.coalesce(best_canonical(F.col("x.name"), names), first_matching(values, names))
+    evidence = F.struct(values.alias("candidate_values"), F.size(values).alias("candidate_values_count"), (F.size(values) > 1).alias("has_multiple_candidate_values"), match.alias("matching_available_canonical"), F.col("records").alias("support_count"), (F.col("records") >= 3).alias("high_support_unresolved"))
+    body = F.struct(F.lit(virus).alias("virus"), F.col("x.name").alias("raw_value"), F.col("n").alias("occurrences"), *(evidence[f].alias(f) for f in ("candidate_values", "candidate_values_count", "has_multiple_candidate_values", "matching_available_canonical", "support_count", "high_support_unresolved")), F.col("x").alias("feature"), slots.alias("slot_candidates"), F.when(F.size(slots) == 1, slots[0]).alias("slot"), names.alias("canonical_names"))
     return one.select(suggest.review_id(F.lit(virus), F.col("norm")).alias("review_id"), F.to_json(body).alias("payload"))
 
 
+def unresolved_review(records: DataFrame, reference: Reference) -> DataFrame:
+    """(review_id, payload) of the names of records that nothing resolves, against the reference's own canonicals."""
+    rows = alias.resolve(features_of(records, reference.level), reference.lookup) if reference.lookup is not None else features_of(records, reference.level).withColumn("name_source", F.lit("raw"))
+    named = F.col("name_source").isin("alias", "alias_conflict_resolved")
+    coding = rows.select("record_id", "ord", "start", "end", F.when(named, F.col("name")).alias("canonical"))
+    order = [r["name"] for r in alias.ordered_distinct(reference.features.select("name", "ord")).orderBy("ord").select("name").collect()]
+    virus = reference.genome.first()["record_id"]
+    return unresolved_payload(rows.where("name_source = 'raw'"), coding, order, virus)
+
+
 def suggestion_payload(suggestions: DataFrame, canonicals: list[str], virus: str, most: int = 20) -> DataFrame:
     """(review_id, payload) of the first `most` suggestions that need review: what a reviewer is asked."""
     rows = suggest.in_order(suggestions.where("needs_review")).limit(max(1, most))
     kept = ["raw_value", "field", "canonical_name", "score", "suggested_action", "confidence", "reason", "support_count", "support_records", "cross_canonical_targets"]
-    return rows.select("review_id", F.to_json(F.struct(F.lit(virus).alias("virus"), F.struct(*kept).alias("suggestion"), F.array(*map(F.lit, canonicals)).alias("canonical_names"))).alias("payload"))
+    names = F.array(*map(F.lit, canonicals)) if canonicals else F.array().cast("array<string>")
+    suggestion = F.struct(*kept, best_canonical(F.col("raw_value"), names).alias("matching_available_canonical"), F.size("cross_canonical_targets").alias("cross_canonical_target_count"))
+    return rows.select("review_id", F.to_json(F.struct(F.lit(virus).alias("virus"), suggestion.alias("suggestion"), names.alias("canonical_names"))).alias("payload"))
 
 
 def seed_config(virus: str, reference: DataFrame) -> dict:
@@ -126,6 +141,8 @@ def seed_config(virus: str, reference: DataFrame) -> dict:
 
 def evaluation(lifted: DataFrame, records: DataFrame, reference: Reference) -> tuple[DataFrame, DataFrame]:
     """(compared features, accuracy by record and in all) against the records' own annotation."""
-    truth = alias.resolve(features_of(records, reference.level), reference.lookup).where("name_source in ('alias', 'alias_conflict_resolved')")
+    # What another feature holds is a part of a gene, not a gene to be compared with.
+    whole = context.sub_features(features_of(records, reference.level)).where("not is_sub").drop("is_sub")
+    truth = alias.resolve(whole, reference.lookup).where("name_source in ('alias', 'alias_conflict_resolved')")
     rows = summary.compared(lifted, truth.select("record_id", "name", "start", "end"))
     return rows, summary.accuracy(rows)

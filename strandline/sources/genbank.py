@@ -124,6 +124,12 @@ class GenBankSource(DataSource):
         return _Reader(self.options)
 
 
+def raw_records(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file_path, file_block_start): the text of each record, with either kind of line end, and where it stands."""
+    rows = spark.read.option("lineSep", "\n//").text(path).select(F.regexp_replace("value", r"^\s*\n|\r$", "").alias("value"), "_metadata.file_path", "_metadata.file_block_start")
+    return rows.where("length(trim(value)) > 0")
+
+
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
     """Rows of schema.RECORD from files in any store that Spark reads."""
     import pandas as pd
@@ -137,7 +143,7 @@ def read_genbank(spark: SparkSession, path: str) -> DataFrame:
             out["features"] = [[dict(zip(("type", "start", "end", "strand", "qualifiers"), f)) for f in fs] for fs in out["features"]]
             yield out
 
-    return spark.read.option("lineSep", "\n//\n").text(path).where("length(trim(value)) > 0").mapInPandas(run, RECORD)
+    return raw_records(spark, path).select("value").mapInPandas(run, RECORD)
 
 
 def single_genbank(spark: SparkSession, path: str) -> DataFrame:

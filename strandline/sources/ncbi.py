@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 BASE = "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/"
 #: Seconds between requests, without and with a key.
 DELAY, DELAY_WITH_KEY = 0.383, 0.12
+#: How often a request that fails is made in all.
+TRIES = 4
 
 
 def _open(url: str) -> str:
@@ -29,11 +31,17 @@ class Entrez:
         self.common, self.open, self.delay, self.last = {"email": email} | ({"api_key": api_key} if api_key else {}), open_url, DELAY_WITH_KEY if api_key else DELAY, 0.0
 
     def ask(self, tool: str, **options) -> str:
-        wait = self.last + self.delay - time.monotonic()
-        if wait > 0:
-            time.sleep(wait)
-        self.last = time.monotonic()
-        return self.open(f"{BASE}{tool}.fcgi?{urllib.parse.urlencode(options | self.common)}")
+        for left in reversed(range(TRIES)):
+            wait = self.last + self.delay - time.monotonic()
+            if wait > 0:
+                time.sleep(wait)
+            self.last = time.monotonic()
+            try:
+                return self.open(f"{BASE}{tool}.fcgi?{urllib.parse.urlencode(options | self.common)}")
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(self.delay * 2 ** (TRIES - left))
 
     def count(self, query: str, db: str = "nuccore") -> int:
         return int(json.loads(self.ask("esearch", db=db, term=query, retmax=0, retmode="json"))["esearchresult"]["count"])
@@ -41,11 +49,11 @@ class Entrez:
     def pages(self, query: str, retmax: int = 10_000, batch: int = 200, db: str = "nuccore"):
         found = json.loads(self.ask("esearch", db=db, term=query, retmax=0, usehistory="y", retmode="json"))["esearchresult"]
         for start in range(0, min(int(found["count"]), retmax), batch):
-            yield self.ask("efetch", db=db, query_key=found["querykey"], WebEnv=found["webenv"], retstart=start, retmax=min(batch, retmax - start), rettype="gb", retmode="text")
+            yield self.ask("efetch", db=db, query_key=found["querykey"], WebEnv=found["webenv"], retstart=start, retmax=min(batch, retmax - start), rettype="gbwithparts", retmode="text")
 
     def batches(self, accessions: list[str], batch: int = 200, db: str = "nuccore"):
         for i in range(0, len(accessions), batch):
-            yield self.ask("efetch", db=db, id=",".join(accessions[i : i + batch]), rettype="gb", retmode="text")
+            yield self.ask("efetch", db=db, id=",".join(accessions[i : i + batch]), rettype="gbwithparts", retmode="text")
 
 
 def split_records(page: str) -> list[str]:

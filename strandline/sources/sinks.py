@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.names import slug
 
+#: The header of the result table.
 RESULT_COLUMNS = (
     "query_id", "name", "source_name", "ref_start", "ref_end", "start", "end", "strand", "method", "status", "coverage", "identity", "score",
     "has_start_codon", "has_stop_codon", "in_frame", "rescue_target", "rescue_offset", "rescue_action", "length",
@@ -33,6 +34,11 @@ def write_results(lifted: DataFrame, path: str, single: bool = False) -> None:
     (rows.coalesce(1) if single else rows).write.option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
 
 
+def write_table(rows: DataFrame, path: str) -> None:
+    """Tab-separated rows with a header, also where there are none."""
+    rows.write.option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+
+
 def write_fasta(rows: DataFrame, path: str, by_gene: bool = True) -> None:
     """rows as summary.fasta_rows() gives them: a folder for each gene, or one of all."""
     if by_gene:

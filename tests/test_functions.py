@@ -82,3 +82,85 @@ def test_overlap_join_finds_each_pair_once(spark):
     want = sorted((x[1], y[1]) for x in rows for y in rows if x[2] <= y[3] and y[2] <= x[3])
     assert got == want
     assert one(spark, iou(F.lit(1), F.lit(10), F.lit(6), F.lit(15)), s="") == pytest.approx(5 / 15)
+
+
+@pytest.mark.parametrize("size", [30_000, 300_000])
+def test_long_genomes_take_time_in_proportion(spark, size):
+    """Translation against a plain loop; ten times the length may take about ten times as long, not a hundred."""
+    import random
+    import time
+
+    rng = random.Random(size)
+    code = {a + b + c: S.AMINO[i * 16 + j * 4 + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
+    seq = "".join(rng.choices("ACGT", k=size))
+    row = spark.createDataFrame([(seq,)], "s string")
+    row.select(S.translated(F.col("s")).alias("x")).first()
+    began = time.perf_counter()
+    got = row.select(S.translated(F.col("s")).alias("x")).first()["x"]
+    assert time.perf_counter() - began < 2 + size / 30_000
+    assert got == "".join(code[seq[i : i + 3]] for i in range(0, size - 2, 3))
+    from strandline.operators.search import kmers
+
+    rows = kmers(row, [], "s", 9)
+    assert rows.count() == size - 8 and rows.where("pos = 12345").first()["kmer"] == seq[12344:12353]
+
+
+def test_rescues_against_plain_loops(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for n in range(60):
+        seq = "".join(rng.choices("ACGT", k=rng.randrange(60, 200)))
+        a = rng.randrange(1, len(seq) - 20)
+        rows.append((n, seq, a, min(len(seq), a + rng.randrange(8, 60)), rng.choice("+-"), rng.choice([None, 30, 60])))
+    comp = str.maketrans("ACGT", "TGCA")
+    cut = lambda s, a, b, d: s[a - 1 : b] if d == "+" else s[a - 1 : b].translate(comp)[::-1]
+
+    def start(seq, a, b, d, want, window=25):
+        offsets = list(range(-window, window + 1))
+        if want is not None:
+            offsets.append(b - want + 1 - a if d == "+" else a + want - 1 - b)
+        found = []
+        for o in offsets:
+            x, y = (a + o, b) if d == "+" else (a, b + o)
+            if 1 <= x <= y <= len(seq) and cut(seq, x, y, d).startswith("ATG"):
+                n = y - x + 1
+                found.append(((n % 3 != 0), abs(n - want) if want is not None else 0, abs(o), o >= 0, x, y))
+        return min(found)[4:] if found else None
+
+    def stop(seq, a, b, d, want):
+        found = []
+        for n in range(1, 31):
+            x, y = (a, b + 3 * n) if d == "+" else (a - 3 * n, b)
+            if x >= 1 and y <= len(seq) and cut(seq, x, y, d)[-3:] in S.STOPS:
+                w = y - x + 1
+                found.append((w % 3 != 0, abs(w - want) if want is not None else 0, n, x, y))
+        return min(found)[3:] if found else None
+
+    df = spark.createDataFrame(rows, "n int, s string, a int, b int, d string, e int")
+    c = F.col
+    got = df.select("n", S.start_rescue(c("s"), c("a"), c("b"), c("d"), F.lit(25), c("e")).alias("x"), S.stop_rescue(c("s"), c("a"), c("b"), c("d"), c("e")).alias("y")).collect()
+    for r in got:
+        _, seq, a, b, d, e = rows[r["n"]]
+        assert (tuple(r["x"][:2]) if r["x"] else None) == start(seq, a, b, d, e) and (tuple(r["y"][:2]) if r["y"] else None) == stop(seq, a, b, d, e), rows[r["n"]]
+
+
+@pytest.mark.parametrize(
+    ("raw", "names", "want"),
+    [
+        ("ORF1a protein", ["ORF1a", "ORF1ab", "N"], "ORF1a"),
+        ("ORF1ab", ["ORF1a", "ORF1ab", "N"], "ORF1ab"),
+        ("replicase polyprotein 1b", ["ORF1a", "ORF1b", "ORF1ab"], "ORF1b"),
+        ("polyprotein 1ab", ["ORF1a", "ORF1b", "ORF1ab"], "ORF1ab"),
+        ("ORF1a/1b polyprotein", ["ORF1a", "ORF1b", "ORF1ab"], "ORF1ab"),
+        ("contains ORF1a and ORF1b", ["ORF1a", "ORF1b", "ORF1ab"], "ORF1ab"),
+        ("ORF1a/b", ["ORF1b", "orf-1ab", "ORF1ab"], "ORF1ab"),
+        ("membrane-associated protein", ["S", "M"], None),
+        ("", ["S", ""], None),
+        (None, ["S"], None),
+    ],
+)
+def test_best_canonical(spark, raw, names, want):
+    assert one(spark, N.best_canonical(F.col("r").cast("string"), F.array(*map(F.lit, names))), r=raw) == want
+    assert one(spark, N.first_matching(F.array(F.lit("odd"), F.col("r").cast("string")), F.array(*map(F.lit, names))), r=raw) == want
