@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.intervals import iou, overlap_join, rounded
+from strandline.functions.lineage import settled
 from strandline.functions.names import DESCRIPTIVE_TERMS, GENERIC_NAMES, _norm, classify, norm, words
 
 #: Names whose low score is final, and endings that leave a canonical what it is.
@@ -37,13 +38,14 @@ def deduplicated(rows: DataFrame) -> DataFrame:
     """
     key, value = ["norm", "field", "canonical_name"], [c for c in rows.columns if c not in ("field", "canonical_name")]
     keyed = rows.withColumns({"norm": norm(F.col("raw_value")), "field": F.coalesce("field", F.lit("")), "canonical_name": F.coalesce("canonical_name", F.lit(""))})
-    one = keyed.groupBy(*key).agg(F.min_by(F.struct(*value), F.struct((-F.col("score")).alias("s"), F.col("ord").alias("o"))).alias("r"), F.min("ord").alias("first_ord"))
-    named = keyed.where("record_id <> ''").select(*key, "record_id").distinct()
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("record_id"))
-    first = named.withColumn("_n", rank).where("_n <= 10").groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list("record_id")), ", ").alias("_first"))
-    support = named.groupBy(*key).agg(F.count("*").cast("int").alias("_all")).join(first, key)
+    best = F.min_by(F.struct(*value), F.struct((-F.col("score")).alias("s"), F.col("ord").alias("o")))
+    # By record first, and settled: what is behind the rows is then computed once, and a common name's rows are summed early.
+    each = settled(keyed.groupBy(*key, F.coalesce("record_id", F.lit("")).alias("_id")).agg(best.alias("r"), F.min("ord").alias("first_ord")))
+    one = each.groupBy(*key).agg(F.min_by("r", F.struct((-F.col("r.score")).alias("s"), F.col("r.ord").alias("o"))).alias("r"), F.min("first_ord").alias("first_ord"), F.count_if(F.col("_id") != "").cast("int").alias("_all"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("_id"))
+    first = each.where("_id <> ''").select(*key, "_id").withColumn("_n", rank).where("_n <= 10").groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list("_id")), ", ").alias("_first"))
     more = F.when(F.col("_all") > 10, F.format_string(", ... (+%d)", F.col("_all") - 10)).otherwise("")
-    return one.join(support, key, "left").select(*key, *(F.col(f"r.{c}").alias(c) for c in value), "first_ord", F.coalesce("_all", F.lit(0)).alias("support_count"), F.coalesce(F.concat("_first", more), F.lit("")).alias("support_records"))
+    return one.join(first, key, "left").select(*key, *(F.col(f"r.{c}").alias(c) for c in value), "first_ord", F.col("_all").alias("support_count"), F.coalesce(F.concat("_first", more), F.lit("")).alias("support_records"))
 
 
 def demoted(rows: DataFrame) -> DataFrame:
