@@ -1,11 +1,11 @@
-"""Distributed connected components: alternating large-star and small-star rounds over an edge table."""
+"""Distributed connected components over an edge table, and candidate pairs from shared keys without all pairs of a bucket."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import cut
+from strandline.llm.shared import cut, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,3 +40,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The distinct rows (key, content) of keyed whose key more than one content has.
+
+    Partial sums and two plain exchanges: copies of a content, however many, count once and never meet in a task.
+    """
+    shared = stored(keyed.groupBy("key").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x <> y").select(F.col("key").alias("k")))
+    return stored(keyed.join(shared, F.col("key") == F.col("k")).select("key", "content").distinct())
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each member (key, content) with the hub of its bucket, the content with most collisions in all buckets."""
+    sizes = stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k"))
+    met = members.join(sizes, F.col("key") == F.col("k")).select("key", "content", "n")
+    weights = stored(met.groupBy(F.col("content").alias("c")).agg(F.sum("n").alias("weight")))
+    hubs = stored(met.join(weights, F.col("content") == F.col("c")).groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", "content"))["content"].alias("b")))
+    return members.join(hubs, F.col("key") == F.col("k")).where("content <> b").select(F.col("content").alias("a"), "b").distinct()
+
+

@@ -12,6 +12,14 @@ and the join on them finds every link; each is then verified on the fingerprints
 Equal fingerprints become one row before the keys are made, so exact copies never meet in a join; a key that many
 different fingerprints share is one side of a plain sort-merge join, which adaptive execution splits.
 
+similar_texts() and drop_near_copies() go by the texts instead: a Jaccard similarity of 0.8 or more over five-word shingles.
+Its fingerprints differ there in 15 % of their bits, too many for the search above. So the fingerprint is longer, SEGMENTS
+segments of 23 bits, and every segment is decoded by its margins (how far the shingles' votes lie from a draw) and not by
+its bits: the codeword that agrees best with them is the same for 0.26 of segments at a similarity of 0.8, for 0.43 at 0.9.
+Each two segments' codewords make a key of 24 bits, so texts that agree in two of the segments share one: 0.91 of pairs at
+0.8, 0.95 at 0.83, 0.99 at 0.9. Candidates are joined to the hub of their bucket, compared by fingerprint, and verified by
+the exact similarity of their words. (Beyond some 10^8 different texts, keys should be made of three segments.)
+
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other; a null
 doc_id is given a component but names none; repeated rows give repeated rows; an empty table gives an empty result.
 """
@@ -25,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.graph import components
+from strandline.llm.graph import components, hub_pairs, shared_keys
 from strandline.llm.shared import cut, slices, stored
 
-BITS = 3
+BITS, SEGMENTS = 3, 14
 CUTS = (22, 21, 21)
 #: Fixed value: generator polynomial x^11+x^9+x^7+x^6+x^5+x+1 of the binary Golay code.
 GENERATOR = 0b101011100011
@@ -59,17 +67,16 @@ def fingerprints_of(texts: pa.Array, k: int = 3) -> np.ndarray:
     return out
 
 
-def simhash(docs: DataFrame, k: int = 3, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the extra columns (of type long) and fp (the fingerprint's 64 bits as a long)."""
+def simhash(docs: DataFrame, k: int = 3) -> DataFrame:
+    """doc_id and fp (the fingerprint's 64 bits as a long)."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
             for s, e in slices(texts):
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s, e - s) for c in ("doc_id", *extra)), pa.array(fingerprints_of(texts.slice(s, e - s), k).view(np.int64))], names=["doc_id", *extra, "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s, e - s), pa.array(fingerprints_of(texts.slice(s, e - s), k).view(np.int64))], names=["doc_id", "fp"])
 
-    fields = "".join(f"{c} long, " for c in ("doc_id", *extra))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, "text").mapInArrow(run, f"{fields}fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 @functools.cache
@@ -159,15 +166,12 @@ def links(fps: DataFrame) -> DataFrame:
     return met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
-def _rooted(least: DataFrame) -> DataFrame:
-    """least (fp, low) with the root of each fp's component."""
-    return least.join(components(links(least)).withColumnsRenamed({"node": "fp"}), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-
-
 def near_dedup(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id linked to it, directly or through others)."""
     rows = stored(simhash(docs, k))
-    joined = _rooted(cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low"))))
+    least = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = components(links(least)).withColumnsRenamed({"node": "fp"})
+    joined = least.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     of = joined.where("root is not null").select("fp", "root").join(named, "root").select(F.col("fp").alias("f"), "component_id")
     # As a table of its own this side leaves the join two plain exchanges, so a fingerprint with very many rows is split.
@@ -176,14 +180,132 @@ def near_dedup(docs: DataFrame, k: int = 3) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, k: int = 3) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each group the one with the least doc_id.
+@functools.cache
+def codewords() -> np.ndarray:
+    """(23, 4096) signs of all codewords of the Golay code."""
+    rows = np.zeros(1, np.int64)
+    for i in range(12):
+        rows = np.concatenate((rows, rows ^ (GENERATOR << i)))
+    return (((rows[None, :] >> np.arange(23)[:, None]) & 1) * 2 - 1).astype(np.float32)
+
+
+def contents_of(words, n_texts: int) -> np.ndarray:
+    """A hash of each text's words in their order; 0 for a text without words."""
+    from strandline.llm.words import mix
+
+    out = np.zeros(n_texts, np.uint64)
+    if len(words.row):
+        first = np.flatnonzero(np.concatenate(([True], words.row[1:] != words.row[:-1])))
+        n = np.diff(np.append(first, len(words.row)))
+        place = np.arange(len(words.row)) - np.repeat(first, n)
+        powers = np.multiply.accumulate(np.full(int(n.max()), np.uint64(0x9E3779B97F4A7C15)))
+        out[words.row[first]] = mix(np.add.reduceat(words.hashes * powers[place], first) + n.astype(np.uint64))
+    return out
+
+
+def margins_of(words, contents: np.ndarray, k: int) -> np.ndarray:
+    """(texts, SEGMENTS * 23) votes of each text's shingles for each bit less those against it, as a share of all."""
+    from strandline.llm.words import mix
+
+    h, at = words.shingles(k)
+    row, n_texts = words.row[at], len(contents)
+    # A text of fewer than k words is one shingle of all of them.
+    count = np.bincount(words.row, minlength=n_texts)
+    few = np.flatnonzero((count > 0) & (count < k))
+    if len(few):
+        h, row = np.concatenate((h, contents[few])), np.concatenate((row, few.astype(row.dtype)))
+        order = np.argsort(row, kind="stable")
+        h, row = h[order], row[order]
+    size, out = SEGMENTS * 23, np.zeros((n_texts, -(-SEGMENTS * 23 // 64) * 64), np.float32)
+    for s in range(0, len(h), 1 << 15):
+        part, of = h[s : s + (1 << 15)], row[s : s + (1 << 15)]
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        n = np.diff(np.append(first, len(of)))[:, None]
+        for w in range(out.shape[1] // 64):
+            bits = np.unpackbits(mix(part * np.uint64(2 * w + 3) + np.uint64(w)).view(np.uint8).reshape(-1, 8), axis=1)
+            out[of[first], w * 64 : (w + 1) * 64] += 2 * np.add.reduceat(bits, first, 0, dtype=np.int32) - n
+    return out[:, :size] / np.maximum(np.bincount(row, minlength=n_texts), 1)[:, None]
+
+
+def signatures(docs: DataFrame, k: int = 5, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The extra columns (of type long), content (a hash of the words), codes (a codeword for each segment), bits (signs of the margins)."""
+
+    def run(batches):
+        from strandline.llm.words import FOLDED, Words
+
+        for batch in batches:
+            texts = batch.column("text")
+            for s, e in slices(texts):
+                words = Words(texts.slice(s, e - s), FOLDED)
+                content = contents_of(words, e - s)
+                margin = margins_of(words, content, k)
+                codes = np.zeros((e - s, SEGMENTS), np.int16)
+                for i in range(0, e - s, 512):
+                    for j in range(SEGMENTS):
+                        codes[i : i + 512, j] = (margin[i : i + 512, j * 23 : (j + 1) * 23] @ codewords()).argmax(1)
+                packed = np.packbits(np.pad(margin > 0, ((0, 0), (0, -margin.shape[1] % 64))), axis=1).view(np.int64)
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(kind)) for x, kind in ((codes, pa.int16()), (packed, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s, e - s) for c in extra), pa.array(content.view(np.int64)), *lists], names=[*extra, "content", "codes", "bits"])
+
+    fields = "".join(f"{c} long, " for c in extra)
+    return docs.select(*extra, "text").mapInArrow(run, f"{fields}content long, codes array<short>, bits array<long>")
+
+
+def jaccard(a: bytes, b: bytes, k: int) -> float:
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def similar_texts(docs: DataFrame, rows: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+    """(a, b): links of contents whose texts are similar. docs: t1, t2 (hashes of the text) and text; rows: signatures() with t1, t2."""
+    pair = "explode(flatten(transform(sequence(0, {0} - 2), i -> transform(sequence(i + 1, {0} - 1), j -> (i * {0} + j) * 16777216L + codes[i] * 4096L + codes[j]))))"
+    nodes = stored(rows.groupBy("content").agg(F.min_by(F.struct("t1", "t2", "codes", "bits"), F.struct("t1", "t2")).alias("x")).select("content", "x.*"))
+    pairs = hub_pairs(shared_keys(nodes.select("content", F.expr(pair.format(SEGMENTS)).alias("key"))))
+    left, right = nodes.select(F.col("content").alias("a"), F.col("bits").alias("p")), nodes.select(F.col("content").alias("b"), F.col("bits").alias("q"))
+    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+    pairs = stored(pairs.join(left, "a").join(right, "b").where(apart <= int(0.22 * SEGMENTS * 23)).select("a", "b"))
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+    wanted = stored(nodes.join(wanted, F.col("content") == F.col("c")).select("content", F.col("t1").alias("_t1"), F.col("t2").alias("_t2")))
+    texts = docs.join(wanted, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))).groupBy("content").agg(F.min("text").alias("text"))
+
+    def folded(batches):
+        from strandline.llm.words import DROP, FOLDED, SPACE, raw
+
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                text = FOLDED[raw(batch.column("text").slice(i, 1))[0]]
+                out.append(np.where(text == SPACE, ord(" "), text)[text != DROP].astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(out, pa.binary())], names=["content", "words"])
+
+    def verified(batches):
+        for batch in batches:
+            kept = [jaccard(x, y, k) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    texts = stored(texts.mapInArrow(folded, "content long, words binary"))
+    both = pairs.join(texts.select(F.col("content").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("content").alias("b"), F.col("words").alias("y")), "b")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"))
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group of similar texts the one with the least doc_id.
 
-    Rows are told apart by themselves, so rows that repeat a doc_id with another text are judged each for itself, and of
-    rows that repeat in full one stays. A null doc_id loses every tie. Of all column names only `__own_row` is reserved.
+    Rows are told apart by doc_id and text, so rows that repeat a doc_id with another text are judged each for itself; rows
+    that repeat in full become one. A null doc_id loses every tie. The names `__own_1` to `__own_3` are reserved.
     """
-    numbered = stored(docs.withColumn("__own_row", F.monotonically_increasing_id()))
-    rows = simhash(numbered.select("doc_id", "text", F.col("__own_row").alias("row")), k, ("row",))
-    least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("low"))
-    kept = cut(_rooted(cut(least)).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__own_row")))
-    return numbered.join(kept, "__own_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    text = F.coalesce("text", F.lit(""))
+    own = {"__own_1": F.xxhash64(text), "__own_2": F.xxhash64(F.lit(1), text)}
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), own["__own_1"].alias("t1"), own["__own_2"].alias("t2"))
+    rows = stored(signatures(keyed, k, ("doc_id", "t1", "t2")))
+    low = rows.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("low"))
+    roots = stored(components(similar_texts(keyed, rows, k, least)))
+    best = low.join(roots, F.col("content") == F.col("node"), "left").groupBy(F.coalesce("root", "content").alias("root")).agg(F.min("low").alias("low"))
+    kept = cut(best.select(F.col("low.doc_id").alias("__own_3"), F.col("low.t1").alias("__own_1"), F.col("low.t2").alias("__own_2")))
+    on = F.col("doc_id").eqNullSafe(F.col("__own_3"))
+    for c, value in own.items():
+        on = on & (value == F.col(c))
+    out = docs.join(kept, on, "left_semi")
+    if rows.groupBy("doc_id", "t1", "t2").count().where("count > 1").isEmpty():
+        return out
+    return out.withColumns(own).dropDuplicates(["doc_id", *own]).drop(*own)
