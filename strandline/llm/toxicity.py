@@ -11,11 +11,10 @@ The classifier is a logistic regression over restored words and the first PREFIX
 `sample` labelled rows (the least by a hash of doc_id) and at most `features` words, those whose counts differ most between
 the labels.
 
-Defined results: null and empty texts score as a text without known words; without a letter, digits with less than two
-imitating symbols are a number, not a disguise; labels
-that are null or whose document is missing teach nothing, and a document labelled twice teaches twice; without labels every
-score is 0; repeated rows give repeated rows; a null doc_id is scored and is in the held-out part; an empty table gives an
-empty result.
+Defined results: null and empty texts score as a text without known words; digits with less than two imitating symbols and
+no letter are a number, not a disguise; labels that are null or whose document is missing teach nothing, a document labelled
+twice teaches twice, and of rows that repeat a doc_id the text with the least hash teaches; without labels every score is 0;
+repeated rows give repeated rows; a null doc_id is scored and is in the held-out part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import crc_part, sampled, slices
+from strandline.llm.shared import crc_part, sampled, slices, stored
 
 #: Letters that a digit or symbol is commonly written for.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "%": "x"}
@@ -203,27 +202,27 @@ def word_table(docs: DataFrame, model, extra: tuple[str, ...] = ()) -> DataFrame
     return docs.select(*extra, "text").mapInArrow(run, f"{fields}words array<string>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, model, sample: int = 40_000, features: int = 1000, rounds: int = 300) -> tuple[dict[str, float], float]:
+def fit(docs: DataFrame, labels: DataFrame, model, sample: int = 20_000, features: int = 1000, rounds: int = 300) -> tuple[dict[str, float], float]:
     """(weight of each word, bias)."""
     y = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("y is not null and doc_id is not null")
     y = sampled(y, sample, 11).withColumnRenamed("doc_id", "_id")
     # At most `sample` ids are broadcast, so the texts are not shuffled to pick a few of them.
-    rows = docs.select("doc_id", "text").join(F.broadcast(y), F.col("doc_id") == F.col("_id")).select("y", "text")
-    table = word_table(rows, model, ("y",)).select(F.monotonically_increasing_id().alias("row"), "y", "words").persist()
-    try:
-        total = {r["y"]: r["n"] for r in table.groupBy("y").agg(F.count("*").alias("n")).collect()}
-        n1, n0 = sum(n for k, n in total.items() if k >= 1), sum(n for k, n in total.items() if k < 1)
-        if not n1 or not n0:
-            return {}, -40.0 if not n1 else 40.0
-        seen = table.select(F.explode("words").alias("w"), "y").groupBy("w").agg(F.sum(F.expr("if(y >= 1, 1, 0)")).alias("a"), F.sum(F.expr("if(y >= 1, 0, 1)")).alias("b")).where("a + b >= 5")
-        share = n1 / (n1 + n0)
-        z = F.expr(f"(a - (a + b) * {share}D) / sqrt((a + b) * {share * (1 - share)}D)")
-        chosen = [r["w"] for r in seen.orderBy(F.abs(z).desc(), "w").limit(features).select("w").collect()]
-        number = {w: i for i, w in enumerate(chosen)}
-        listed = F.array(*map(F.lit, chosen)) if chosen else F.array().cast("array<string>")
-        data = table.select("row", "y", F.array_intersect("words", listed).alias("w")).orderBy("row").collect()
-    finally:
-        table.unpersist()
+    rows = docs.select("doc_id", "text").join(F.broadcast(y.select("_id").distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    # One text for each id, so that no id, however often it is repeated, makes the sample larger.
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).join(F.broadcast(y), F.col("doc_id") == F.col("_id")).select("y", "text")
+    # Stored, because row numbers must not be given twice and every text is restored once.
+    table = stored(word_table(rows, model, ("y",)).select(F.monotonically_increasing_id().alias("row"), "y", "words"))
+    total = {r["y"]: r["n"] for r in table.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = sum(n for k, n in total.items() if k >= 1), sum(n for k, n in total.items() if k < 1)
+    if not n1 or not n0:
+        return {}, -40.0 if not n1 else 40.0
+    seen = table.select(F.explode("words").alias("w"), "y").groupBy("w").agg(F.sum(F.expr("if(y >= 1, 1, 0)")).alias("a"), F.sum(F.expr("if(y >= 1, 0, 1)")).alias("b")).where("a + b >= 5")
+    share = n1 / (n1 + n0)
+    z = F.expr(f"(a - (a + b) * {share}D) / sqrt((a + b) * {share * (1 - share)}D)")
+    chosen = [r["w"] for r in seen.orderBy(F.abs(z).desc(), "w").limit(features).select("w").collect()]
+    number = {w: i for i, w in enumerate(chosen)}
+    listed = F.array(*map(F.lit, chosen)) if chosen else F.array().cast("array<string>")
+    data = table.select("row", "y", F.array_intersect("words", listed).alias("w")).orderBy("row").collect()
     at = np.array([(i, number[w]) for i, r in enumerate(data) for w in r["w"]], np.int64).reshape(-1, 2)
     goal = np.array([r["y"] >= 1 for r in data], float)
     weight, bias, n = np.zeros(len(chosen)), math.log(n1 / n0), len(data)
