@@ -144,6 +144,13 @@ def children(links: DataFrame) -> DataFrame:
     return links.where("parent is not null").groupBy("parent").agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("children"))
 
 
+def search_canonicals(terms: DataFrame, text: str) -> DataFrame:
+    """(canonical, aliases) of the canonicals whose name or aliases hold the text in its normal form; blank text: all."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "alias"))), lambda x: x["alias"])
+    rows = terms.groupBy("canonical").agg(listed.alias("_a"))
+    return rows.where(F.contains(norm(F.concat_ws(" ", "canonical", F.array_join("_a", " "))), norm(F.lit(text)))).select("canonical", F.array_join("_a", "; ").alias("aliases"))
+
+
 def add_alias(terms: DataFrame, canonical: str, alias: str) -> DataFrame:
     """terms with one alias more, unless its normal form is there already."""
     new = terms.sparkSession.createDataFrame([(canonical, alias, 1 << 30)], "canonical string, alias string, ord int")

@@ -130,6 +130,20 @@ def merged_reviews(rows: DataFrame, reviews: DataFrame) -> DataFrame:
     return rows.join(r, "review_id", "left").withColumn("llm_reviewed", F.coalesce("_r", F.lit(False))).drop("_r")
 
 
+def reviews_by_value(rows: DataFrame, reviews: DataFrame) -> DataFrame:
+    """rows (key, candidate_values) with the review that one of their values names, compared by normal form.
+
+    reviews: raw_value, recommendation, canonical_name, confidence, reason. The first of a row's values that has a review
+    counts, and of several reviews of one value the first by their fields; rows without one have nulls.
+    """
+    r = F.struct("raw_value", "recommendation", "canonical_name", "confidence", "reason")
+    named = reviews.select(norm(F.col("raw_value")).alias("_n"), r.alias("_r")).where("_n <> ''").groupBy("_n").agg(F.min("_r").alias("_r"))
+    values = rows.select("key", F.posexplode("candidate_values").alias("_k", "_v")).select("key", "_k", norm(F.col("_v")).alias("_n"))
+    found = values.join(named, "_n").groupBy("key").agg(F.min_by("_r", "_k").alias("_r"))
+    out = rows.join(found, "key", "left")
+    return out.select(*rows.columns, F.col("_r.recommendation").alias("llm_action"), F.col("_r.canonical_name").alias("llm_canonical_name"), F.col("_r.confidence").alias("llm_confidence"), F.col("_r.reason").alias("llm_reason"), F.col("_r").isNotNull().alias("llm_reviewed"))
+
+
 def review_id(*values: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *(F.coalesce(v, F.lit("")) for v in values))), 1, 12)
 

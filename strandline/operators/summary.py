@@ -60,6 +60,12 @@ def rescue_text() -> Column:
     return F.coalesce("rescue_action", F.when(F.col("rescue_offset").isNotNull(), F.concat(F.coalesce("rescue_target", F.lit("start")), F.lit(" "), shift)), F.lit(""))
 
 
+def searched(overview: DataFrame, health: list[str] | None = None, text: str = "") -> DataFrame:
+    """The rows of an overview with one of the healths (none: any) whose record_id holds the text, whatever its case."""
+    rows = overview if not health else overview.where(F.col("health").isin(*health))
+    return rows.where(F.contains(F.lower("record_id"), F.lit(text.strip().lower())))
+
+
 def export_key() -> Column:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     return F.concat_ws("|", *(text(c) for c in ("record_id", "gene", "status", "query_start", "query_end", "strand")))

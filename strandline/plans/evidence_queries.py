@@ -289,6 +289,25 @@ def record_overview(t):
     return summary.record_overview(t.records, t.lifted, t.errors)
 
 
+@query(f"""with b as (select record_id, count(*) filter (status in {listed(PASSING)}) as passed, count(*) as total, count(*) filter (status in {listed(REVIEWED)}) as needs_review from lifted group by record_id)
+    select r.record_id, case when error is not null then 'failed' when b.needs_review > 0 then 'needs review' end as health, coalesce(b.needs_review, 0) as needs_review from records r left join b on r.record_id = b.record_id left join errors e on r.record_id = e.record_id
+    where (error is not null or (total is not null and b.needs_review > 0)) and contains(lower(r.record_id), 'r1')""", "lifted", "records", "errors")
+def record_search(t):
+    return summary.searched(summary.record_overview(t.records, t.lifted, t.errors), ["failed", "needs review"], " R1").select("record_id", "health", "needs_review")
+
+
+# Features whose gene, product or locus tag a review names, the first of the three that does.
+@query(f"""with v as (select record_id || '/' || ord as key, gene, product, locus_tag from features), u as (select key, 0 as k, {d_norm("gene")} as n from v union all select key, 1, {d_norm("product")} from v union all select key, 2, {d_norm("locus_tag")} from v),
+    rv as (select v as raw_value, {d_norm("v")} as n, case i % 3 when 0 then 'skip' when 1 then 'save_alias' else 'ignore' end as recommendation, 'S' || i::varchar as canonical_name from pool where i % 2 = 0), rn as (select n, arg_min(recommendation, (raw_value, recommendation, canonical_name)) as recommendation, arg_min(canonical_name, (raw_value, recommendation, canonical_name)) as canonical_name from rv group by n),
+    f as (select key, arg_min(recommendation, k) as recommendation, arg_min(canonical_name, k) as canonical_name from u join rn using (n) where n <> '' group by key)
+    select v.key, f.recommendation as llm_action, f.canonical_name as llm_canonical_name, f.key is not null as llm_reviewed from v left join f on v.key = f.key""", "features", "pool")
+def review_by_value(t):
+    i = F.col("i")
+    reviews = t.pool.where("i % 2 = 0").select(F.col("v").alias("raw_value"), F.when(i % 3 == 0, "skip").when(i % 3 == 1, "save_alias").otherwise("ignore").alias("recommendation"), F.concat(F.lit("S"), i.cast("string")).alias("canonical_name"), F.lit("low").alias("confidence"), F.lit("r").alias("reason"))
+    rows = t.features.select(F.concat_ws("/", "record_id", F.col("ord").cast("string")).alias("key"), F.array("gene", "product", "locus_tag").alias("candidate_values"))
+    return suggest.reviews_by_value(rows, reviews).select("key", "llm_action", "llm_canonical_name", "llm_reviewed")
+
+
 @query("""select record_id, count(*) filter (type = 'CDS') as cds, count(*) filter (type = 'mat_peptide') as mat_peptides, case when record_id is null then 'total' when count(*) filter (type = 'mat_peptide') > 0 then 'full' when count(*) filter (type = 'CDS') > 0 then 'CDS only' else 'none' end as class from features group by rollup (record_id)""", "features")
 def annotation_class_rollup(t):
     return summary.annotation_classes(t.features)

@@ -243,8 +243,7 @@ def effective_lookup_overlay(t):
 
 @query(f"""select canonical, string_agg(alias, '; ' order by ord) as aliases from aliases group by canonical having contains(translate(lower(canonical || ' ' || string_agg(alias, ' ' order by ord)), '-_ ', ''), 'orf')""", "aliases")
 def canonical_search(t):
-    rows = t.aliases.groupBy("canonical").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "alias"))), lambda x: x["alias"]), "; ").alias("aliases"))
-    return rows.where(F.contains(N.norm(F.concat_ws(" ", "canonical", F.replace("aliases", F.lit(";"), F.lit("")))), F.lit("orf")))
+    return alias.search_canonicals(t.aliases, "ORF")
 
 
 def _links(t):

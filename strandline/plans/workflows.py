@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions.lineage import settled
 from strandline.functions.names import QUALIFIERS, best_canonical, compound_parts, filled, first_matching, first_wins, norm
 from strandline.operators import alias, context, crawl, routing, suggest, summary
 from strandline.operators.lift import LiftConfig, lift, reference_proteins
@@ -35,14 +36,11 @@ def split_crawl(spark: SparkSession, raw: str, registry: dict, ledger: str, outp
     marked = crawl.dedup_status(rows, tables.read_ledger(spark, ledger))
     table = crawl.manifest(marked)
     if not known:
-        marked = marked.persist()
-        table = crawl.manifest(marked)
-        try:
-            sinks.write_species(marked.where("status = 'new'").select("virus", "text"), f"{output}/species")
-            sinks.write_manifest(table, f"{output}/manifest")
-            sinks.append_ledger(marked, ledger)
-        finally:
-            marked.unpersist()
+        # Settled, because three sinks read the same marks and the ledger changes while they do.
+        marked = settled(marked)
+        sinks.write_species(marked.where("status = 'new'").select("virus", "text"), f"{output}/species")
+        sinks.write_manifest(crawl.manifest(marked), f"{output}/manifest")
+        sinks.append_ledger(marked, ledger)
         table = tables.read_manifest(spark, f"{output}/manifest")
     return table
 

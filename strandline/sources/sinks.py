@@ -80,6 +80,16 @@ def save_config(config: dict, path: str, backups: str | None = None) -> str | No
     return str(kept) if kept else None
 
 
+def archive_config(path: str, folder: str | None = None) -> str | None:
+    """Move a configuration that is no longer used to an archive folder, under a name with the time; None where there is none."""
+    p = Path(path)
+    if not p.exists():
+        return None
+    to = Path(folder) if folder else p.parent / "archive"
+    to.mkdir(parents=True, exist_ok=True)
+    return str(p.rename(to / f"{p.stem}_{datetime.now():%Y%m%d_%H%M%S_%f}{p.suffix}"))
+
+
 def run_logger(path: str, most: int = 2_000_000, kept: int = 5) -> logging.Logger:
     """A logger of run events to a rotating file."""
     logger = logging.getLogger(f"strandline.run.{path}")

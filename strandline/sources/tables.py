@@ -97,6 +97,22 @@ def remove_entry(registry: dict, virus: str) -> dict:
     return {**registry, "viruses": [e for e in check_registry(registry) if e["virus_name"].lower() != virus.lower()]}
 
 
+def set_keywords(registry: dict, virus: str, keywords: list[str]) -> dict:
+    """The registry with an entry's keywords replaced; they are distinct regardless of case, blank ones are left out."""
+    kept = {k.strip().lower(): k.strip() for k in reversed(keywords) if k.strip()}
+    chosen = [k for k in dict.fromkeys(kept[k.strip().lower()] for k in keywords if k.strip())]
+    return {**registry, "viruses": [{**e, "keywords": chosen} if e["virus_name"].lower() == virus.lower() else e for e in check_registry(registry)]}
+
+
+def rename_entry(registry: dict, virus: str, name: str) -> dict:
+    """The registry with an entry renamed; an error where the new name is taken or the old one is not there."""
+    entries = check_registry(registry)
+    names = [e["virus_name"].lower() for e in entries]
+    if virus.lower() not in names or (name.lower() in names and name.lower() != virus.lower()) or not name.strip():
+        raise ValueError(f"cannot rename {virus} to {name}")
+    return {**registry, "viruses": [{**e, "virus_name": name.strip()} if e["virus_name"].lower() == virus.lower() else e for e in entries]}
+
+
 def resolve_config(name: str, registry_path: str, packaged: str) -> str | None:
     """The first that exists of: the path as written, next to the registry, in the packaged folder."""
     p = Path(name)
@@ -189,6 +205,7 @@ def position_map(alignments: DataFrame) -> DataFrame:
 
 def lifted_by_positions(features: DataFrame, positions: DataFrame) -> DataFrame:
     """features (name, start, end) with the span and share of their positions that map, for each record."""
-    met = positions.join(F.broadcast(features.select("name", "start", "end")), F.col("ref_pos").between(F.col("start"), F.col("end")))
+    places = features.select("name", "start", "end", F.explode(F.sequence("start", "end")).alias("ref_pos"))
+    met = positions.join(places, "ref_pos")
     one = met.groupBy("record_id", "name", "start", "end").agg(F.min("query_pos").alias("query_start"), F.max("query_pos").alias("query_end"), F.count("*").alias("n"))
     return one.withColumn("coverage", F.col("n") / (F.col("end") - F.col("start") + 1)).drop("n")

@@ -139,3 +139,16 @@ def test_fasta_folders(spark, tmp_path):
     assert "".join(p.read_text() for p in (tmp_path / "f/gene=S").glob("part-*")) == ">r|S\nACG\n"
     assert spark.createDataFrame([], RECORD).transform(genbank.features_of).count() == 0
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_registry_edits_and_archive(tmp_path):
+    registry = {"viruses": [{"virus_name": "Alpha", "keywords": ["a"], "alias_config": "a.json"}, {"virus_name": "Beta", "keywords": [], "alias_config": "b.json"}]}
+    assert tables.set_keywords(registry, "alpha", [" x", "X", "", "y"])["viruses"][0]["keywords"] == ["x", "y"]
+    assert [e["virus_name"] for e in tables.rename_entry(registry, "Alpha", "Gamma")["viruses"]] == ["Gamma", "Beta"]
+    for old, new in (("Alpha", "beta"), ("Delta", "x"), ("Alpha", " ")):
+        with pytest.raises(ValueError, match="cannot rename"):
+            tables.rename_entry(registry, old, new)
+    path = tmp_path / "a.json"
+    path.write_text("{}")
+    kept = sinks.archive_config(str(path))
+    assert not path.exists() and "archive" in kept and sinks.archive_config(str(path)) is None
