@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from strandline.functions import names as N
 from strandline.functions.sequence import cut
 from strandline.operators import alias, context, crawl, direct, routing
-from strandline.plans.views import GENES, Tables, with_views
+from strandline.plans.review import answer_text_column
+from strandline.plans.views import ALIASES, EXCLUDED, GENES, REGISTRY, Tables, with_views
+from strandline.sources import tables
+from strandline.sources.genbank import organism_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -246,6 +249,50 @@ def canonical_search(t):
     return alias.search_canonicals(t.aliases, "ORF")
 
 
+def _registry() -> dict:
+    names = list(dict.fromkeys(v for v, _ in REGISTRY))
+    return {"viruses": [{"virus_name": v, "keywords": [k for w, k in REGISTRY if w == v], "alias_config": f"{v}.json"} for v in names]}
+
+
+@query("""with k as (select ord - 1 as o, virus, keyword, kw_ord from registry union all select distinct ord - 1, virus, virus, -1 from registry)
+    select o as ord, virus, keyword, row_number() over (partition by virus order by length(keyword) desc, kw_ord) - 1 as kw_ord, virus || '.json' as alias_config from k""", "registry")
+def registry_scan(t):
+    return tables.registry_table(t.spark, _registry(), with_name=True)
+
+
+def _config() -> dict:
+    names: dict = {}
+    for canonical, x in ALIASES:
+        names.setdefault(canonical, {"aliases": [], "parent": "ORF1a" if canonical == "ORF1b" else None})["aliases"].append(x)
+    names["S"] = names["S"]["aliases"]
+    return {"canonical_names": names, "excluded_names": list(EXCLUDED[:3]), "ignored_names": list(EXCLUDED[3:5]), "ambiguous_names": list(EXCLUDED[5:])}
+
+
+@query("""with f as (select canonical, min(ord) as first from aliases group by canonical), r as (select canonical, canonical as alias, first, -1 as ord from f union all select a.canonical, alias, first, ord from aliases a join f on a.canonical = f.canonical)
+    select canonical, alias, row_number() over (order by first, ord) - 1 as ord from r""", "aliases")
+def alias_config_scan(t):
+    return tables.config_tables(t.spark, _config())[0]
+
+
+@query("""select name, ord from excluded""", "excluded")
+def alias_exclusion_scan(t):
+    return tables.config_tables(t.spark, _config())[1]
+
+
+@query("""select record_id, case when organism <> '' then organism when rid % 3 = 0 then host else '' end as organism from records""", "records")
+def organism_fallback(t):
+    source = F.struct(F.when(F.col("rid") % 2 == 0, "source").when(F.col("rid") % 3 == 0, "source").otherwise("CDS").alias("type"), F.when(F.col("rid") % 3 == 0, F.create_map(F.lit("organism"), F.array("host"))).otherwise(F.create_map(F.lit("strain"), F.array("host"))).alias("qualifiers"))
+    return organism_of(t.records.withColumn("features", F.array(source))).select("record_id", "organism")
+
+
+@query("""select p_partkey, case p_partkey % 4 when 0 then p_name when 1 then p_brand || p_type when 2 then p_type else null end as answer from part""")
+def review_answer_text(t):
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    k, items = F.col("p_partkey") % 4, F.array(F.struct(F.array(part("output_text", F.col("p_brand")), part("refusal", F.lit("no"))).alias("content")), F.struct(F.array(part("text", F.col("p_type"))).alias("content")))
+    body = F.struct(F.when(k == 0, F.col("p_name")).when(k == 1, "").alias("output_text"), F.when(k == 1, items).when(k == 2, F.slice(items, 2, 1)).when(k == 3, F.array(F.struct(F.array(part("refusal", F.lit("no"))).alias("content")))).alias("output"))
+    return t.part.select("p_partkey", answer_text_column(F.to_json(body)).alias("answer"))
+
+
 def _links(t):
     return t.part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("name"), F.when(F.col("p_partkey") % 50 != 0, F.concat(F.lit("P"), F.floor(F.col("p_partkey") * 2 / 3).cast("string"))).alias("parent"))
 
