@@ -491,7 +491,7 @@ def test_changed_paragraphs_against_all_pairs(spark):
             rows += [(n, words), (n + 1, changed(words, every))]
             n += 2
     rows = [(d, " ".join(w)) for d, w in rows]
-    got = substring_dedup.repeated_passages(docs(spark, rows), min_words=20).collect()
+    got = substring_dedup.repeated_passages(docs(spark, rows), min_words=20, edits=True).collect()
     named = {}
     for r in got:
         named.setdefault(r["doc_id"], set()).add(r["component_id"])
@@ -501,6 +501,9 @@ def test_changed_paragraphs_against_all_pairs(spark):
         of = [d for d in range(low, high, 2) if pairs[d] >= 0.8]
         assert of and sum(d in named and d + 1 in named for d in of) >= 0.9 * len(of), (low, len(of))
     assert not named.keys() & set(range(240, 300))
+    # By shingles alone, no pair below 0.8 is linked as a paragraph.
+    plain = {r["doc_id"] - r["doc_id"] % 2 for r in substring_dedup.repeated_passages(docs(spark, rows), min_words=20).where("kind = 'paragraph'").collect()}
+    assert plain == {d for d in pairs if brute_similarity(rows[d][1], rows[d + 1][1])[0] >= 0.8}
     for _ in range(50):
         a, b = ([rng.choice("abc") for _ in range(rng.randrange(0, 12))] for _ in range(2))
         assert substring_dedup.edit_distance(a, b) == round((1 - brute_similarity(" ".join(a), " ".join(b))[1]) * max(len(a), len(b), 1))
