@@ -35,11 +35,16 @@ EDGE, OTHER, SIZE = 26, 27, 28
 SPACED = re.compile(r"(?<![^\s])(?:[^\s][ \t]){2,}[^\s](?![^\s])")
 JOINED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*~]){2,}[^\W_](?![^\W_])")
 GAPS = re.compile(r"[ \t.\-_*~]+")
+#: A mark three times or more at a rim adorns a word and stands for no letter.
+ADORNED = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 PLAIN = re.compile(r"[^\W\d_]+")
 THRICE = re.compile(r"(.)\1\1")
 EDGES = ".,;:!?\"'()[]{}<>*#%&$~-_=/\\|@+"
 #: Marks that may stand before or behind a word; an imitating symbol there is read as a letter too.
 BEHIND = "".join(c for c in EDGES if c not in IMITATES or c in "!*#%")
+BEFORE = "".join(c for c in BEHIND if c not in IMITATES)
+LETTER, SYMBOL = re.compile(r"[^\W\d_]"), re.compile("[" + re.escape("".join(c for c in IMITATES if not c.isdigit())) + "]")
+RIM = re.compile(f"^{SYMBOL.pattern}|[{re.escape(''.join(c for c in IMITATES if not c.isdigit() and c not in BEHIND))}]$")
 SUBSTITUTED, DELETED, COLLAPSED, UNDOUBLED, CLOSED, UNSPACED = -1.0, -8.0, -0.5, -6.0, -0.5, -3.0
 PREFIX = 5
 
@@ -141,12 +146,14 @@ class Channel:
     def readings(self, token: str) -> tuple[str, ...]:
         """The restored forms of a lower-cased token: with the symbols at its rim as marks and, if they imitate, as letters."""
         core = token.strip(EDGES)
-        rim = token.rstrip(BEHIND).lstrip("".join(c for c in BEHIND if c not in IMITATES))
+        if core.isalpha() and not THRICE.search(core) and (core == token or not RIM.search(token)):
+            return (core,)
+        token = ADORNED.sub("", token)
         out = []
-        for form in dict.fromkeys((core, rim)):
+        for form in dict.fromkeys((token.strip(EDGES), token.rstrip(BEHIND).lstrip(BEFORE))):
             if PLAIN.fullmatch(form) and not THRICE.search(form):
                 out.append(form)
-            elif any(c.isalpha() for c in form) or sum(c in IMITATES and not c.isdigit() for c in form) > 1:
+            elif LETTER.search(form) or len(SYMBOL.findall(form)) > 1:
                 out.append(self.restore(form))
         return tuple(x for x in dict.fromkeys(out) if x)
 
