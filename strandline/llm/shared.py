@@ -31,13 +31,19 @@ def stored(df: DataFrame) -> DataFrame:
 
     The table is deleted when the driver's JVM ends, or by released() before.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return appended(df.sparkSession, [df])
+
+
+def appended(spark: SparkSession, frames) -> DataFrame:
+    """One stored() table of all frames, which are taken and written one by one; at least one, all of one schema."""
+    path, schema = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", None
+    for df in frames:
+        df.write.mode("append").parquet(path)
+        schema = schema or df.schema
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def released(df: DataFrame, work) -> DataFrame:
