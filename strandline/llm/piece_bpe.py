@@ -85,6 +85,35 @@ def _runs(sizes: dict[int, int]) -> list[list[int]]:
     return out
 
 
+class Keys:
+    """Places of 64-bit keys in a fixed set, by a hash table; -1 for any other key."""
+
+    BITS = 20
+
+    def __init__(self, keys):
+        keys = np.array(keys, np.int64)
+        h = self._hash(keys)
+        self.place = np.argsort(h, kind="stable")
+        self.keys = np.append(keys[self.place], [-1] * len(keys[:64]))
+        h, n = np.unique(h, return_counts=True)
+        self.first = np.full(1 << self.BITS, -1, np.int32)
+        self.first[h] = np.cumsum(n) - n
+        self.most = int(n.max(initial=0))
+
+    def _hash(self, keys):
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1)
+        at = self.first[self._hash(keys)]
+        maybe = np.flatnonzero(at >= 0)
+        at, sought = at[maybe], keys[maybe]
+        for i in range(self.most):
+            same = np.flatnonzero(self.keys[np.minimum(at + i, len(self.keys) - 1)] == sought)
+            out[maybe[same]] = self.place[at[same] + i]
+        return out
+
+
 class Model:
     """Pieces of a model file and the table of all pairs of symbols that make a piece.
 
@@ -123,20 +152,23 @@ class Model:
         for c in sorted({c for p in words for c in p} - symbols.keys()):
             symbols[c] = len(self.pieces) + len(symbols) - len(normal)
         self.characters = {i: c for c, i in symbols.items() if i >= len(self.pieces)}
-        known = sorted((ord(c), i) for c, i in symbols.items() if len(c) == 1)
-        self.points, self.of_point = np.array([k for k, _ in known]), np.array([i for _, i in known])
-        beside = {(ord(a) << 32) | ord(b) for p in words for a, b in zip(p, p[1:])}
-        self.beside = np.array(sorted(beside), np.int64)
+        self.of_point = -1 - np.arange(0x110000)
+        for c, i in symbols.items():
+            if len(c) == 1:
+                self.of_point[ord(c)] = i
+        self.beside = Keys(sorted({(ord(a) << 32) | ord(b) for p in words for a, b in zip(p, p[1:])}))
         place = {s: n for n, s in enumerate(sorted({-scores[normal[p]] for p in words}))}
         pairs = sorted((symbols[p[:i]] << 32 | symbols[p[i:]], place[-scores[normal[p]]], normal[p]) for p in words for i in range(1, len(p)) if p[:i] in symbols and p[i:] in symbols)
-        self.keys, self.ranks, self.made = (np.array(x, np.int64) for x in zip(*pairs))
+        keys, self.ranks, self.made = (np.array(x, np.int64) for x in zip(*pairs))
+        self.keys = Keys(keys)
+        self.starts = np.cumsum([0, *map(len, self.surface)])
+        self.letters = np.frombuffer(b"".join(self.surface), np.uint8)
         self.window = 2 * max(map(len, words))
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, piece made) of each pair of symbols; a negative symbol, like a pair that makes no piece, has rank NEVER."""
-        key = np.where((a >= 0) & (b >= 0), (a << 32) | b, -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NEVER), self.made[at]
+        at = self.keys.find(np.where((a >= 0) & (b >= 0), (a << 32) | b, -2))
+        return np.where(at >= 0, self.ranks[at], NEVER), self.made[at]
 
 
 @functools.cache
@@ -240,6 +272,12 @@ def merged(m: Model, token: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
     return token[order], place[order]
 
 
+class _Numbers(dict):
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
     """Encodes texts of a task; words already met are remembered up to `memory` bytes of them."""
 
@@ -248,7 +286,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers = _Numbers()
         self.flat, self.offsets, self.known, self.held = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0, 0
 
     def _learn(self, words: list[str]) -> None:
@@ -259,12 +297,9 @@ class Encoder:
         texts = [MARK + b if k and b else b for k, b in zip(marks.tolist(), bare)]
         lengths = np.array([len(t) for t in texts])
         points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
-        at = np.minimum(np.searchsorted(m.points, points), len(m.points) - 1)
-        token = np.where(m.points[at] == points, m.of_point[at], -1 - points)
-        key = (points[:-1] << 32) | points[1:]
-        near = m.beside[np.minimum(np.searchsorted(m.beside, key), len(m.beside) - 1)] == key
+        token = m.of_point[points]
         begins = np.zeros(len(points), bool)
-        begins[1:] = ~near
+        begins[1:] = m.beside.find((points[:-1] << 32) | points[1:]) < 0
         firsts = np.cumsum(lengths) - lengths
         begins[firsts[lengths > 0]] = True
         token, place = merged(m, token, np.flatnonzero(begins)) if len(token) else (token, points)
@@ -306,10 +341,8 @@ class Encoder:
 
     def numbered(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of each text's words; their ids are known afterwards, until the next call of trimmed()."""
-        numbers, out = self.numbers, []
-        for t in texts:
-            found = WORDS.findall(MARK + t.replace(" ", MARK)) if t else []
-            out.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int64, len(found)))
+        numbers, get, split = self.numbers, self.numbers.__getitem__, WORDS.findall
+        out = [np.array(list(map(get, split(MARK + t.replace(" ", MARK)))), np.int64) if t else np.zeros(0, np.int64) for t in texts]
         if len(numbers) > self.known:
             new = list(numbers)[self.known :]
             self._learn(new)
@@ -335,7 +368,8 @@ def decode_ids(ids, path: str) -> str:
     """The text of ids: control pieces are silent, the first other piece loses its leading mark, a byte that is part of no character is U+FFFD."""
     m = model(path)
     ids = np.asarray(ids, np.int64)
-    text = b"".join(map(m.surface.__getitem__, ids.tolist()))
+    starts, sizes = m.starts[ids], m.starts[ids + 1] - m.starts[ids]
+    text = m.letters[np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)].tobytes()
     spoken = ids[~m.silent[ids]]
     return (text[1:] if len(spoken) and m.leads[spoken[0]] else text).decode("utf-8", "each_byte")
 
