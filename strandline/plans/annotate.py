@@ -73,8 +73,8 @@ def told_apart(records: DataFrame) -> DataFrame:
 def annotate(records: DataFrame, reference: Reference, config: LiftConfig | None = None, hsps: DataFrame | None = None) -> Run:
     """records: schema.RECORD. hsps: alignments made elsewhere; without them the native search runs on the records to lift.
 
-    Records without a sequence can be neither read nor lifted, and a record in which the search fails is not lifted: they are
-    errors, and the others go on. Records that repeat a record_id are annotated each for itself.
+    Records without a sequence can be neither read nor lifted: they are errors, and the others go on. Records that repeat a
+    record_id are annotated each for itself.
     """
     config = config or LiftConfig(codons=reference.level == "CDS")
     good, errors = told_apart(records.where("seq is not null and seq_len > 0")), records.where("seq is null or coalesce(seq_len, 0) = 0").select("record_id", F.lit("no sequence").alias("error"))
@@ -90,10 +90,7 @@ def annotate(records: DataFrame, reference: Reference, config: LiftConfig | None
     todo = good.join(routes.where("strategy = 'tblastn'").select("record_id"), "record_id", "left_semi").select("record_id", "seq", "seq_len")
     proteins = reference_proteins(reference.features.select("feature_idx", "name", "start", "end", "strand"), reference.genome)
     if hsps is None:
-        # Settled, because the errors are read from the same rows.
-        hsps = settled(search(todo, proteins.select("feature_idx", "protein"), config.evalue))
-        failed = hsps.where("feature_idx is null").select("record_id", F.col("strand").alias("error")).distinct()
-        hsps, errors, todo = hsps.where("feature_idx is not null"), errors.union(failed), todo.join(failed.select("record_id"), "record_id", "left_anti")
+        hsps = search(todo, proteins.select("feature_idx", "protein"), config.evalue)
     lifted = lift(todo, proteins, hsps, config)
     both = lifted.unionByName(direct.withColumn("feature_idx", F.col("first_ord").cast("int")).drop("first_ord"), allowMissingColumns=True)
     both, errors, routes = (x.withColumn("record_id", F.substring_index("record_id", REPEAT, 1)) for x in (both, errors, routes))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline.functions import alignment as A
 from strandline.functions import sequence as S
 from strandline.functions.intervals import iou, overlap, rounded
 from strandline.functions.names import DESCRIPTIVE_SYMBOLS, DESCRIPTIVE_TERMS, GENERIC_NAMES, _norm, norm
@@ -117,10 +118,39 @@ def kmer_seed_join(t):
     return search.seed_diagonals(search.kmers(mine, ["feature_idx"], "protein", K), search.kmers(frames, ["record_id", "frame"], "protein", K))
 
 
+#: Every fiftieth record's first frame is a protein; its stops are unknown residues.
+def query_proteins(t):
+    protein = F.replace(S.translated(F.col("seq")), F.lit("*"), F.lit("X"))
+    return t.records.where("rid % 50 = 0").select(F.col("rid").cast("int").alias("feature_idx"), protein.alias("protein"))
+
+
+PROTEINS = f"proteins as (select cast(rid as int) as feature_idx, replace({d_translated('seq')}, '*', 'X') as protein from records where rid % 50 = 0)"
+FRAMES = f"""strands as (select record_id, seq as s, unnest([0, 1, 2]) as o, 1 as g from records union all select record_id, {d_revcomp('seq')}, unnest([0, 1, 2]), -1 from records),
+    cutframes as (select record_id, g * (o + 1) as frame, substring(s, o + 1) as x from strands), frames as (select record_id, frame, {d_translated('x')} as residues from cutframes)"""
+#: Three residues and a score of 13 are the usual parameters of such searches; SQL can still try every such word.
+SIZE, LEAST, CLOSE, LONE = 3, 13, 30, 21
+SCORED = ", ".join(f"('{a}', '{b}', {A.SCORES[i, j]})" for i, a in enumerate(A.ACIDS) for j, b in enumerate(A.ACIDS))
+WORD_HITS = f"""{FRAMES}, {PROTEINS},
+    pw as (select feature_idx, cast(q as int) as q, substring(protein, q + 1, {SIZE}) as w from (select *, unnest(range(length(protein) - {SIZE} + 1)) as q from proteins)),
+    gw as (select record_id, frame, cast(s as int) as s, substring(residues, s + 1, {SIZE}) as w from (select *, unnest(range(length(residues) - {SIZE} + 1)) as s from frames)),
+    pair as (select * from (values {SCORED}) v(a, b, n)),
+    pd as (select distinct w as a from pw where not regexp_matches(w, '[X*]')),
+    n1 as (select pd.a, b as b, n from pd join pair on pair.a = pd.a[1]), n2 as (select n1.a, n1.b || pair.b as b, n1.n + pair.n as n from n1 join pair on pair.a = n1.a[2]),
+    scored as materialized (select n2.a, n2.b || pair.b as b, n2.n + pair.n as score from n2 join pair on pair.a = n2.a[3] where n2.n + pair.n >= {LEAST} or n2.a = n2.b || pair.b),
+    hits as (select g.record_id, p.feature_idx, g.frame, p.q, g.s, cast(score as int) as score from scored x join pw p on p.w = x.a join gw g on g.w = x.b)"""
+
+
+@query(f"""with {WORD_HITS}, far as (select *, s - q as diagonal, coalesce(cast(q - lag(q) over (partition by record_id, feature_idx, frame, s - q order by q) > {CLOSE} as int), 0) as f from hits),
+    numbered as (select *, sum(f) over (partition by record_id, feature_idx, frame, diagonal order by q) as run from far),
+    one as (select record_id, feature_idx, frame, diagonal, max(score) as top, min(q) as lo, max(q) as hi, count(*) as seeds, arg_max(q, (score, -q)) as best from numbered group by record_id, feature_idx, frame, diagonal, run)
+    select record_id, feature_idx, frame, best as q, diagonal + best as s, seeds from one where hi - lo >= {SIZE} or top >= {LONE}""", "records")
+def two_hit_runs(t):
+    return search.runs(search.word_hits(t.records, query_proteins(t), SIZE, LEAST), SIZE, CLOSE, LONE)
+
+
 @query()
 def native_hsp_search(t):
-    proteins = t.records.where("rid % 50 = 0").select(F.col("rid").cast("int").alias("feature_idx"), F.replace(S.translated(F.col("seq")), F.lit("*"), F.lit("X")).alias("protein"))
-    return search.search(t.records, proteins)
+    return search.search(t.records, query_proteins(t))
 
 
 # ---- intervals and alignments

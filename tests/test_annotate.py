@@ -139,108 +139,3 @@ def test_low_coverage_keeps_coordinates_without_sequence(world):
     assert got[2]["status"] == "no_hit" and got[2]["query_start"] is None and got[2]["coverage"] == 0.0
     plain = {r["feature_idx"]: r for r in lift.lift(records, proteins, hits, lift.LiftConfig(min_coverage=0.2, codons=False)).collect()}
     assert plain[1]["status"] == "ok" and plain[1]["query_end"] == a + 89
-
-
-def test_search_finds_diverged_proteins_on_either_strand(spark):
-    """Recall of planted, diverged proteins; nothing in random genomes; blocks of proteins change nothing."""
-    import random
-
-    from strandline.operators import search
-
-    rng = random.Random(8)
-    acids, codon = "ACDEFGHIKLMNPQRSTVWY", {}
-    for i, a in enumerate("TCAG"):
-        for j, b in enumerate("TCAG"):
-            for k, c in enumerate("TCAG"):
-                codon.setdefault(search.AMINO[i * 16 + j * 4 + k], a + b + c)
-    proteins = [(n, "".join(rng.choices(acids, k=rng.randrange(80, 300)))) for n in range(30)]
-    comp, planted, rows = str.maketrans("ACGT", "TGCA"), {}, []
-    for n, (i, p) in enumerate(proteins):
-        changed = "".join(rng.choice(acids) if rng.random() < 0.4 else x for x in p)
-        gene, head = "".join(codon[x] for x in changed), "".join(rng.choices("ACGT", k=rng.randrange(300, 900)))
-        seq = head + gene + "".join(rng.choices("ACGT", k=500))
-        lo, hi = len(head) + 1, len(head) + len(gene)
-        if n % 2:
-            seq, lo, hi = seq.translate(comp)[::-1], len(seq) - hi + 1, len(seq) - lo + 1
-        rows.append((f"g{n}", seq))
-        planted[f"g{n}"] = (i, lo, hi)
-    rows += [(f"r{n}", "".join(rng.choices("ACGT", k=3000))) for n in range(10)] + [("none", None), ("empty", ""), ("short", "AC"), ("odd", "ATGé" * 50)]
-    genomes = spark.createDataFrame(rows, "record_id string, seq string")
-    table = spark.createDataFrame([*proteins, (99, None), (98, "")], "feature_idx int, protein string")
-    got = sorted(map(tuple, search.search(genomes, table).collect()))
-    assert sorted(map(tuple, search.search(genomes, table, residues=500).collect())) == got
-    found = {(r[0], r[1]) for r in got}
-    hit = sum((g, i) in found for g, (i, _, _) in planted.items())
-    assert hit >= 0.9 * len(planted) and found <= {(g, i) for g, (i, _, _) in planted.items()}
-    for r in got:
-        _, lo, hi = planted[r[0]]
-        assert lo <= r[3] and r[4] <= hi and (r[4] - r[3] + 1) == 3 * r[8]
-    assert search.search(genomes, table.limit(0)).count() == 0
-
-
-def test_search_equals_brute_force(spark):
-    """Every alignment that X-drop extension reaches from any exact seed, over all diagonals."""
-    import math
-    import random
-
-    from strandline.operators import search
-
-    rng = random.Random(9)
-    proteins = [(1, "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQAPILSRVGDGTQDNLSGAEKAVQ"), (2, "MSDNGPQNQRNAPRITFGGPSDSTGSNQNGERSGARSKQRRPQGLPNNTASWFTALT")]
-    codon = {}
-    for i, a in enumerate("TCAG"):
-        for j, b in enumerate("TCAG"):
-            for k, c in enumerate("TCAG"):
-                codon.setdefault(search.AMINO[i * 16 + j * 4 + k], a + b + c)
-    seq = "ACGTA" + "".join(codon[x] for x in proteins[0][1][5:40]) + "TTGACCA" + "".join(codon[x] for x in proteins[1][1]) + "GT"
-    genome = "".join(rng.choices("ACGT", k=200)) + seq
-    scores, total, want = search.scoring(), sum(len(p) for _, p in proteins), set()
-    for frame, text in search.frames(genome):
-        for n, p in proteins:
-            for d in range(-len(p) + 4, len(text) - 3):
-                done = -1
-                for q in range(max(0, -d), min(len(p), len(text) - d) - 3):
-                    if q <= done or p[q : q + 4] != text[q + d : q + d + 4]:
-                        continue
-                    run = [int(scores[ord(p[i]), ord(text[i + d])]) for i in range(max(0, -d), min(len(p), len(text) - d))]
-                    at = q - max(0, -d)
-
-                    def reach(x):
-                        best, where, t = 0, 0, 0
-                        for m, v in enumerate(x, 1):
-                            t += v
-                            if t > best:
-                                best, where = t, m
-                            elif best - t > 20:
-                                break
-                        return where, best
-
-                    right, up = reach(run[at:])
-                    left, down = reach(run[:at][::-1])
-                    first, last, score = q - left, q + right - 1, up + down
-                    done = last
-                    bits = (search.LAMBDA * score - math.log(search.KAPPA)) / math.log(2)
-                    if total * len(genome) * 2.0**-bits <= 1e-5:
-                        a, b = (first + d) * 3 + abs(frame), (last + d) * 3 + abs(frame) + 2
-                        want.add((n, *((a, b) if frame > 0 else (len(genome) - b + 1, len(genome) - a + 1)), first + 1, last + 1, round(bits, 1)))
-    got = search.search(spark.createDataFrame([("g", genome)], "record_id string, seq string"), spark.createDataFrame(proteins, "feature_idx int, protein string")).collect()
-    assert {(r["feature_idx"], r["s_lo"], r["s_hi"], r["q_lo"], r["q_hi"], r["bits"]) for r in got} == want and want
-
-
-def test_a_failing_record_is_an_error_and_the_others_go_on(world, monkeypatch):
-    from strandline.operators import search
-
-    spark, seq, at, terms, excluded, ref, _ = world
-    prepared = prepare_reference(ref, terms, excluded)
-    proteins = lift.reference_proteins(prepared.features.select("feature_idx", "name", "start", "end", "strand"), prepared.genome)
-    real = search.find
-
-    def find(record_id, *rest):
-        if record_id == "bad":
-            raise ValueError("odd record")
-        return real(record_id, *rest)
-
-    monkeypatch.setattr(search, "find", find)
-    hits = search.search(spark.createDataFrame([("bad", seq), ("good", seq)], "record_id string, seq string"), proteins.select("feature_idx", "protein"))
-    rows = hits.collect()
-    assert {r["record_id"] for r in rows if r["feature_idx"] is not None} == {"good"}
