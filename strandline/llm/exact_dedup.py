@@ -10,7 +10,7 @@ not, blocks are sorted and looked up by themselves.
 
 Defined results: a null text counts as empty, and empty texts are one group; a null doc_id loses every tie; of repeated
 rows one stays; an empty table gives an empty result; other columns are ignored, and drop_copies keeps them as they are,
-whatever their names (but for `__own_1` to `__own_3`).
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import cut, stored
+from strandline.llm.shared import cut, only_rows, stored, text_hashes
 
 WHITE = "[\\x20\\x09-\\x0D]"
 BLOCK = 4096
@@ -89,17 +89,9 @@ def exact_dedup(docs: DataFrame, size: int = BLOCK) -> DataFrame:
 def drop_copies(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     """The rows of docs that stay, with all their columns. Of rows that repeat with the same doc_id and text one stays.
 
-    Rows are told apart by doc_id and two hashes of the text. The names `__own_1` to `__own_3` are reserved.
+    Rows are told apart by doc_id and two hashes of the text; which of several with the same is told by only_rows().
     """
-    text = F.coalesce("text", F.lit(""))
-    own = {"__own_1": F.xxhash64(text), "__own_2": F.xxhash64(F.lit(1), text)}
-    rows = identities(docs.select(F.struct(*(v.alias(c) for c, v in own.items())).alias("row"), "doc_id", "text"), size)
+    t1, t2 = text_hashes()
+    rows = identities(docs.select(F.struct(t1.alias("t1"), t2.alias("t2")).alias("row"), "doc_id", "text"), size)
     best = rows.groupBy("blocks", "name").agg(F.max(F.struct("points", F.expr("~doc_id").alias("i"), "row")).alias("best"))
-    kept = cut(best.select(F.expr("~best.i").alias("__own_3"), *(F.col(f"best.row.{c}").alias(c) for c in own)))
-    on = F.col("doc_id").eqNullSafe(F.col("__own_3"))
-    for c, value in own.items():
-        on = on & (value == F.col(c))
-    out = docs.join(kept, on, "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    return out.withColumns(own).dropDuplicates(["doc_id", *own]).drop(*own)
+    return only_rows(docs, best.select(F.expr("~best.i").alias("doc_id"), "best.row.t1", "best.row.t2"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.shared import cut, stored
@@ -43,12 +45,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
-    """The distinct rows (key, content) of keyed whose key more than one content has.
+    """The distinct rows of keyed (key, content and what goes with a key) whose key more than one content has.
 
     Partial sums and two plain exchanges: copies of a content, however many, count once and never meet in a task.
     """
     shared = stored(keyed.groupBy("key").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x <> y").select(F.col("key").alias("k")))
-    return stored(keyed.join(shared, F.col("key") == F.col("k")).select("key", "content").distinct())
+    return stored(keyed.join(shared, F.col("key") == F.col("k")).drop("k").distinct())
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
@@ -60,3 +62,45 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return members.join(hubs, F.col("key") == F.col("k")).where("content <> b").select(F.col("content").alias("a"), "b").distinct()
 
 
+def combined(parts: str, n: int, size: int) -> Column:
+    """Array of struct(key, last): a key for each choice of `size` of the n values of the array column, and the last one's place."""
+    keys = [F.struct(F.xxhash64(*(x for i in some for x in (F.lit(i), F.get(parts, F.lit(i))))).alias("key"), F.lit(some[-1]).alias("last")) for some in itertools.combinations(range(n), size)]
+    return F.array(*keys)
+
+
+def open_pairs(members: DataFrame, parts: DataFrame, links: DataFrame, n: int, most: int = 64) -> DataFrame:
+    """(a, b): the pairs of contents that share a key and that links (a, b) do not connect already.
+
+    members: key, last, content, as combined() makes them of parts (content, parts: array of n values). In each bucket all
+    members but those of its largest component meet every member of another component, if they are at most `most`; so a
+    member is in at most `most` pairs of a bucket that it does not ask for itself. A bucket with more of them is split by each
+    further value behind its last one, until it is small or no value is left; then its members meet its hub. Two contents
+    that agree in m values thus meet unless every choice of all m of them is a bucket that is still too large.
+    """
+    roots = stored(components(links).withColumnRenamed("node", "of"))
+    level, found = members, []
+    while True:
+        level = level.join(roots, F.col("content") == F.col("of"), "left").withColumn("root", F.coalesce("root", "content")).drop("of")
+        level = stored(level)
+        sizes = level.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+        sizes = stored(sizes.select("k", F.col("top.root").alias("main"), (F.col("n") - F.col("top.n")).alias("others")).where("others > 0"))
+        here = stored(level.join(sizes, F.col("key") == F.col("k")).select("key", "last", "content", "root", "main", "others"))
+        small = here.where(F.col("others") <= most)
+        asking = small.where("root <> main").select(F.col("key").alias("k"), F.col("content").alias("x"), F.col("root").alias("own"))
+        met = small.join(asking, F.col("key") == F.col("k")).where("root <> own")
+        found.append(stored(met.select(F.least("content", "x").alias("a"), F.greatest("content", "x").alias("b")).distinct()))
+        large = here.where(F.col("others") > most)
+        if large.isEmpty():
+            break
+        done = large.where(F.col("last") >= n - 1)
+        if not done.isEmpty():
+            found.append(stored(hub_pairs(done.select("key", "content"))))
+        rest = large.where(F.col("last") < n - 1).select("key", "last", "content").join(parts.select(F.col("content").alias("c"), "parts"), F.col("content") == F.col("c"))
+        deeper = F.transform(F.sequence(F.col("last") + 1, F.lit(n - 1)), lambda i: F.struct(F.xxhash64(F.col("key"), i, F.get("parts", i)).alias("key"), i.cast("int").alias("last")))
+        level = shared_keys(rest.select("content", F.explode(deeper).alias("y")).select("y.key", "y.last", "content"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return stored(out.distinct())
+
+

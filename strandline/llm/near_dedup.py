@@ -18,7 +18,8 @@ segments of 23 bits, and every segment is decoded by its margins (how far the sh
 its bits: the codeword that agrees best with them is the same for 0.26 of segments at a similarity of 0.8, for 0.43 at 0.9.
 Each two segments' codewords make a key of 24 bits, so texts that agree in two of the segments share one: 0.91 of pairs at
 0.8, 0.95 at 0.83, 0.99 at 0.9. Candidates are joined to the hub of their bucket, compared by fingerprint, and verified by
-the exact similarity of their words. (Beyond some 10^8 different texts, keys should be made of three segments.)
+the exact similarity of their words; what these links do not connect meets the others of its buckets, and buckets with many
+such texts, as chance makes them among some 10^9, are split by a third segment and further ones (graph.open_pairs).
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other; a null
 doc_id is given a component but names none; repeated rows give repeated rows; an empty table gives an empty result.
@@ -33,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.graph import components, hub_pairs, shared_keys
-from strandline.llm.shared import cut, slices, stored
+from strandline.llm.graph import combined, components, hub_pairs, open_pairs, shared_keys
+from strandline.llm.shared import cut, only_rows, slices, stored, text_hashes
 
 BITS, SEGMENTS = 3, 14
 CUTS = (22, 21, 21)
@@ -258,9 +259,15 @@ def jaccard(a: bytes, b: bytes, k: int) -> float:
 
 def similar_texts(docs: DataFrame, rows: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """(a, b): links of contents whose texts are similar. docs: t1, t2 (hashes of the text) and text; rows: signatures() with t1, t2."""
-    pair = "explode(flatten(transform(sequence(0, {0} - 2), i -> transform(sequence(i + 1, {0} - 1), j -> (i * {0} + j) * 16777216L + codes[i] * 4096L + codes[j]))))"
     nodes = stored(rows.groupBy("content").agg(F.min_by(F.struct("t1", "t2", "codes", "bits"), F.struct("t1", "t2")).alias("x")).select("content", "x.*"))
-    pairs = hub_pairs(shared_keys(nodes.select("content", F.expr(pair.format(SEGMENTS)).alias("key"))))
+    members = shared_keys(nodes.select("content", F.explode(combined("codes", SEGMENTS, 2)).alias("x")).select("x.key", "x.last", "content"))
+    links = _similar(docs, nodes, hub_pairs(members.select("key", "content")), k, least)
+    parts = nodes.select("content", F.col("codes").cast("array<long>").alias("parts"))
+    return links.union(_similar(docs, nodes, open_pairs(members, parts, links, SEGMENTS), k, least))
+
+
+def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
+    """The rows of pairs (a, b) whose texts are similar: first by their bits, then by their shingles."""
     left, right = nodes.select(F.col("content").alias("a"), F.col("bits").alias("p")), nodes.select(F.col("content").alias("b"), F.col("bits").alias("q"))
     apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
     pairs = stored(pairs.join(left, "a").join(right, "b").where(apart <= int(0.22 * SEGMENTS * 23)).select("a", "b"))
@@ -292,20 +299,12 @@ def drop_near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFra
     """The rows of docs that stay, with all their columns: of each group of similar texts the one with the least doc_id.
 
     Rows are told apart by doc_id and text, so rows that repeat a doc_id with another text are judged each for itself; rows
-    that repeat in full become one. A null doc_id loses every tie. The names `__own_1` to `__own_3` are reserved.
+    that repeat both become one, as only_rows() tells. A null doc_id loses every tie.
     """
-    text = F.coalesce("text", F.lit(""))
-    own = {"__own_1": F.xxhash64(text), "__own_2": F.xxhash64(F.lit(1), text)}
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), own["__own_1"].alias("t1"), own["__own_2"].alias("t2"))
+    t1, t2 = text_hashes()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), t1.alias("t1"), t2.alias("t2"))
     rows = stored(signatures(keyed, k, ("doc_id", "t1", "t2")))
     low = rows.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("low"))
     roots = stored(components(similar_texts(keyed, rows, k, least)))
     best = low.join(roots, F.col("content") == F.col("node"), "left").groupBy(F.coalesce("root", "content").alias("root")).agg(F.min("low").alias("low"))
-    kept = cut(best.select(F.col("low.doc_id").alias("__own_3"), F.col("low.t1").alias("__own_1"), F.col("low.t2").alias("__own_2")))
-    on = F.col("doc_id").eqNullSafe(F.col("__own_3"))
-    for c, value in own.items():
-        on = on & (value == F.col(c))
-    out = docs.join(kept, on, "left_semi")
-    if rows.groupBy("doc_id", "t1", "t2").count().where("count > 1").isEmpty():
-        return out
-    return out.withColumns(own).dropDuplicates(["doc_id", *own]).drop(*own)
+    return only_rows(docs, best.select("low.doc_id", "low.t1", "low.t2"))

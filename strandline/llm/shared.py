@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,6 +59,38 @@ def released(df: DataFrame, work) -> DataFrame:
     return out
 
 
+def own_names(docs: DataFrame, n: int) -> list[str]:
+    """n column names that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    free = (name for i in itertools.count(1) if (name := f"__own_{i}") not in taken)
+    return list(itertools.islice(free, n))
+
+
+def text_hashes() -> tuple[Column, Column]:
+    """Two 64-bit hashes of the column text, null as empty."""
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def only_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs that kept (doc_id, t1, t2: the text_hashes()) names, with all their columns.
+
+    Of rows that repeat a doc_id and a text the one stays whose other columns, written as JSON, come first.
+    """
+    names = own_names(docs, 3)
+    kept = cut(kept.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "t1", "t2"), names))))
+    on = F.col("doc_id").eqNullSafe(F.col(names[0]))
+    for value, name in zip(text_hashes(), names[1:]):
+        on = on & (value == F.col(name))
+    out = docs.join(kept, on, "left_semi")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))))
+    row = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.coalesce(others, F.lit("")))
+    once = out.groupBy(F.col("doc_id").alias(names[0]), *(value.alias(name) for value, name in zip(text_hashes(), names[1:]))).agg(row.alias("row"))
+    return once.select("row.*")
+
+
 def crc_part(column: str, modulus: int) -> Column:
     """crc32 of a column as text, modulo modulus: the split into training and held-out rows. Null ids fall to part 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))
