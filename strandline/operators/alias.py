@@ -62,12 +62,12 @@ def resolve_values(values: DataFrame, column: str, lookup: DataFrame) -> DataFra
 def joined_targets(features: DataFrame, lookup: DataFrame, values: list[str]) -> DataFrame:
     """features with column _<value>, the target of each value, by joins: every distinct value is looked up once, with its parts."""
     for c in values:
-        once = features.select(F.col(c).alias("_v")).where("_v <> ''").distinct()
-        pieces = once.select("_v", F.posexplode(F.concat(F.array("_v"), parts(F.col("_v")))).alias("_k", "_p"))
+        once = features.select(F.col(c).alias("__sought")).where("__sought <> ''").distinct()
+        pieces = once.select("__sought", F.posexplode(F.concat(F.array("__sought"), parts(F.col("__sought")))).alias("_k", "_p"))
         found = resolve_values(pieces, "_p", lookup).where("target is not null")
         first = F.min(F.struct((F.col("_k") > 0).alias("part"), ((F.col("_k") > 0) & is_sentinel(F.col("target"))).alias("barred"), "_k", "target"))
-        found = found.groupBy("_v").agg(first.alias("_x")).select("_v", F.col("_x.target").alias(f"_{c}"))
-        features = features.join(found, F.col(c) == F.col("_v"), "left").drop("_v")
+        found = found.groupBy("__sought").agg(first.alias("_x")).select("__sought", F.col("_x.target").alias(f"_{c}"))
+        features = features.join(found, F.col(c) == F.col("__sought"), "left").drop("__sought")
     return features
 
 
@@ -171,6 +171,11 @@ def excluded_to_alias(terms: DataFrame, excluded: DataFrame, name: str, canonica
     return add_alias(terms, canonical, name), excluded.where(norm(F.col("name")) != norm(F.lit(name)))
 
 
+def without_conflicts(terms: DataFrame, excluded: DataFrame) -> DataFrame:
+    """terms less those that alias_conflicts() names."""
+    return terms.withColumn("_n", norm(F.col("alias"))).join(alias_conflicts(terms, excluded).select(F.col("norm").alias("_n")).distinct(), "_n", "left_anti").drop("_n")
+
+
 def validated(terms: DataFrame, excluded: DataFrame) -> DataFrame:
     """terms, or an error that names the first conflicts."""
     found = alias_conflicts(terms, excluded).limit(5).collect()

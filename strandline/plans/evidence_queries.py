@@ -8,7 +8,7 @@ from strandline.functions import alignment as A
 from strandline.functions import sequence as S
 from strandline.functions.intervals import iou, overlap, rounded
 from strandline.functions.names import DESCRIPTIVE_SYMBOLS, DESCRIPTIVE_TERMS, GENERIC_NAMES, _norm, norm
-from strandline.operators import hsp, search, suggest, summary
+from strandline.operators import hsp, nucleotide, search, suggest, summary
 from strandline.operators.suggest import ENDINGS, FINAL_NAMES
 from strandline.plans.views import Tables, with_views
 from strandline.schema import PASSING, REVIEWED, STATUSES
@@ -153,6 +153,59 @@ def native_hsp_search(t):
     return search.search(t.records, query_proteins(t))
 
 
+# ---- nucleotide lift
+
+
+OPS = """ops as (select record_id, ref_start, unnest(regexp_extract_all(cigar, '[0-9]+[A-Z=]')) as op, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[A-Z=]'), 1) as i from alignments),
+    o as (select record_id, ref_start, i, cast(op[:-2] as int) as n, op[-1:] as k from ops),
+    w as (select *, ref_start + coalesce(sum(case when k in ('M', '=', 'X', 'D', 'N') then n else 0 end) over (partition by record_id order by i rows between unbounded preceding and 1 preceding), 0) as r,
+        1 + coalesce(sum(case when k in ('M', '=', 'X', 'I', 'S') then n else 0 end) over (partition by record_id order by i rows between unbounded preceding and 1 preceding), 0) as q from o)"""
+
+
+@query(f"with {OPS} select record_id, r::int as r, q::int as q, n from w where k in ('M', '=', 'X')", "alignments")
+def alignment_runs(t):
+    return nucleotide.cigar_runs(t.alignments)
+
+
+# Base by base in SQL.
+@query(f"""with {OPS}, base as (select record_id, r + d as rp, q + d as qp from (select *, unnest(range(n)) as d from w where k in ('M', '=', 'X')))
+    select record_id, name || '/' || ord as name, "start", "end", min(qp)::int as query_start, max(qp)::int as query_end, count(*) / any_value("end" - "start" + 1) as coverage from base join reference on rp between "start" and "end" group by record_id, name, ord, "start", "end" """, "alignments", "reference")
+def lift_by_alignment_runs(t):
+    features = t.reference.withColumn("name", F.concat("name", F.lit("/"), F.col("ord").cast("string")))
+    return nucleotide.lifted_by_runs(features, nucleotide.cigar_runs(t.alignments))
+
+
+LETTERS, SPAN = 11, 5
+CODE = lambda x: "(" + " + ".join(f"(instr('ACGT', {x}[{i + 1}]) - 1) * {4 ** (LETTERS - 1 - i)}" for i in range(LETTERS)) + ")"
+MINIMIZERS = f"""km as (select record_id, p as pos, substring(seq, p + 1, {LETTERS}) as x from (select *, unnest(range(length(seq) - {LETTERS} + 1)) as p from records)),
+    coded as (select record_id, pos, {CODE('x')} as a, {CODE(d_revcomp('x'))} as b from km),
+    hashed as (select *, case when a = b then {nucleotide.PRIME} else (least(a, b) * {nucleotide.FACTOR} + {nucleotide.ADD}) % {nucleotide.PRIME} end as h from coded),
+    wins as (select *, min(h) over (partition by record_id order by pos rows between current row and {SPAN - 1} following) as low, count(*) over (partition by record_id order by pos rows between current row and {SPAN - 1} following) as c from hashed),
+    least_ as (select distinct w.record_id, min(g.pos) as pos from wins w join hashed g on g.record_id = w.record_id and g.pos between w.pos and w.pos + {SPAN - 1} and g.h = w.low where w.c = {SPAN} and w.low < {nucleotide.PRIME} group by w.record_id, w.pos)"""
+
+
+@query(f"with {MINIMIZERS} select l.record_id, l.pos::int as pos, b < a as turned, h::bigint as hash from least_ l join hashed g on g.record_id = l.record_id and g.pos = l.pos", "records")
+def genome_minimizers(t):
+    return nucleotide.minimizers(t.records, LETTERS, SPAN).drop("size")
+
+
+#: Anchors whose places a record's features give, with repeats and ties.
+ANCHORS = """anchors as (select distinct record_id, strand, ord * 9 + "start" % 5 as r, ord * 8 + "end" % 13 + "start" % 3 as q from features)"""
+
+
+@query(f"""with recursive {ANCHORS}, numbered as (select *, row_number() over (partition by record_id, strand order by r, q) as i from anchors),
+    lists as (select record_id, strand, list(r order by i) as rs, list(q order by i) as qs, count(*) as n from numbered group by all),
+    walk as (select record_id, strand, rs, qs, n, 1::bigint as i, [{LETTERS}::bigint] as f from lists union all
+        select record_id, strand, rs, qs, n, i + 1, list_append(f, greatest({LETTERS}, list_max([
+            case when rs[i + 1] > rs[j] and qs[i + 1] > qs[j] and rs[i + 1] - rs[j] <= {nucleotide.MOST_GAP} and qs[i + 1] - qs[j] <= {nucleotide.MOST_GAP}
+                then f[j] + least(rs[i + 1] - rs[j], qs[i + 1] - qs[j], {LETTERS}) - case when rs[i + 1] - rs[j] = qs[i + 1] - qs[j] then 0 else 1 + abs(rs[i + 1] - rs[j] - qs[i + 1] + qs[j]) // {nucleotide.SHIFT} end else -1 end
+            for j in range(1, i + 1)]))) from walk where i < n)
+    select record_id, strand, list_max(f)::int as score from walk where i = n""", "features")
+def anchor_chains(t):
+    rows = t.features.select("record_id", "strand", (F.col("ord") * 9 + F.col("start") % 5).alias("r"), (F.col("ord") * 8 + F.col("end") % 13 + F.col("start") % 3).alias("q")).distinct()
+    return nucleotide.chains(rows, LETTERS).select("record_id", "strand", "score")
+
+
 # ---- intervals and alignments
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import names as N
+from strandline.functions.lineage import scratch
 from strandline.functions.sequence import cut
 from strandline.operators import alias, context, crawl, direct, routing
 from strandline.plans.review import answer_text_column
-from strandline.plans.views import ALIASES, EXCLUDED, GENES, REGISTRY, Tables, with_views
+from strandline.plans.views import GENES, Tables, with_views
 from strandline.sources import tables
 from strandline.sources.genbank import organism_of
 
@@ -33,7 +36,7 @@ def d_norm(x: str) -> str:
 
 LOOKUP = f"""terms as (select canonical, {d_norm("canonical")} as norm from aliases union all select canonical, {d_norm("alias")} from aliases),
     mapped as (select norm, case when min(canonical) = max(canonical) then min(canonical) else '__ambiguous__' end as target from terms where norm <> '' group by norm),
-    lookup as (select * from mapped union all select distinct {d_norm("name")}, '__excluded__' from excluded where {d_norm("name")} not in (select norm from mapped))"""
+    lookup as (select * from mapped union all select distinct {d_norm("name")}, '__excluded__' from excluded where {d_norm("name")} <> '' and {d_norm("name")} not in (select norm from mapped))"""
 NAMED = """named as (select *, coalesce(nullif(gene, ''), nullif(product, ''), nullif(locus_tag, ''), printf('%s_%03d', type, row_number() over (partition by record_id, type order by ord))) as shown from features)"""
 TARGETS = f"""q as (select record_id, ord, 1 as pr, gene as value from features where gene <> '' union all select record_id, ord, 2, product from features where product <> '' union all select record_id, ord, 3, locus_tag from features where locus_tag <> ''),
     pieces as (select *, 0 as k, {d_norm("value")} as nv from q union all select record_id, ord, pr, value, k, {d_norm("part")} from (select *, unnest(string_split(value, ';')) as part, generate_subscripts(string_split(value, ';'), 1) as k from q)),
@@ -47,6 +50,15 @@ RESOLVED = f"""{LOOKUP}, {NAMED}, {TARGETS},
 RAW = ("features", "aliases", "excluded")
 
 
+def of_parts(sql: str) -> str:
+    """sql over the configuration that is derived from the parts."""
+    return re.sub(r"\b(from|join) (aliases|excluded|pool|registry)\b", r"\1 part_\2", sql).replace("part_aliases", "part_terms")
+
+
+def parts_lookup(t) -> DataFrame:
+    return alias.alias_lookup(t.part_terms, t.part_excluded)
+
+
 def named_features(t: Tables) -> DataFrame:
     by = Window.partitionBy("record_id", "type").orderBy("ord")
     return t.features.withColumn("name", N.display_name(F.col("type"), F.row_number().over(by), F.col("gene"), F.col("product"), F.col("locus_tag"))).drop("rid")
@@ -69,22 +81,22 @@ def name_normalize(t):
     return t.part.select("p_partkey", N.norm(F.concat_ws(" ", "p_type", "p_name")).alias("norm"), N.slug(F.concat_ws(" ", "p_brand", "p_type")).alias("slug"), F.array_join(N.words(F.col("p_type")), " ").alias("words"))
 
 
-@query(f"""with {LOOKUP}, pieces as (select i, v, 0 as k, {d_norm("v")} as nv from pool union all select i, v, k, {d_norm("part")} from (select *, unnest(string_split(v, ';')) as part, generate_subscripts(string_split(v, ';'), 1) as k from pool)),
+@query(of_parts(f"""with {LOOKUP}, pieces as (select i, v, 0 as k, {d_norm("v")} as nv from pool union all select i, v, k, {d_norm("part")} from (select *, unnest(string_split(v, ';')) as part, generate_subscripts(string_split(v, ';'), 1) as k from pool)),
     found as (select p.*, target, target in ('__excluded__', '__ambiguous__') as barred from pieces p join lookup l on p.nv = l.norm)
-    select p.i, p.v, f.target from pool p left join (select *, row_number() over (partition by i order by case when k = 0 then 0 when not barred then 1 else 2 end, k) as n from found) f on p.i = f.i and f.n = 1""", "pool", "aliases", "excluded")
+    select p.i, p.v, f.target from pool p left join (select *, row_number() over (partition by i order by case when k = 0 then 0 when not barred then 1 else 2 end, k) as n from found) f on p.i = f.i and f.n = 1"""), "part_pool", "part_terms", "part_excluded")
 def compound_alias_lookup(t):
-    return t.pool.select("i", "v", alias.target_of(F.col("v"), alias.lookup_map(lookup(t))).alias("target"))
+    return alias.joined_targets(t.part_pool, parts_lookup(t), ["v"]).select("i", "v", F.col("_v").alias("target"))
 
 
-@query(f"with {LOOKUP} select norm, target from lookup", "aliases", "excluded")
+@query(of_parts(f"with {LOOKUP} select norm, target from lookup"), "part_terms", "part_excluded")
 def alias_lookup_build(t):
-    return lookup(t)
+    return parts_lookup(t)
 
 
-@query(f"""with c as (select distinct {d_norm("alias")} as norm, canonical from aliases), g as (select norm, string_agg(canonical, ', ' order by canonical) as canonicals, count(*) as n from c group by norm)
-    select 'several canonicals' as kind, norm, canonicals from g where n > 1 union all select 'excluded alias', norm, canonicals from g where norm in (select {d_norm("name")} from excluded)""", "aliases", "excluded")
+@query(of_parts(f"""with c as (select distinct {d_norm("alias")} as norm, canonical from aliases), g as (select norm, string_agg(canonical, ', ' order by canonical) as canonicals, count(*) as n from c group by norm)
+    select 'several canonicals' as kind, norm, canonicals from g where n > 1 union all select 'excluded alias', norm, canonicals from g where norm in (select {d_norm("name")} from excluded)"""), "part_terms", "part_excluded")
 def alias_conflicts(t):
-    return alias.alias_conflicts(t.aliases, t.excluded)
+    return alias.alias_conflicts(t.part_terms, t.part_excluded)
 
 
 @query(f"with {RESOLVED} select * from resolved", *RAW)
@@ -92,9 +104,9 @@ def alias_resolve_feature(t):
     return resolved(t).select(RESOLVED_COLUMNS)
 
 
-@query(f"select name, norm from (select *, {d_norm('name')} as norm, row_number() over (partition by {d_norm('name')} order by ord, name) as n from excluded) where n = 1 and norm <> ''", "excluded")
+@query(of_parts(f"select name, norm from (select *, {d_norm('name')} as norm, row_number() over (partition by {d_norm('name')} order by ord, name) as n from excluded) where n = 1 and norm <> ''"), "part_excluded")
 def excluded_union(t):
-    return alias.ordered_distinct(t.excluded).select("name", "norm")
+    return alias.ordered_distinct(t.part_excluded).select("name", "norm")
 
 
 @query(f"""with {RESOLVED} select record_id, type, sum(case name_source when 'raw' then 1 when 'excluded' then -1 else 100 end)::bigint as score from resolved group by record_id, type""", *RAW)
@@ -237,46 +249,63 @@ def best_available_canonical(t):
     return rows.withColumn("canonical", N.best_canonical(F.col("raw_value"), F.array(*map(F.lit, AVAILABLE))))
 
 
-@query(f"""with {LOOKUP}, dec as (select {d_norm("v")} as norm, 'NEW' || i::varchar as target from pool where i % 5 = 0), d as (select norm, min(target) as target from dec group by norm)
-    select norm, target from d union all select norm, target from lookup where norm not in (select norm from d)""", "pool", "aliases", "excluded")
+@query(of_parts(f"""with {LOOKUP}, dec as (select {d_norm("v")} as norm, 'NEW' || i::varchar as target from pool where i % 5 = 0), d as (select norm, min(target) as target from dec group by norm)
+    select norm, target from d union all select norm, target from lookup where norm not in (select norm from d)"""), "part_pool", "part_terms", "part_excluded")
 def effective_lookup_overlay(t):
-    decisions = t.pool.where("i % 5 = 0").select(N.norm(F.col("v")).alias("norm"), F.concat(F.lit("NEW"), F.col("i").cast("string")).alias("target"))
-    return alias.overlay(lookup(t), decisions)
+    decisions = t.part_pool.where("i % 5 = 0").select(N.norm(F.col("v")).alias("norm"), F.concat(F.lit("NEW"), F.col("i").cast("string")).alias("target"))
+    return alias.overlay(parts_lookup(t), decisions)
 
 
-@query(f"""select canonical, string_agg(alias, '; ' order by ord) as aliases from aliases group by canonical having contains(translate(lower(canonical || ' ' || string_agg(alias, ' ' order by ord)), '-_ ', ''), 'orf')""", "aliases")
+@query(of_parts("""select canonical, string_agg(alias, '; ' order by ord) as aliases from aliases group by canonical having contains(translate(lower(canonical || ' ' || string_agg(alias, ' ' order by ord)), '-_ ', ''), 'ring1')"""), "part_terms")
 def canonical_search(t):
-    return alias.search_canonicals(t.aliases, "ORF")
-
+    return alias.search_canonicals(t.part_terms, "RING-1")
 
-def _registry() -> dict:
-    names = list(dict.fromkeys(v for v, _ in REGISTRY))
-    return {"viruses": [{"virus_name": v, "keywords": [k for w, k in REGISTRY if w == v], "alias_config": f"{v}.json"} for v in names]}
 
-
-@query("""with k as (select ord - 1 as o, virus, keyword, kw_ord from registry union all select distinct ord - 1, virus, virus, -1 from registry)
-    select o as ord, virus, keyword, row_number() over (partition by virus order by length(keyword) desc, kw_ord) - 1 as kw_ord, virus || '.json' as alias_config from k""", "registry")
+@query(of_parts("""with k as (select ord as o, virus, keyword, kw_ord from registry union all select distinct ord, virus, virus, -1 from registry)
+    select dense_rank() over (order by o)::int - 1 as ord, virus, keyword, (row_number() over (partition by virus order by length(keyword) desc, kw_ord))::int - 1 as kw_ord, virus || '.json' as alias_config from k"""), "part_registry")
 def registry_scan(t):
-    return tables.registry_table(t.spark, _registry(), with_name=True)
-
-
-def _config() -> dict:
-    names: dict = {}
-    for canonical, x in ALIASES:
-        names.setdefault(canonical, {"aliases": [], "parent": "ORF1a" if canonical == "ORF1b" else None})["aliases"].append(x)
-    names["S"] = names["S"]["aliases"]
-    return {"canonical_names": names, "excluded_names": list(EXCLUDED[:3]), "ignored_names": list(EXCLUDED[3:5]), "ambiguous_names": list(EXCLUDED[5:])}
-
-
-@query("""with f as (select canonical, min(ord) as first from aliases group by canonical), r as (select canonical, canonical as alias, first, -1 as ord from f union all select a.canonical, alias, first, ord from aliases a join f on a.canonical = f.canonical)
-    select canonical, alias, row_number() over (order by first, ord) - 1 as ord from r""", "aliases")
+    keywords = F.transform(F.array_sort(F.collect_list(F.struct("kw_ord", "keyword"))), lambda x: x["keyword"])
+    entries = t.part_registry.groupBy("ord", "virus").agg(keywords.alias("keywords"))
+    entry = F.struct("ord", F.col("virus").alias("virus_name"), "keywords", F.concat("virus", F.lit(".json")).alias("alias_config"))
+    file = entries.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x.dropFields("ord")).alias("viruses"))).alias("value"))
+    return tables.scan_registry(t.spark, written(file), with_name=True)
+
+
+def written(file: DataFrame) -> str:
+    """The folder of a text file with the one row of file."""
+    path = scratch(file.sparkSession)
+    file.coalesce(1).write.text(path)
+    return path
+
+
+def _config(t) -> str:
+    """An alias configuration file: every third canonical has the object shape with a parent, the exclusions are in three lists."""
+    aliases = F.transform(F.array_sort(F.collect_list(F.struct("ord", "alias"))), lambda x: x["alias"])
+    rows = t.part_terms.groupBy("canonical").agg(F.min("ord").alias("first"), aliases.alias("a"))
+    plain, shaped = F.to_json("a"), F.to_json(F.struct(F.col("a").alias("aliases"), F.lit("Line 1").alias("parent")))
+    entry = F.expr("concat(substring(k, 2, length(k) - 2), ':', v)")
+    rows = rows.select("first", F.to_json(F.array("canonical")).alias("k"), F.when(F.col("first") % 3 == 0, shaped).otherwise(plain).alias("v")).select("first", entry.alias("e"))
+    names = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "e"))), lambda x: x["e"]), ",").alias("names"))
+    listed = lambda k: F.to_json(F.transform(F.array_sort(F.collect_list(F.when(F.col("ord") % 3 == k, F.struct("ord", "name")))), lambda x: x["name"]))
+    barred = t.part_excluded.agg(*(listed(k).alias(f"x{k}") for k in range(3)))
+    text = F.concat(F.lit('{"canonical_names":{'), "names", F.lit('},"excluded_names":'), "x0", F.lit(',"ignored_names":'), "x1", F.lit(',"ambiguous_names":'), "x2", F.lit("}"))
+    return written(names.crossJoin(barred).select(text.alias("value")))
+
+
+@query(of_parts("""with f as (select canonical, min(ord) as first from aliases group by canonical), r as (select canonical, canonical as alias, first, -1 as ord from f union all select a.canonical, alias, first, ord from aliases a join f on a.canonical = f.canonical)
+    select canonical, alias, (dense_rank() over (order by first) - 1) * 1000000 + row_number() over (partition by canonical order by ord) - 1 as ord from r"""), "part_terms")
 def alias_config_scan(t):
-    return tables.config_tables(t.spark, _config())[0]
+    return tables.scan_alias_config(t.spark, _config(t))[0]
 
 
-@query("""select name, ord from excluded""", "excluded")
+@query(of_parts("""select name, (ord % 3) * 1000000 + row_number() over (partition by ord % 3 order by ord, name) - 1 as ord from excluded"""), "part_excluded")
 def alias_exclusion_scan(t):
-    return tables.config_tables(t.spark, _config())[1]
+    return tables.scan_alias_config(t.spark, _config(t))[1]
+
+
+@query(of_parts("""with f as (select canonical, min(ord) as first from aliases group by canonical) select canonical as name, case when first % 3 = 0 then 'Line 1' end as parent from f"""), "part_terms")
+def alias_parent_scan(t):
+    return tables.scan_alias_config(t.spark, _config(t))[2]
 
 
 @query("""select record_id, case when organism <> '' then organism when rid % 3 = 0 then host else '' end as organism from records""", "records")
@@ -366,15 +395,34 @@ def keyword_split(t):
     return t.part.select("p_partkey", F.array_join(N.first_wins(F.transform(F.split(text, "[,\\n]+"), lambda k: F.trim(k))), "|").alias("keywords"))
 
 
-@query("""with d as (select v as raw_value, case i % 3 when 0 then 'S' when 1 then 'M' else 'N' end as canonical, case i % 4 when 0 then 'save' when 1 then 'ignore' else 'skip' end as action, i from pool),
-    s as (select raw_value, canonical, i + 1048576 as ord, """ + d_norm("raw_value") + """ as n from d where action = 'save'), known as (select canonical, """ + d_norm("alias") + """ as n from aliases union select canonical, """ + d_norm("canonical") + """ from aliases)
-    select canonical, alias, ord from aliases union all select canonical, raw_value, ord from s where (canonical, n) not in (select canonical, n from known)""", "pool", "aliases")
-def decisions_applied(t):
+DECISIONS = f"""d as (select v as raw_value, case i % 3 when 0 then 'Line 7' when 1 then 'Brand#1' else 'New name' end as canonical, case i % 4 when 0 then 'save' when 1 then 'ignore' else 'skip' end as action, i from pool),
+    s as (select raw_value, canonical, i + 1048576 as ord, {d_norm("raw_value")} as n, row_number() over (partition by canonical, {d_norm("raw_value")} order by i) as k from d where action = 'save'),
+    known as (select canonical, {d_norm("alias")} as n from aliases union select canonical, {d_norm("canonical")} from aliases)"""
+
+
+def _decided(t):
     from strandline.operators.suggest import applied
 
     i = F.col("i")
-    decisions = t.pool.select(F.col("v").alias("raw_value"), F.when(i % 3 == 0, "S").when(i % 3 == 1, "M").otherwise("N").alias("canonical_name"), F.when(i % 4 == 0, "save").when(i % 4 == 1, "ignore").otherwise("skip").alias("action"), i.alias("ord"))
-    return applied(t.aliases, t.excluded, decisions)[0]
+    decisions = t.part_pool.select(F.col("v").alias("raw_value"), F.when(i % 3 == 0, "Line 7").when(i % 3 == 1, "Brand#1").otherwise("New name").alias("canonical_name"), F.when(i % 4 == 0, "save").when(i % 4 == 1, "ignore").otherwise("skip").alias("action"), i.alias("ord"))
+    return applied(t.part_terms, t.part_excluded, decisions)
+
+
+@query(of_parts(f"with {DECISIONS} select canonical, alias, ord from aliases union all select canonical, raw_value, ord from s where k = 1 and (canonical, n) not in (select canonical, n from known)"), "part_pool", "part_terms")
+def decisions_applied(t):
+    return _decided(t)[0]
+
+
+@query(of_parts(f"""with {DECISIONS}, b as (select name, {d_norm("name")} as n, 0 as late, ord from excluded union all select raw_value, {d_norm("raw_value")}, 1, i from d where action = 'ignore')
+    select name from (select *, row_number() over (partition by n order by late, ord, name) as k from b where n <> '') where k = 1 and n not in (select n from s)"""), "part_pool", "part_terms", "part_excluded")
+def decisions_excluded(t):
+    return _decided(t)[1]
+
+
+@query(of_parts(f"""with c as (select distinct {d_norm("alias")} as norm, canonical from aliases), g as (select norm from c group by norm having count(*) > 1 union select norm from c where norm in (select {d_norm("name")} from excluded))
+    select canonical, alias, ord from aliases where {d_norm("alias")} not in (select norm from g)"""), "part_terms", "part_excluded")
+def alias_terms_without_conflicts(t):
+    return alias.validated(alias.without_conflicts(t.part_terms, t.part_excluded), t.part_excluded)
 
 
 @query(f"""select ord, n.canonical as canonical_override, coalesce(n.canonical, s.canonical_name) as canonical_name from suggestions s left join (select distinct canonical from aliases) n on {d_norm("s.raw_value")} = {d_norm("n.canonical")}""", "suggestions", "aliases")
@@ -384,6 +432,6 @@ def seed_override(t):
     return suggest.seed_override(t.suggestions, t.aliases).select("ord", "canonical_override", "canonical_name")
 
 
-@query("select virus, arg_max(keyword, (length(keyword), -kw_ord)) as keyword from registry group by virus", "registry")
+@query(of_parts("select virus, arg_max(keyword, (length(keyword), -kw_ord)) as keyword from registry group by virus"), "part_registry")
 def longest_keyword(t):
-    return crawl.longest_keyword(t.registry)
+    return crawl.longest_keyword(t.part_registry)

@@ -40,14 +40,28 @@ def genome(key: str) -> str:
     return f"translate({pieces}, '0123456789abcdef', 'ACGTACGTACGTACGT')"
 
 
+#: Spellings of a part's name; parts that share a name and a number share it whatever the spelling.
+NAMES = "case p_partkey % 4 when 0 then p_name || ' ' || cast(p_partkey % 307 as string) when 1 then upper(p_name) || '_' || cast(p_partkey % 307 as string) when 2 then p_type || ' ' || cast(p_partkey as string) else p_name || '-' || cast(p_size as string) end"
+
+
 VIEWS = {
     "aliases": values([(c, a, i) for i, (c, a) in enumerate(ALIASES)], "canonical, alias, ord"),
     "excluded": values([(x, i) for i, x in enumerate(EXCLUDED)], "name, ord"),
     "pool": values(list(enumerate(POOL)), "i, v"),
     "registry": values([(1 + sorted({r[0] for r in REGISTRY}).index(v), v, k, i) for i, (v, k) in enumerate(REGISTRY)], "ord, virus, keyword, kw_ord"),
     "reference": values([(i, *r) for i, r in enumerate(REFERENCE)], 'ord, name, "start", "end", strand'),
+    # Configurations as large as the parts: names with several owners, names that are excluded too, compound and odd spellings.
+    "part_terms": f"""select case when p_partkey % 2 = 0 then p_brand else 'Line ' || cast(p_partkey % 97 as string) end as canonical, {NAMES} as alias, cast(p_partkey as int) as ord from part""",
+    "part_excluded": """select p_type || ' ' || cast(p_size as string) as name, cast(p_partkey as int) as ord from part where p_partkey % 5 = 0
+        union all select upper(p_name) || ' ' || cast(p_partkey % 307 as string), cast(p_partkey as int) from part where p_partkey % 41 = 0 union all select ' - ', cast(p_partkey as int) from part where p_partkey % 100 = 3""",
+    "part_pool": f"""select cast(p_partkey as int) as i, case p_partkey % 6 when 0 then {NAMES} when 1 then {NAMES} || '; ' || p_type || ' ' || cast(p_size as string) when 2 then p_type || ' ' || cast(p_size as string) || ';' || p_brand
+        when 3 then lower(p_name) || cast(p_partkey % 307 as string) when 4 then p_brand else 'odd name ' || cast(p_partkey % 50 as string) || ';; ' || {NAMES} end as v from part""",
+    "part_registry": """select cast(substring(p_brand, 7) as int) as ord, 'Virus ' || p_brand as virus, p_name || ' ' || cast(p_partkey as string) as keyword, cast(p_partkey as int) as kw_ord from part""",
     "records": f"""select p_partkey as rid, 'R' || cast(p_partkey as string) as record_id, p_name as name, p_type as description,
         case when p_partkey % 5 = 0 then null when p_partkey % 5 = 1 then '' else p_type || ' ' || p_name end as organism, p_brand as host, {genome("cast(p_partkey as string)")} as seq from part""",
+    "alignments": """select 'R' || cast(p_partkey as string) as record_id, cast(p_partkey % 40 + 1 as int) as ref_start,
+        cast(p_partkey % 7 + 5 as string) || 'S' || cast(p_partkey % 31 + 30 as string) || 'M' || cast(p_partkey % 4 + 1 as string) || 'I' || cast(p_partkey % 43 + 20 as string) || '=' || cast(p_partkey % 9 + 1 as string) || 'D'
+        || cast(p_partkey % 3 + 1 as string) || 'X' || cast(p_partkey % 53 + 20 as string) || 'M' || cast(p_partkey % 11 + 1 as string) || 'N' || cast(p_partkey % 29 + 40 as string) || 'M5H' as cigar from part""",
     "raw_features": """select l_partkey as rid, cast(row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag) as int) as ord,
         case when l_linestatus = 'F' then 'CDS' else 'mat_peptide' end as type, cast((l_orderkey * 7 + l_linenumber * 31) % 300 + 1 as int) as b, cast(l_quantity as int) * 3 as n,
         case when l_returnflag = 'R' then '-' else '+' end as strand, cast((l_orderkey * 3 + l_suppkey) % 24 as int) as gi, cast((l_suppkey * 5 + l_linenumber) % 24 as int) as pi, l_linenumber % 3 as x, l_orderkey % 4 as y from lineitem""",
@@ -90,6 +104,8 @@ def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL that may name the views; `sql` may begin with its own WITH list."""
     own = ", ".join(f"{n} as ({VIEWS[n]})" for n in closure(names))
     body = sql.strip()
+    if body[:15].lower() == "with recursive ":
+        return f"with recursive {own}, {body[15:]}"
     return f"with {own}, {body[5:]}" if body[:5].lower() == "with " else f"with {own} {body}"
 
 

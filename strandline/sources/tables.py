@@ -14,6 +14,10 @@ from strandline.operators.hsp import hsp_strand
 from strandline.schema import HSP
 
 
+#: Names in a list of a configuration, at most.
+ORDS = 1_000_000
+
+
 def check_alias_config(config: dict) -> dict:
     """config, or an error that says what is wrong with its shape."""
     if not isinstance(config, dict) or not isinstance(config.get("canonical_names"), dict):
@@ -81,6 +85,38 @@ def registry_table(spark: SparkSession, registry: dict, with_name: bool = False)
     return spark.createDataFrame(rows, "ord int, virus string, keyword string, kw_ord int, alias_config string")
 
 
+def scan_registry(spark: SparkSession, path: str, with_name: bool = False) -> DataFrame:
+    """registry_table() of a registry file, of any size, as columns."""
+    schema = "viruses array<struct<virus_name:string,keywords:array<string>,alias_config:string>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True)
+    wrong = rows.where("viruses is null or exists(viruses, e -> coalesce(e.virus_name, '') = '' or coalesce(e.alias_config, '') = '')")
+    if rows.isEmpty() or not wrong.isEmpty():
+        raise ValueError("a registry needs a list viruses, each with virus_name, keywords and alias_config")
+    words = F.coalesce(F.col("e.keywords"), F.array().cast("array<string>"))
+    if with_name:
+        longest = F.transform(F.array_sort(F.transform(F.concat(F.array("e.virus_name"), words), lambda w, k: F.struct((-F.length(w)).alias("n"), k.alias("k"), w.alias("w")))), lambda x: x["w"])
+        words = longest
+    rows = rows.select(F.posexplode("viruses").alias("ord", "e"))
+    return rows.select("ord", F.col("e.virus_name").alias("virus"), F.posexplode(words).alias("kw_ord", "keyword"), F.col("e.alias_config").alias("alias_config")).select("ord", "virus", "keyword", "kw_ord", "alias_config")
+
+
+def scan_alias_config(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """config_tables() of a configuration file, of any size, as columns; ord is a name's place times ORDS, plus the place in its list."""
+    lists = ("excluded_names", "ignored_names", "ambiguous_names")
+    rows = spark.read.schema("canonical_names map<string,string>, " + ", ".join(f"{x} array<string>" for x in lists)).json(path, multiLine=True)
+    entries = rows.select(F.posexplode("canonical_names").alias("i", "name", "entry"))
+    # An entry is a list of aliases, or an object that has one and perhaps a parent.
+    shaped = F.startswith(F.ltrim("entry"), F.lit("{"))
+    of = F.from_json("entry", "aliases array<string>, parent string")
+    entries = entries.select("i", "name", F.when(shaped, F.coalesce(of["aliases"], F.array().cast("array<string>"))).otherwise(F.from_json("entry", "array<string>")).alias("aliases"), F.when(shaped, of["parent"]).alias("parent"))
+    if rows.where("canonical_names is not null").isEmpty() or not entries.where("aliases is null").isEmpty():
+        raise ValueError("an alias configuration needs an object canonical_names, whose entries list their aliases")
+    terms = entries.select("i", F.col("name").alias("canonical"), F.posexplode(F.concat(F.array("name"), "aliases")).alias("k", "alias"))
+    barred = rows.select(F.posexplode(F.array(*lists)).alias("i", "l")).select("i", F.posexplode("l").alias("k", "name"))
+    ord_ = (F.col("i").cast("long") * ORDS + F.col("k")).alias("ord")
+    return terms.select("canonical", "alias", ord_), barred.select("name", ord_), entries.select("name", "parent")
+
+
 def upsert_entry(registry: dict, virus: str, keywords: list[str], alias_config: str) -> dict:
     """The registry with the entry added, or its keywords extended; keywords are distinct regardless of case."""
     entries = [dict(e) for e in check_registry(registry)]
@@ -184,28 +220,3 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).where(~F.col("value").startswith("@")).withColumn("f", F.split("value", "\t")).withColumn("n", F.monotonically_increasing_id())
     rows = rows.select("n", *(F.col("f")[i].cast(t).alias(c) for i, (c, t) in enumerate(x.split() for x in names.split(", ")))).where("flag & 4 = 0 and flag & 256 = 0 and flag & 2048 = 0")
     return rows.groupBy("record_id").agg(F.min_by(F.struct("ref_start", "cigar"), "n").alias("a")).select("record_id", "a.*")
-
-
-def position_map(alignments: DataFrame) -> DataFrame:
-    """(record_id, ref_pos, query_pos) of matched positions, from 1, by walking the CIGAR as columns."""
-    ops = F.transform(F.regexp_extract_all("cigar", F.lit("([0-9]+)[MIDNSHP=X]"), F.lit(1)), lambda n: n.cast("int"))
-    kinds = F.regexp_extract_all("cigar", F.lit("[0-9]+([MIDNSHP=X])"), F.lit(1))
-    both = F.arrays_zip(ops.alias("n"), kinds.alias("k"))
-    zero = F.struct(F.col("ref_start").alias("r"), F.lit(1).alias("q"), F.array().cast("array<struct<r:int,q:int,n:int>>").alias("runs"))
-
-    def step(s, x):
-        n, k = x["n"], x["k"]
-        run = k.isin("M", "=", "X")
-        runs = F.when(run, F.concat(s["runs"], F.array(F.struct(s["r"].alias("r"), s["q"].alias("q"), n.alias("n"))))).otherwise(s["runs"])
-        return F.struct((s["r"] + F.when(run | k.isin("D", "N"), n).otherwise(0)).alias("r"), (s["q"] + F.when(run | k.isin("I", "S"), n).otherwise(0)).alias("q"), runs.alias("runs"))
-
-    runs = alignments.select("record_id", F.explode(F.aggregate(both, zero, step)["runs"]).alias("x"))
-    return runs.select("record_id", "x.r", "x.q", F.explode(F.sequence(F.lit(0), F.col("x.n") - 1)).alias("i")).select("record_id", (F.col("r") + F.col("i")).alias("ref_pos"), (F.col("q") + F.col("i")).alias("query_pos"))
-
-
-def lifted_by_positions(features: DataFrame, positions: DataFrame) -> DataFrame:
-    """features (name, start, end) with the span and share of their positions that map, for each record."""
-    places = features.select("name", "start", "end", F.explode(F.sequence("start", "end")).alias("ref_pos"))
-    met = positions.join(places, "ref_pos")
-    one = met.groupBy("record_id", "name", "start", "end").agg(F.min("query_pos").alias("query_start"), F.max("query_pos").alias("query_end"), F.count("*").alias("n"))
-    return one.withColumn("coverage", F.col("n") / (F.col("end") - F.col("start") + 1)).drop("n")

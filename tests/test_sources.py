@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import crawl, suggest
+from strandline.operators import crawl, nucleotide, suggest
 from strandline.schema import RECORD
 from strandline.sources import genbank, ncbi, sinks, tables
 from strandline.streaming import ledger
@@ -90,9 +90,10 @@ def test_alignment_readers(spark, tmp_path):
     row = tables.read_blast_xml(spark, str(tmp_path / "b.xml"), "r").first()
     assert (row["feature_idx"], row["s_lo"], row["s_hi"], row["strand"], row["identities"]) == (3, 5, 64, "-", 18)
     (tmp_path / "a.sam").write_text("@HD\nq\t256\tref\t1\t60\t5M\nq\t0\tref\t10\t60\t3M1I2M1D2M\nq\t0\tref\t50\t60\t3M\n")
-    positions = tables.position_map(tables.read_sam(spark, str(tmp_path / "a.sam")))
+    runs = nucleotide.cigar_runs(tables.read_sam(spark, str(tmp_path / "a.sam")))
+    positions = nucleotide.position_map(runs)
     assert [(r["ref_pos"], r["query_pos"]) for r in positions.orderBy("ref_pos").collect()] == [(10, 1), (11, 2), (12, 3), (13, 5), (14, 6), (16, 7), (17, 8)]
-    spans = tables.lifted_by_positions(spark.createDataFrame([("g", 12, 17)], "name string, start int, end int"), positions).first()
+    spans = nucleotide.lifted_by_runs(spark.createDataFrame([("g", 12, 17)], "name string, start int, end int"), runs).first()
     assert (spans["query_start"], spans["query_end"], spans["coverage"]) == (3, 8, 5 / 6)
 
 
