@@ -178,12 +178,13 @@ def mock_provider(payload: dict) -> list[dict]:
 def applied(terms: DataFrame, excluded: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(terms, excluded) after decisions (raw_value, canonical_name, action, ord): saved names become aliases and leave the exclusions.
 
-    Of names with one normal form the first by ord counts; exclusions (name, ord) come before what is ignored now.
+    Of names with one normal form the first by ord counts; exclusions (name, perhaps ord) come before what is ignored now.
     """
     saved = decisions.where("action = 'save'").select(F.col("canonical_name").alias("canonical"), F.col("raw_value").alias("alias"), (F.col("ord") + (1 << 20)).alias("ord"))
     known = terms.select("canonical", norm(F.col("alias")).alias("_n")).union(terms.select("canonical", norm(F.col("canonical"))))
     fresh = saved.withColumn("_n", norm(F.col("alias"))).join(known, ["canonical", "_n"], "left_anti")
     fresh = fresh.groupBy("canonical", "_n").agg(F.min(F.struct("ord", "alias")).alias("x")).select("canonical", "x.alias", "x.ord")
-    barred = excluded.select("name", F.lit(0).alias("late"), "ord").union(decisions.where("action = 'ignore'").select("raw_value", F.lit(1), "ord")).withColumn("_n", norm(F.col("name"))).where("_n <> ''")
+    place = F.col("ord") if "ord" in excluded.columns else F.lit(0).alias("ord")
+    barred = excluded.select("name", F.lit(0).alias("late"), place).union(decisions.where("action = 'ignore'").select("raw_value", F.lit(1), "ord")).withColumn("_n", norm(F.col("name"))).where("_n <> ''")
     barred = barred.groupBy("_n").agg(F.min(F.struct("late", "ord", "name"))["name"].alias("name"))
     return terms.select("canonical", "alias", "ord").unionByName(fresh.select("canonical", "alias", "ord")), barred.join(saved.select(norm(F.col("alias")).alias("_n")), "_n", "left_anti").select("name")

@@ -1,18 +1,22 @@
 """GenBank flat files: a parser, a Data Source named `genbank`, and a writer.
 
-A record ends with a line of two slashes. Files are split by path: the source makes one partition of each file, and
-read_genbank() reads any store through Spark's own text reader with that line as separator, so that one large file becomes
-many partitions. Locations collapse to their outer hull; the strand is + only where every part is; positions count from 1.
+A record ends with a line of two slashes. The source cuts files into ranges of bytes; a record belongs to the range in which
+it begins, and a range finds its first record behind the first such line. It reads what file systems pyarrow knows, parses
+only what the asked schema needs (without seq no sequence is built, without features none is read), and tells records by
+record_id, name or organism before it parses the rest. read_genbank() reads any store through Spark's own text reader with
+that line as separator. Locations collapse to their outer hull; the strand is + only where every part is; positions count
+from 1.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from strandline.functions.names import filled
 from strandline.schema import RECORD
@@ -26,8 +30,15 @@ def parse_location(text: str) -> tuple[int, int, str]:
     return (min(numbers), max(numbers), "-" if "complement" in text else "+") if numbers else (0, 0, "-")
 
 
-def parse_record(text: str) -> dict | None:
-    """One record; None where the text has no LOCUS line."""
+def parse_record(text: str, wanted: frozenset | None = None) -> dict | None:
+    """One record; None where the text has no LOCUS line. wanted: the fields that are asked for, else all.
+
+    Features are read for organism too, which they may have to give.
+    """
+    if wanted is not None and not wanted & {"seq", "seq_len"}:
+        text = re.split(r"(?m)^ORIGIN", text, maxsplit=1)[0]
+    if wanted is not None and "features" not in wanted and re.search(r"(?m)^  ORGANISM +\S", text):
+        text = re.sub(r"(?ms)^FEATURES.*?(?=^\S|\Z)", "", text, count=1)
     lines = text.splitlines()
     if not any(line.startswith("LOCUS") for line in lines):
         return None
@@ -78,40 +89,100 @@ def _row(r: dict) -> tuple:
     return r["record_id"], r["name"], r["description"], r["organism"], r["seq"], r["seq_len"], features
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+FIELDS = ("record_id", "name", "description", "organism", "seq", "seq_len", "features")
+#: Bytes of a range, and bytes before it in which the line that ends a record may begin.
+SPLIT, BEFORE = 32 << 20, 64
+#: Fields that a record's first lines tell.
+EARLY = ("record_id", "name", "organism")
+
+
+def file_system(path: str):
+    """(file system, path in it) of a URI or a local path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def listed(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files of a folder, or of the one file, in order; names that begin with _ or . are left out."""
+    from pyarrow import fs
+
+    system, inner = file_system(path)
+    head = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+    info = system.get_file_info(inner)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    found = system.get_file_info(fs.FileSelector(inner)) if info.type == fs.FileType.Directory else [info]
+    return sorted((head + f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name[:1] not in ("_", "."))
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
+
+
+def range_records(path: str, start: int, end: int) -> Iterator[str]:
+    """The texts of the records that begin at the bytes from start to before end."""
+    system, inner = file_system(path)
+    with io.BufferedReader(system.open_input_file(inner), 1 << 20) as f:
+        at = max(0, start - BEFORE)
+        f.seek(at)
+        inside, held = start == 0, []
+        skip = at > 0  # most likely within a line
+        while line := f.readline():
+            at += len(line)
+            if skip:
+                skip = False
+            elif line.rstrip() == b"//":
+                if held:
+                    yield b"".join(held).decode("utf-8", "replace")
+                held, inside = [], at >= start
+                if at >= end:
+                    return
+            elif inside:
+                held.append(line)
+        if held:
+            yield b"".join(held).decode("utf-8", "replace")
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path = options.get("path")
+    def __init__(self, options: dict, fields: tuple[str, ...]):
+        self.path, self.split = options.get("path"), int(options.get("splitBytes", SPLIT))
         if not self.path:
             raise ValueError("format genbank needs a path")
+        self.fields, self.equal = fields, []
 
     def partitions(self) -> list[InputPartition]:
-        import glob
-        import os
-
-        found = sorted(glob.glob(os.path.join(self.path, "*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [_File(p) for p in found if os.path.isfile(p) and not os.path.basename(p).startswith(("_", "."))]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        held: list[str] = []
-        with open(partition.path, encoding="utf-8", errors="replace") as f:
-            for line in f:
-                if line.rstrip() == "//":
-                    if r := parse_record("".join(held)):
-                        yield _row(r)
-                    held = []
-                else:
-                    held.append(line)
-        if r := parse_record("".join(held)):
-            yield _row(r)
+        return [_Range(p, s, min(s + self.split, size)) for p, size in listed(self.path) for s in range(0, size, self.split)]
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        wanted, told = frozenset(self.fields), frozenset(f for f, _ in self.equal)
+        for text in range_records(partition.path, partition.start, partition.end):
+            if told:
+                first = parse_record(text, told)
+                if first is None or any(first[f] not in values for f, values in self.equal):
+                    continue
+            if r := parse_record(text, wanted):
+                row = dict(zip(FIELDS, _row(r)))
+                yield tuple(row[f] for f in self.fields)
+
+
+class _FilteringReader(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Equal and in tests on what a record's first lines tell are done here; Spark does the others."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in EARLY:
+                self.equal.append((f.attribute[0], frozenset(f.value) if isinstance(f, In) else frozenset([f.value])))
+            else:
+                yield f
 
 
 class GenBankSource(DataSource):
-    """spark.dataSource.register(GenBankSource); spark.read.format("genbank").load(path)."""
+    """register(spark); spark.read.format("genbank").load(path).
+
+    A schema of some of the fields, given to the reader, is all that is parsed. Option splitBytes: the bytes of a range.
+    Option pushFilters, true where register() was called: records are told by their first lines.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -121,7 +192,17 @@ class GenBankSource(DataSource):
         return RECORD
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        unknown = [f for f in schema.names if f not in FIELDS]
+        if unknown:
+            raise ValueError(f"format genbank has no field {unknown[0]}")
+        pushed = str(self.options.get("pushFilters", "false")).lower() == "true"
+        return (_FilteringReader if pushed else _Reader)(self.options, tuple(schema.names))
+
+
+def register(spark: SparkSession) -> None:
+    """Make format genbank known, and let Spark give it filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(GenBankSource)
 
 
 def raw_records(spark: SparkSession, path: str) -> DataFrame:
