@@ -161,15 +161,6 @@ def default_action() -> Column:
     )
 
 
-def reviewed(rows: list[dict], provider, cache: dict | None = None, most: int = 20) -> tuple[list[dict], dict]:
-    """Ask provider(payload) -> list of reviews for at most `most` rows that aren't in the cache; (reviews, diagnostics)."""
-    cache = {} if cache is None else cache
-    new = [r for r in rows if r["review_id"] not in cache][: max(1, most)]
-    asked = provider({"rows": new}) if new else []
-    cache.update({r["review_id"]: r for r in asked})
-    return [cache[r["review_id"]] for r in rows if r["review_id"] in cache], {"rows": len(rows), "sent": len(new), "answered": len(asked)}
-
-
 def mock_provider(payload: dict) -> list[dict]:
     """A provider that needs no network: everything is to be skipped with low confidence."""
     return [{"review_id": r["review_id"], "recommendation": "skip", "canonical_name": None, "confidence": "low", "reason": "mock"} for r in payload["rows"]]

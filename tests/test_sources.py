@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import crawl, nucleotide, suggest
+from strandline.operators import crawl, nucleotide, review_cache, suggest
 from strandline.schema import RECORD
 from strandline.sources import genbank, ncbi, sinks, tables
 from strandline.streaming import ledger
@@ -107,7 +107,7 @@ def test_entrez_pages(spark):
         ncbi.Entrez("")
 
 
-def test_suggestions(spark):
+def test_suggestions(spark, tmp_path):
     schema = "ord int, record_id string, raw_value string, field string, canonical_name string, score int, suggested_action string, confidence string, default_save boolean, reason string, iou double"
     row = lambda n, rec, raw, canon, score: (n, rec, raw, "gene", canon, score, "save_alias", "high", True, "r", 0.96)
     rows = spark.createDataFrame([row(0, "a", "HN", "E", 9), row(1, "a", "HN", "M", 9), row(2, "a", "spike", "S", 9), row(3, "b", "Spike", "S", 12), row(4, "a", "spike", "S", 9), *(row(10 + i, "a", "tag", c, 9) for i, c in enumerate("ABC"))], schema)
@@ -117,8 +117,9 @@ def test_suggestions(spark):
     assert (got["tag", "A"]["suggested_action"], got["tag", "A"]["confidence"], got["tag", "A"]["score"], got["tag", "A"]["cross_canonical_auto_excluded"]) == ("ignore", "high", 0, True)
     first = [r["raw_value"] for r in suggest.in_order(suggest.demoted(suggest.deduplicated(rows))).collect()]
     assert first[0] == "Spike"
-    answers, told = suggest.reviewed([{"review_id": str(i)} for i in range(30)], suggest.mock_provider, {"0": {"review_id": "0"}}, 20)
-    assert (told["sent"], len(answers)) == (20, 21)
+    rows = spark.createDataFrame([(str(i), f"v{i}") for i in range(30)], "review_id string, raw_value string")
+    answers, told = review_cache.review(rows, ["raw_value"], suggest.mock_provider, str(tmp_path / "cache"), ["S"], "mock")
+    assert (told.sent, answers.where("llm_action = 'skip'").count()) == (20, 20)
     terms = spark.createDataFrame([("S", "spike", 0)], "canonical string, alias string, ord int")
     decided = spark.createDataFrame([("S gene", "S", "save", 0), ("junk", "", "ignore", 1)], "raw_value string, canonical_name string, action string, ord int")
     t, x = suggest.applied(terms, spark.createDataFrame([("s-gene",), ("old",)], "name string"), decided)
@@ -126,10 +127,10 @@ def test_suggestions(spark):
 
 
 def test_ledger_stream(spark, tmp_path):
-    rows = spark.createDataFrame([("A", 1), ("A", 2), ("B", 3)], "accession string, n int")
+    rows = spark.createDataFrame([("A", 1), ("A", 2), ("B", 3)], "accession string, n int").withColumn("ts", F.timestamp_seconds("n"))
     rows.write.parquet(str(tmp_path / "in"))
     for _ in range(2):
-        ledger.run_once(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"))
+        ledger.run_once(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), "ts")
         rows.limit(2).write.mode("append").parquet(str(tmp_path / "in"))
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("accession").collect()) == ["A", "B"]
 
