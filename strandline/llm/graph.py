@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame
@@ -68,39 +69,34 @@ def combined(parts: str, n: int, size: int) -> Column:
     return F.array(*keys)
 
 
-def open_pairs(members: DataFrame, parts: DataFrame, links: DataFrame, n: int, most: int = 64) -> DataFrame:
-    """(a, b): the pairs of contents that share a key and that links (a, b) do not connect already.
+def open_pairs(members: DataFrame, nodes: DataFrame, links: DataFrame, n: int, near, most: int = 256) -> DataFrame:
+    """(a, b): the pairs of contents that share a key, may be near, and that links (a, b) do not connect already.
 
-    members: key, last, content, as combined() makes them of parts (content, parts: array of n values). In each bucket all
-    members but those of its largest component meet every member of another component, if they are at most `most`; so a
-    member is in at most `most` pairs of a bucket that it does not ask for itself. A bucket with more of them is split by each
-    further value behind its last one, until it is small or no value is left; then its members meet its hub. Two contents
-    that agree in m values thus meet unless every choice of all m of them is a bucket that is still too large.
+    members: key, last, content, as combined() makes them of nodes (content, parts: array of n values, sketch: anything);
+    near(x, y): a condition on two structs of parts and sketch, which is part of the join, so that only what passes it is
+    made. In each bucket all members but those of its largest component meet every member of another component, if they are
+    at most `most`. A bucket with more of them is split by each further value behind its last one, until it is small or no
+    value is left; then its members meet its hub. Two contents that agree in m values thus meet unless every choice of all m
+    of them is a bucket that is still too large.
     """
     roots = stored(components(links).withColumnRenamed("node", "of"))
-    level, found = members, []
+    nodes = nodes.join(roots, F.col("content") == F.col("of"), "left").select(F.col("content").alias("c"), F.coalesce("root", "content").alias("root"), F.struct("parts", "sketch").alias("x"))
+    nodes, level, found = stored(nodes), members, []
     while True:
-        level = level.join(roots, F.col("content") == F.col("of"), "left").withColumn("root", F.coalesce("root", "content")).drop("of")
-        level = stored(level)
+        level = level.join(nodes, F.col("content") == F.col("c")).drop("c")
         sizes = level.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
         sizes = stored(sizes.select("k", F.col("top.root").alias("main"), (F.col("n") - F.col("top.n")).alias("others")).where("others > 0"))
-        here = stored(level.join(sizes, F.col("key") == F.col("k")).select("key", "last", "content", "root", "main", "others"))
-        small = here.where(F.col("others") <= most)
-        asking = small.where("root <> main").select(F.col("key").alias("k"), F.col("content").alias("x"), F.col("root").alias("own"))
-        met = small.join(asking, F.col("key") == F.col("k")).where("root <> own")
-        found.append(stored(met.select(F.least("content", "x").alias("a"), F.greatest("content", "x").alias("b")).distinct()))
+        here = stored(level.join(sizes, F.col("key") == F.col("k")).drop("k"))
+        small = here.where(F.col("others") <= most).select("key", "content", "root", "main", "x")
+        asking = small.where("root <> main").select(F.col("key").alias("k"), F.col("content").alias("b"), F.col("root").alias("own"), F.col("x").alias("y"))
+        met = small.join(asking, (F.col("key") == F.col("k")) & (F.col("root") != F.col("own")) & near(F.col("x"), F.col("y")))
+        found.append(met.select(F.least("content", "b").alias("a"), F.greatest("content", "b").alias("b")))
         large = here.where(F.col("others") > most)
-        if large.isEmpty():
+        counts = large.agg(F.count("*"), F.count_if(F.col("last") >= n - 1)).first()
+        if counts[1]:
+            found.append(hub_pairs(large.where(F.col("last") >= n - 1).select("key", "content")))
+        if counts[0] == counts[1]:
             break
-        done = large.where(F.col("last") >= n - 1)
-        if not done.isEmpty():
-            found.append(stored(hub_pairs(done.select("key", "content"))))
-        rest = large.where(F.col("last") < n - 1).select("key", "last", "content").join(parts.select(F.col("content").alias("c"), "parts"), F.col("content") == F.col("c"))
-        deeper = F.transform(F.sequence(F.col("last") + 1, F.lit(n - 1)), lambda i: F.struct(F.xxhash64(F.col("key"), i, F.get("parts", i)).alias("key"), i.cast("int").alias("last")))
-        level = shared_keys(rest.select("content", F.explode(deeper).alias("y")).select("y.key", "y.last", "content"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return stored(out.distinct())
-
-
+        deeper = F.transform(F.sequence(F.col("last") + 1, F.lit(n - 1)), lambda i: F.struct(F.xxhash64(F.col("key"), i, F.get("x.parts", i)).alias("key"), i.cast("int").alias("last")))
+        level = shared_keys(large.where(F.col("last") < n - 1).select("content", F.explode(deeper).alias("y")).select("y.key", "y.last", "content"))
+    return stored(functools.reduce(DataFrame.union, found).distinct())

@@ -31,7 +31,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.graph import combined, components, hub_pairs, open_pairs, shared_keys
@@ -262,15 +262,20 @@ def similar_texts(docs: DataFrame, rows: DataFrame, k: int = 5, least: float = 0
     nodes = stored(rows.groupBy("content").agg(F.min_by(F.struct("t1", "t2", "codes", "bits"), F.struct("t1", "t2")).alias("x")).select("content", "x.*"))
     members = shared_keys(nodes.select("content", F.explode(combined("codes", SEGMENTS, 2)).alias("x")).select("x.key", "x.last", "content"))
     links = _similar(docs, nodes, hub_pairs(members.select("key", "content")), k, least)
-    parts = nodes.select("content", F.col("codes").cast("array<long>").alias("parts"))
-    return links.union(_similar(docs, nodes, open_pairs(members, parts, links, SEGMENTS), k, least))
+    parts = nodes.select("content", F.col("codes").cast("array<long>").alias("parts"), F.col("bits").alias("sketch"))
+    more = open_pairs(members, parts, links, SEGMENTS, lambda x, y: apart(x["sketch"], y["sketch"]) <= int(0.22 * SEGMENTS * 23))
+    return links.union(_similar(docs, nodes, more, k, least))
+
+
+def apart(p: Column, q: Column) -> Column:
+    """The number of bits in which two fingerprints of signatures() differ."""
+    return sum(F.bit_count(F.get(p, F.lit(i)).bitwiseXOR(F.get(q, F.lit(i)))) for i in range(-(-SEGMENTS * 23 // 64)))
 
 
 def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
     """The rows of pairs (a, b) whose texts are similar: first by their bits, then by their shingles."""
     left, right = nodes.select(F.col("content").alias("a"), F.col("bits").alias("p")), nodes.select(F.col("content").alias("b"), F.col("bits").alias("q"))
-    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
-    pairs = stored(pairs.join(left, "a").join(right, "b").where(apart <= int(0.22 * SEGMENTS * 23)).select("a", "b"))
+    pairs = stored(pairs.join(left, "a").join(right, "b").where(apart(F.col("p"), F.col("q")) <= int(0.22 * SEGMENTS * 23)).select("a", "b"))
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     wanted = stored(nodes.join(wanted, F.col("content") == F.col("c")).select("content", F.col("t1").alias("_t1"), F.col("t2").alias("_t2")))
     texts = docs.join(wanted, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))).groupBy("content").agg(F.min("text").alias("text"))
