@@ -9,11 +9,12 @@ import os
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from strandline.operators import counters
 from strandline.operators.lift import LiftConfig
 from strandline.operators.summary import annotation_classes
 from strandline.plans import workflows
 from strandline.plans.annotate import annotate, detect_virus, prepare_reference
-from strandline.sources import ncbi, sinks, tables
+from strandline.sources import entrez, ncbi, sinks, tables
 from strandline.sources.genbank import features_of, read_genbank, single_genbank
 
 
@@ -42,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument(name)
     c.add_argument("--email", default=os.environ.get("NCBI_EMAIL"))
     c.add_argument("--api-key", default=os.environ.get("NCBI_API_KEY"))
+    c.add_argument("--base", default=ncbi.BASE, help="address of the service")
     c.add_argument("--retmax", type=int, default=10_000)
     c.add_argument("--batch", type=int, default=200)
     c.add_argument("--count", action="store_true", help="only tell how many records the query matches")
@@ -50,26 +52,23 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def crawl(spark: SparkSession, o: argparse.Namespace, open_url=ncbi._open) -> None:
+def crawl(spark: SparkSession, o: argparse.Namespace) -> None:
     if not (o.raw or o.query or o.accessions):
         raise SystemExit("one of --raw, --query and --accessions is needed")
     if o.count:
         if not o.query:
             raise SystemExit("--count needs --query")
-        print(ncbi.Entrez(o.email, o.api_key, open_url).count(o.query))
+        print(ncbi.Entrez(o.email, o.api_key, base=o.base).count(o.query))
         return
     if not (o.registry and o.ledger and o.output):
         raise SystemExit("--registry, --ledger and --output are needed")
     raw = o.raw
     if not raw:
-        raw, parts = f"{o.output}/raw", []
-        if o.query:
-            parts.append(ncbi.fetched(spark, o.email, o.api_key, query=o.query, retmax=o.retmax, batch=o.batch, open_url=open_url))
-        if o.accessions:
-            listed = [r[0] for r in tables.read_accessions(spark, o.accessions).collect()]
-            parts.append(ncbi.fetched(spark, o.email, o.api_key, accessions=listed, batch=o.batch, open_url=open_url))
-        for k, part in enumerate(parts):
-            part.select("value").write.mode("overwrite").option("lineSep", "\n//\n").text(f"{raw}/{k}")
+        raw = f"{o.output}/raw"
+        spark.dataSource.register(entrez.EntrezSource)
+        common = {"email": o.email or "", "batch": str(o.batch), "retmax": str(o.retmax), "base": o.base} | ({"api_key": o.api_key} if o.api_key else {})
+        for k, wanted in enumerate({x: y} for x, y in (("query", o.query), ("accessions", o.accessions)) if y):
+            spark.read.format("entrez").options(**common, **wanted).load().select("value").write.mode("overwrite").option("lineSep", "\n//\n").text(f"{raw}/{k}")
         raw = f"{raw}/*"
     registry = json.loads("\n".join(r[0] for r in spark.read.text(o.registry, wholetext=True).collect()))
     table = workflows.split_crawl(spark, raw, registry, o.ledger, o.output, o.count_only)
@@ -115,9 +114,13 @@ def main(argv: list[str] | None = None) -> None:
         accuracy.where("record_id is null").show(truncate=False)
         return
     run = annotate(records, reference, config)
-    run.lifted.write.mode("overwrite").parquet(f"{o.output}/lifted")
+    rows, seen = counters.observed(run.lifted)
+    rows.write.mode("overwrite").parquet(f"{o.output}/lifted")
     sinks.write_results(spark.read.parquet(f"{o.output}/lifted"), f"{o.output}/tsv")
-    spark.read.parquet(f"{o.output}/lifted").groupBy("status").count().orderBy("status").show(50, False)
+    told = counters.told(seen)
+    print(f"{told['features']} features, {told['pass_rate']} % pass, {told['needs_review']} to review; " + ", ".join(f"{n} {m}" for m, n in told["methods"].items()))
+    for status, n in told["statuses"].items():
+        print(f"  {status}: {n}")
     run.errors.show(50, False)
 
 

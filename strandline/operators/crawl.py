@@ -68,11 +68,11 @@ def dedup_status(records: DataFrame, ledger: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("_known"), "dup_in_ledger").when(F.col("ord") == F.col("_first"), "new").otherwise("dup_in_batch")).drop("_a", "_first", "_known")
 
 
-def manifest(records: DataFrame) -> DataFrame:
-    """Manifest rows: every input row; duplicates have no output file."""
+def manifest(records: DataFrame, *also: str) -> DataFrame:
+    """Manifest rows: every input row; duplicates have no output file. also: further columns of records."""
     virus = F.coalesce("virus", F.lit("_unmatched"))
     file = F.when(F.col("status") == "new", F.concat(F.when(F.col("virus").isNull(), F.lit("_unmatched")).otherwise(slug(F.col("virus"))), F.lit(".gb"))).otherwise("")
-    return records.select("accession", "organism", F.col("length").cast("string").alias("length"), virus.alias("matched_virus"), file.alias("output_file"), "status")
+    return records.select("accession", "organism", F.col("length").cast("string").alias("length"), virus.alias("matched_virus"), file.alias("output_file"), "status", *also)
 
 
 def split_counts(table: DataFrame) -> DataFrame:

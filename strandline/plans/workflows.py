@@ -11,14 +11,15 @@ from strandline.operators import alias, context, crawl, routing, suggest, summar
 from strandline.operators.lift import LiftConfig, lift, reference_proteins
 from strandline.operators.search import search
 from strandline.plans.annotate import Reference
-from strandline.sources import sinks, tables
+from strandline.sources import tables
+from strandline.sources.crawl_sink import CrawlSink, recovered
 from strandline.sources.genbank import features_of, parse_record, raw_records
 
 
 def split_crawl(spark: SparkSession, raw: str, registry: dict, ledger: str, output: str, known: bool = False) -> DataFrame:
-    """Read raw flat files, mark duplicates against the ledger and the batch, write species files and the manifest, append the ledger.
+    """Read raw flat files, mark duplicates against the ledger and the batch, write species files, manifest and ledger together.
 
-    The raw texts are written as they came. known: only report, write nothing.
+    What a run before left unfinished is finished first, so that the ledger is whole when it is read. The raw texts are written as they came. known: only report, write nothing.
     """
 
     def run(batches):
@@ -28,21 +29,21 @@ def split_crawl(spark: SparkSession, raw: str, registry: dict, ledger: str, outp
             rows = [(r["record_id"], r["organism"], r["seq_len"], *row) for row in batch.itertuples(index=False) if (r := parse_record(row[0]))]
             yield pd.DataFrame(rows, columns=["accession", "organism", "length", "text", "file_path", "file_block_start"])
 
+    if not known:
+        recovered(output)
     rows = raw_records(spark, raw).mapInPandas(run, "accession string, organism string, length int, text string, file_path string, file_block_start long")
     # The order of the files decides which of equal accessions is new: file name, then place within it. A block of a file is
     # read by one task from its beginning, so within it the running number is that place.
     rows = rows.withColumn("ord", F.struct("file_path", "file_block_start", F.monotonically_increasing_id().alias("n"))).drop("file_path", "file_block_start")
     rows = crawl.keyword_match(rows, "organism", tables.registry_table(spark, registry, with_name=True))
     marked = crawl.dedup_status(rows, tables.read_ledger(spark, ledger))
-    table = crawl.manifest(marked)
-    if not known:
-        # Settled, because three sinks read the same marks and the ledger changes while they do.
-        marked = settled(marked)
-        sinks.write_species(marked.where("status = 'new'").select("virus", "text"), f"{output}/species")
-        sinks.write_manifest(crawl.manifest(marked), f"{output}/manifest")
-        sinks.append_ledger(marked, ledger)
-        table = tables.read_manifest(spark, f"{output}/manifest")
-    return table
+    if known:
+        return crawl.manifest(marked)
+    # Settled, because the running number is not made twice, and the ledger changes while the outputs are written.
+    rows = crawl.manifest(settled(marked), "text").withColumn("length", F.col("length").cast("int"))
+    spark.dataSource.register(CrawlSink)
+    rows.write.format("crawl").option("ledger", ledger).mode("append").save(output)
+    return tables.read_manifest(spark, f"{output}/manifest")
 
 
 def candidates(records: DataFrame, level: str) -> DataFrame:

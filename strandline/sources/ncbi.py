@@ -1,7 +1,4 @@
-"""Entrez records over the network: pages through the history server, or batches of accessions.
-
-One partition fetches, because the service limits a client's rate; a page is a request. Tests pass `open_url`.
-"""
+"""The Entrez service: pages of a query through its history server, or batches of accessions; a page is a request."""
 
 from __future__ import annotations
 
@@ -10,8 +7,6 @@ import time
 import urllib.parse
 import urllib.request
 
-from pyspark.sql import DataFrame, SparkSession
-
 BASE = "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/"
 #: Seconds between requests, without and with a key.
 DELAY, DELAY_WITH_KEY = 0.383, 0.12
@@ -25,10 +20,10 @@ def _open(url: str) -> str:
 
 
 class Entrez:
-    def __init__(self, email: str, api_key: str | None = None, open_url=_open):
+    def __init__(self, email: str, api_key: str | None = None, open_url=_open, base: str = BASE):
         if not email or "@" not in email:
             raise ValueError("an e-mail address is required to use the service")
-        self.common, self.open, self.delay, self.last = {"email": email} | ({"api_key": api_key} if api_key else {}), open_url, DELAY_WITH_KEY if api_key else DELAY, 0.0
+        self.base, self.common, self.open, self.delay, self.last = base, {"email": email} | ({"api_key": api_key} if api_key else {}), open_url, DELAY_WITH_KEY if api_key else DELAY, 0.0
 
     def ask(self, tool: str, **options) -> str:
         for left in reversed(range(TRIES)):
@@ -37,7 +32,7 @@ class Entrez:
                 time.sleep(wait)
             self.last = time.monotonic()
             try:
-                return self.open(f"{BASE}{tool}.fcgi?{urllib.parse.urlencode(options | self.common)}")
+                return self.open(f"{self.base}{tool}.fcgi?{urllib.parse.urlencode(options | self.common)}")
             except OSError:
                 if not left:
                     raise
@@ -47,9 +42,16 @@ class Entrez:
         return int(json.loads(self.ask("esearch", db=db, term=query, retmax=0, retmode="json"))["esearchresult"]["count"])
 
     def pages(self, query: str, retmax: int = 10_000, batch: int = 200, db: str = "nuccore"):
-        found = json.loads(self.ask("esearch", db=db, term=query, retmax=0, usehistory="y", retmode="json"))["esearchresult"]
+        found = self.history(query, db)
         for start in range(0, min(int(found["count"]), retmax), batch):
-            yield self.ask("efetch", db=db, query_key=found["querykey"], WebEnv=found["webenv"], retstart=start, retmax=min(batch, retmax - start), rettype="gbwithparts", retmode="text")
+            yield self.page(found, start, min(batch, retmax - start), db)
+
+    def history(self, query: str, db: str = "nuccore") -> dict:
+        """count, querykey and webenv of a query that the history server keeps."""
+        return json.loads(self.ask("esearch", db=db, term=query, retmax=0, usehistory="y", retmode="json"))["esearchresult"]
+
+    def page(self, found: dict, start: int, n: int, db: str = "nuccore") -> str:
+        return self.ask("efetch", db=db, query_key=found["querykey"], WebEnv=found["webenv"], retstart=start, retmax=n, rettype="gbwithparts", retmode="text")
 
     def batches(self, accessions: list[str], batch: int = 200, db: str = "nuccore"):
         for i in range(0, len(accessions), batch):
@@ -58,18 +60,3 @@ class Entrez:
 
 def split_records(page: str) -> list[str]:
     return [p.strip("\n") for p in page.split("\n//") if "LOCUS" in p]
-
-
-def fetched(spark: SparkSession, email: str, api_key: str | None = None, query: str | None = None, accessions: list[str] | None = None, retmax: int = 10_000, batch: int = 200, open_url=_open) -> DataFrame:
-    """(page, value): raw records, fetched by one task as the result is read."""
-    import pandas as pd
-
-    Entrez(email, api_key)
-
-    def run(batches):
-        for _ in batches:
-            e = Entrez(email, api_key, open_url)
-            for n, page in enumerate(e.pages(query, retmax, batch) if query else e.batches(accessions or [], batch)):
-                yield pd.DataFrame([(n, r) for r in split_records(page)], columns=["page", "value"])
-
-    return spark.range(1).coalesce(1).mapInPandas(run, "page int, value string")

@@ -88,29 +88,24 @@ def test_command_line(spark, tmp_path, capsys):
 
 
 def test_crawl_fetches_by_query_and_accessions(spark, tmp_path, capsys):
+    from service import Service
+
     from strandline.__main__ import crawl, parser
 
     seq, at = world()
     text = genbank.format_record(*record("A.1", seq, [])[:5], [])
-    asked = []
-
-    def open_url(url):
-        asked.append(url)
-        if "esearch" in url:
-            return json.dumps({"esearchresult": {"count": "1", "querykey": "1", "webenv": "w"}})
-        return text.replace("A.1", "B.1") if "id=B.1" in url else text
-
+    service = Service(lambda name: text.replace("A.1", name), 1, "A.1")
     (tmp_path / "registry.json").write_text(json.dumps(REGISTRY))
     (tmp_path / "acc.txt").write_text("# wanted\nB.1\n")
-    common = ["crawl", "--registry", str(tmp_path / "registry.json"), "--ledger", str(tmp_path / "ledger"), "--output", str(tmp_path / "out"), "--email", "a@b.c"]
-    crawl(spark, parser().parse_args([*common, "--query", "x", "--count"]), open_url)
+    common = ["crawl", "--registry", str(tmp_path / "registry.json"), "--ledger", str(tmp_path / "ledger"), "--output", str(tmp_path / "out"), "--email", "a@b.c", "--base", service.base]
+    crawl(spark, parser().parse_args([*common, "--query", "x", "--count"]))
     assert capsys.readouterr().out.strip().splitlines()[-1] == "1"
-    # The executors' Python workers are forked from here, so the fetch itself is checked through its rows.
-    crawl(spark, parser().parse_args([*common, "--query", "x", "--accessions", str(tmp_path / "acc.txt")]), open_url)
+    crawl(spark, parser().parse_args([*common, "--query", "x", "--accessions", str(tmp_path / "acc.txt")]))
     got = sorted((r["accession"], r["status"]) for r in tables.read_manifest(spark, str(tmp_path / "out/manifest")).collect())
     assert got == [("A.1", "new"), ("B.1", "new")]
     with pytest.raises(SystemExit):
-        crawl(spark, parser().parse_args(["crawl"]), open_url)
+        crawl(spark, parser().parse_args(["crawl"]))
+    service.stop()
 
 
 def test_registry_chooses_the_alias_configuration(spark, tmp_path):
