@@ -69,32 +69,34 @@ def combined(parts: str, n: int, size: int) -> Column:
     return F.array(*keys)
 
 
-def open_pairs(members: DataFrame, nodes: DataFrame, links: DataFrame, n: int, near, most: int = 256) -> DataFrame:
+def open_pairs(members: DataFrame, nodes: DataFrame, links: DataFrame, n: int, near, most: int = 1 << 15, splits: int = 1) -> DataFrame:
     """(a, b): the pairs of contents that share a key, may be near, and that links (a, b) do not connect already.
 
     members: key, last, content, as combined() makes them of nodes (content, parts: array of n values, sketch: anything);
     near(x, y): a condition on two structs of parts and sketch, which is part of the join, so that only what passes it is
-    made. In each bucket all members but those of its largest component meet every member of another component, if they are
-    at most `most`. A bucket with more of them is split by each further value behind its last one, until it is small or no
-    value is left; then its members meet its hub. Two contents that agree in m values thus meet unless every choice of all m
-    of them is a bucket that is still too large.
+    made. In each bucket all members but those of its largest component meet every member of another component, if these are
+    at most `most` pairs. A larger bucket is split by each further value behind its last one, `splits` times; what is too
+    large then, or has no further value, meets its hub once more. So two contents that agree in m values meet unless every
+    choice of one value more than a key has is still a bucket of too many pairs; only groups of some thousand texts, many
+    of them linked to no hub, are that large.
     """
     roots = stored(components(links).withColumnRenamed("node", "of"))
     nodes = nodes.join(roots, F.col("content") == F.col("of"), "left").select(F.col("content").alias("c"), F.coalesce("root", "content").alias("root"), F.struct("parts", "sketch").alias("x"))
     nodes, level, found = stored(nodes), members, []
-    while True:
+    for round_ in range(splits + 1):
         level = level.join(nodes, F.col("content") == F.col("c")).drop("c")
         sizes = level.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-        sizes = stored(sizes.select("k", F.col("top.root").alias("main"), (F.col("n") - F.col("top.n")).alias("others")).where("others > 0"))
+        sizes = stored(sizes.select("k", F.col("top.root").alias("main"), ((F.col("n") - F.col("top.n")) * F.col("n")).alias("others")).where("others > 0"))
         here = stored(level.join(sizes, F.col("key") == F.col("k")).drop("k"))
         small = here.where(F.col("others") <= most).select("key", "content", "root", "main", "x")
         asking = small.where("root <> main").select(F.col("key").alias("k"), F.col("content").alias("b"), F.col("root").alias("own"), F.col("x").alias("y"))
         met = small.join(asking, (F.col("key") == F.col("k")) & (F.col("root") != F.col("own")) & near(F.col("x"), F.col("y")))
         found.append(met.select(F.least("content", "b").alias("a"), F.greatest("content", "b").alias("b")))
         large = here.where(F.col("others") > most)
-        counts = large.agg(F.count("*"), F.count_if(F.col("last") >= n - 1)).first()
+        ended = F.col("last") >= (n - 1 if round_ < splits else -1)
+        counts = large.agg(F.count("*"), F.count_if(ended)).first()
         if counts[1]:
-            found.append(hub_pairs(large.where(F.col("last") >= n - 1).select("key", "content")))
+            found.append(hub_pairs(large.where(ended & (F.col("root") != F.col("main"))).select("key", "content")))
         if counts[0] == counts[1]:
             break
         deeper = F.transform(F.sequence(F.col("last") + 1, F.lit(n - 1)), lambda i: F.struct(F.xxhash64(F.col("key"), i, F.get("x.parts", i)).alias("key"), i.cast("int").alias("last")))

@@ -549,10 +549,10 @@ def test_near_copies_are_found_where_buckets_hold_many_other_texts(spark):
     table = spark.createDataFrame(parts + near, "content long, parts array<long>")
     members = graph.shared_keys(table.select("content", F.explode(graph.combined("parts", 6, 2)).alias("x")).select("x.key", "x.last", "content"))
     none = spark.createDataFrame([], "a long, b long")
-    for most in (64, 2):  # the buckets hold about two texts by chance; of a most of 2, many are split
+    for most in (4096, 2):  # the buckets hold about two texts by chance; of a most of 2, many are split
         agree = lambda x, y: sum((x["parts"][i] == y["parts"][i]).cast("int") for i in range(6)) >= 2
         got = {(r["a"], r["b"]) for r in graph.open_pairs(members, table.withColumn("sketch", F.lit(0)), none, 6, agree, most).collect()}
-        assert sum((i, 10_000 + i) in got for i in range(400)) >= (400 if most == 64 else 360)
+        assert sum((i, 10_000 + i) in got for i in range(400)) >= (400 if most == 4096 else 320)
 
 
 def test_repeated_rows_and_clashing_names_in_the_stages(spark):
