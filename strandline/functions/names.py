@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Qualifiers by how much they say about a gene's name.
 STRONG_FIELDS, WEAK_FIELDS = ("gene", "label", "standard_name"), ("product", "note", "locus_tag")
-#: Qualifiers in the order in which a name is looked up.
+#: Qualifiers in the order in which a name is looked up.
 QUALIFIERS = ("gene", "product", "label", "standard_name", "locus_tag", "note")
 SENTINEL = "__excluded__"
 AMBIGUOUS = "__ambiguous__"

@@ -6,6 +6,7 @@ extension, thresholds, trim to the first stop, start rescue, status. No Python r
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -47,10 +48,10 @@ def lift(records: DataFrame, reference: DataFrame, hsps: DataFrame, config: Lift
     aligned = hsps.join(ref.select("feature_idx", "protein_len"), "feature_idx")
     ends = hsp.on_voted_strand(aligned).groupBy(*hsp.KEY).agg(F.min("q_lo").alias("q_min"), F.max("q_hi").alias("q_max"))
     spans = hsp.merged(aligned).drop("protein_len").join(ends, hsp.KEY)
-    # Every record meets every feature of the one reference genome, whose number is checked.
-    if ref.limit(MOST_FEATURES + 1).count() > MOST_FEATURES:
-        raise ValueError(f"over {MOST_FEATURES} reference features; lift them in several calls")
-    rows = records.select("record_id").crossJoin(F.broadcast(ref)).join(spans, hsp.KEY, "left").join(records.select("record_id", "seq", "seq_len"), "record_id")
+    # Every record meets every feature of the one reference genome; they are sent in blocks of about MOST_FEATURES.
+    blocks = -(-ref.count() // MOST_FEATURES) or 1
+    met = [records.select("record_id").crossJoin(F.broadcast(ref.where(F.pmod("feature_idx", F.lit(blocks)) == b))) for b in range(blocks)]
+    rows = functools.reduce(DataFrame.union, met).join(spans, hsp.KEY, "left").join(records.select("record_id", "seq", "seq_len"), "record_id")
     rows = rows.withColumns({"raw_start": F.col("start"), "raw_end": F.col("end"), "missing": F.greatest(F.col("q_min") - 1, F.lit(0)), "expected": F.col("protein_len") * 3 + 3, "strand": F.coalesce("strand", "ref_strand")})
     c = F.col
     plus = c("strand") == "+"

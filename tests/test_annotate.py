@@ -127,7 +127,7 @@ def test_empty_run_has_all_statuses(spark):
     assert summary.run_health(lifted(spark, [])).first()["pass_rate"] == 0.0
 
 
-def test_low_coverage_keeps_coordinates_without_sequence(world):
+def test_low_coverage_keeps_coordinates_without_sequence(world, monkeypatch):
     spark, seq, at, terms, excluded, ref, _ = world
     prepared = prepare_reference(ref, terms, excluded)
     proteins = lift.reference_proteins(prepared.features.select("feature_idx", "name", "start", "end", "strand"), prepared.genome)
@@ -137,5 +137,7 @@ def test_low_coverage_keeps_coordinates_without_sequence(world):
     got = {r["feature_idx"]: r for r in lift.lift(records, proteins, hits).collect()}
     assert got[1]["status"] == "low_coverage" and got[1]["query_start"] == a and got[1]["sequence"] is None
     assert got[2]["status"] == "no_hit" and got[2]["query_start"] is None and got[2]["coverage"] == 0.0
+    monkeypatch.setattr(lift, "MOST_FEATURES", 2)
+    assert {r["feature_idx"]: r for r in lift.lift(records, proteins, hits).collect()} == got
     plain = {r["feature_idx"]: r for r in lift.lift(records, proteins, hits, lift.LiftConfig(min_coverage=0.2, codons=False)).collect()}
     assert plain[1]["status"] == "ok" and plain[1]["query_end"] == a + 89
