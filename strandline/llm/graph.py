@@ -13,11 +13,12 @@ from strandline.llm.shared import cut, stored
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round. The least neighbour comes from a partial aggregate and a join of two plain exchanges, so a hub's rows,
-    however many, need not meet in one task: adaptive execution splits them."""
+    however many, need not meet in one task: adaptive execution splits them. Both sides grow with the corpus, so neither is
+    broadcast through the driver, whatever the session's threshold."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("hub"), F.least("a", "low").alias("low"))
     least = cut(least)
-    near = both.join(least, both.a == least.hub)
+    near = both.join(least.hint("merge"), both.a == least.hub)
     if large:
         out = near.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:

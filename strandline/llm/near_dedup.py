@@ -10,7 +10,9 @@ most one bit, u's nearest codeword is within four bits of v, so u's index key is
 and the join on them finds every link; each is then verified on the fingerprints themselves.
 
 Equal fingerprints become one row before the keys are made, so exact copies never meet in a join; a key that many
-different fingerprints share is one side of a plain sort-merge join, which adaptive execution splits.
+different fingerprints share is one side of a plain sort-merge join, which adaptive execution splits. Each table here has
+a row for a fingerprint, so the joins ask for a merge: a broadcast, which Spark would choose below its threshold, is built
+in the driver's heap.
 
 similar_texts() and drop_near_copies() go by the texts instead: a Jaccard similarity of 0.8 or more over five-word shingles.
 Its fingerprints differ there in 15 % of their bits, too many for the search above. So the fingerprint is longer, SEGMENTS
@@ -163,7 +165,7 @@ def links(fps: DataFrame) -> DataFrame:
     keyed = fps.select("fp").mapInArrow(run, "fp long, key long, side byte")
     left = keyed.where("side = 0").select("key", F.col("fp").alias("u"))
     right = keyed.where("side = 1").select("key", F.col("fp").alias("v"))
-    met = left.join(right, "key").where(F.expr(f"u <> v and bit_count(u ^ v) <= {BITS}"))
+    met = left.join(right.hint("merge"), "key").where(F.expr(f"u <> v and bit_count(u ^ v) <= {BITS}"))
     return met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
@@ -172,12 +174,12 @@ def near_dedup(docs: DataFrame, k: int = 3) -> DataFrame:
     rows = stored(simhash(docs, k))
     least = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(least)).withColumnsRenamed({"node": "fp"})
-    joined = least.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    joined = least.join(roots.hint("merge"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = joined.where("root is not null").select("fp", "root").join(named, "root").select(F.col("fp").alias("f"), "component_id")
+    of = joined.where("root is not null").select("fp", "root").join(named.hint("merge"), "root").select(F.col("fp").alias("f"), "component_id")
     # As a table of its own this side leaves the join two plain exchanges, so a fingerprint with very many rows is split.
     of = stored(of)
-    out = rows.join(of, rows.fp == of.f)
+    out = rows.join(of.hint("merge"), rows.fp == of.f)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

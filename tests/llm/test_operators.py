@@ -382,6 +382,16 @@ def test_near_dedup_equals_brute_force(spark):
     assert near_dedup.near_dedup(docs(spark, [])).count() == 0
 
 
+def test_fingerprint_joins_build_nothing_in_the_driver(spark):
+    """A broadcast is collected in the driver's heap; these tables have a row for a fingerprint."""
+    rows = docs(spark, [(i, f"some words of text number {i % 7}") for i in range(50)])
+    fps = near_dedup.cut(near_dedup.simhash(rows).select("fp").distinct())
+    for out in (near_dedup.near_dedup(rows), near_dedup.links(fps), graph._star(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"), True)):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def similarity(a, b, k=5):
     x, y = ([w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] for t in (a, b))
     x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in (x, y))
