@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandline.llm.shared import cut, stored
 
+#: Longs of bits in an odd_sketches() row.
+LONGS = 8
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round. The least neighbour comes from a partial aggregate and a join of two plain exchanges, so a hub's rows,
@@ -47,21 +51,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
-    """The distinct rows of keyed (key, content and what goes with a key) whose key more than one content has.
+    """The rows of keyed (key, content and what goes with a key; one row for a key and content) whose key more than one
+    content has, and n, the number of these contents.
 
-    Partial sums and two plain exchanges: copies of a content, however many, count once and never meet in a task.
+    Partial counts and a join of two plain exchanges, so a key of very many contents need not meet in one task.
     """
-    shared = stored(keyed.groupBy("key").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x <> y").select(F.col("key").alias("k")))
-    return stored(keyed.join(shared, F.col("key") == F.col("k")).drop("k").distinct())
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k"))
+    return stored(keyed.join(shared.hint("merge"), F.col("key") == F.col("k")).drop("k"))
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): each member (key, content) with the hub of its bucket, the content with most collisions in all buckets."""
-    sizes = stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k"))
-    met = members.join(sizes, F.col("key") == F.col("k")).select("key", "content", "n")
-    weights = stored(met.groupBy(F.col("content").alias("c")).agg(F.sum("n").alias("weight")))
-    hubs = stored(met.join(weights, F.col("content") == F.col("c")).groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", "content"))["content"].alias("b")))
-    return members.join(hubs, F.col("key") == F.col("k")).where("content <> b").select(F.col("content").alias("a"), "b").distinct()
+    """(a, b): each member (key, content, n) with the hub of its bucket, the content with most collisions in all buckets."""
+    weights = stored(members.groupBy(F.col("content").alias("c")).agg(F.sum("n").alias("weight")))
+    hubs = stored(members.join(weights.hint("merge"), F.col("content") == F.col("c")).groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", "content"))["content"].alias("b")))
+    return members.join(hubs.hint("merge"), F.col("key") == F.col("k")).where("content <> b").select(F.col("content").alias("a"), "b").distinct()
 
 
 def combined(parts: str, n: int, size: int) -> Column:
@@ -70,36 +73,67 @@ def combined(parts: str, n: int, size: int) -> Column:
     return F.array(*keys)
 
 
-def open_pairs(members: DataFrame, nodes: DataFrame, links: DataFrame, n: int, near, most: int = 1 << 15, splits: int = 1) -> DataFrame:
-    """(a, b): the pairs of contents that share a key, may be near, and that links (a, b) do not connect already.
+def odd_sketches(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, 1 + LONGS) longs for each of n sets, whose elements are h by owner (ascending): the number of different elements,
+    and 64 * LONGS bits, each the parity of how many of them hash there. Two sets' bits differ in no more places than the
+    sets do, so within() leaves out no pair that is similar."""
+    from strandline.llm.words import mix
+
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner, width = h[first], owner[first].astype(np.int64), 64 * LONGS
+    bits = np.bincount(owner * width + (mix(h) & np.uint64(width - 1)).astype(np.int64), minlength=n * width).reshape(n, width) & 1
+    return np.concatenate((np.bincount(owner, minlength=n)[:, None].astype(np.int64), np.packbits(bits.astype(bool), axis=1).view(np.int64)), axis=1)
+
+
+def odd_fields(column: str) -> list[Column]:
+    """The longs of an odd_sketches() row as columns of their own, which a join compares faster than an array's items."""
+    return [F.get(column, F.lit(i)).alias(f"odd{i}") for i in range(LONGS + 1)]
+
+
+def within(x, y, least: float) -> Column:
+    """False only where the sets of two odd_sketches(), given by their odd_fields(), surely have a Jaccard similarity below least.
 
-    members: key, last, content, as combined() makes them of nodes (content, parts: array of n values, sketch: anything);
-    near(x, y): a condition on two structs of parts and sketch, which is part of the join, so that only what passes it is
-    made. In each bucket all members but those of its largest component meet every member of another component, if these are
-    at most `most` pairs. A larger bucket is split by each further value behind its last one, `splits` times; what is too
-    large then, or has no further value, meets its hub once more. So two contents that agree in m values meet unless every
-    choice of one value more than a key has is still a bucket of too many pairs; only groups of some thousand texts, many
-    of them linked to no hub, are that large.
+    Sets of p and q elements of which d are in one of them alone have (p + q - d) / (p + q + d).
+    """
+    most = (x["odd0"] + y["odd0"]) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)
+    bits = sum(F.bit_count(x[f"odd{i}"].bitwiseXOR(y[f"odd{i}"])) for i in range(1, LONGS + 1))
+    return (F.abs(x["odd0"] - y["odd0"]) <= most) & (bits <= most)
+
+
+def open_pairs(members: DataFrame, nodes: DataFrame, links: DataFrame, n: int, near, most: int = 1 << 12, size: int = 2) -> DataFrame:
+    """(a, b): all pairs of contents that share a key, may be near, and that links (a, b) do not connect already.
+
+    members: key, last, content, as combined() makes them of nodes (content, parts: array of n values, sketch: anything)
+    with this size; near(x, y): a condition on the parts and sketch of two contents, which is part of the join, so that only what
+    passes it is made. In each bucket all members but those of its largest component meet every member of another component,
+    however many they are: no bucket is left out or cut short. A bucket of over `most` members is dealt in blocks of about
+    `most`, and each two blocks meet in a task of their own. A pair is made once, in the bucket of the first values that it
+    has in common.
     """
     roots = stored(components(links).withColumnRenamed("node", "of"))
-    nodes = nodes.join(roots, F.col("content") == F.col("of"), "left").select(F.col("content").alias("c"), F.coalesce("root", "content").alias("root"), F.struct("parts", "sketch").alias("x"))
-    nodes, level, found = stored(nodes), members, []
-    for round_ in range(splits + 1):
-        level = level.join(nodes, F.col("content") == F.col("c")).drop("c")
-        sizes = level.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-        sizes = stored(sizes.select("k", F.col("top.root").alias("main"), ((F.col("n") - F.col("top.n")) * F.col("n")).alias("others")).where("others > 0"))
-        here = stored(level.join(sizes, F.col("key") == F.col("k")).drop("k"))
-        small = here.where(F.col("others") <= most).select("key", "content", "root", "main", "x")
-        asking = small.where("root <> main").select(F.col("key").alias("k"), F.col("content").alias("b"), F.col("root").alias("own"), F.col("x").alias("y"))
-        met = small.join(asking, (F.col("key") == F.col("k")) & (F.col("root") != F.col("own")) & near(F.col("x"), F.col("y")))
-        found.append(met.select(F.least("content", "b").alias("a"), F.greatest("content", "b").alias("b")))
-        large = here.where(F.col("others") > most)
-        ended = F.col("last") >= (n - 1 if round_ < splits else -1)
-        counts = large.agg(F.count("*"), F.count_if(ended)).first()
-        if counts[1]:
-            found.append(hub_pairs(large.where(ended & (F.col("root") != F.col("main"))).select("key", "content")))
-        if counts[0] == counts[1]:
-            break
-        deeper = F.transform(F.sequence(F.col("last") + 1, F.lit(n - 1)), lambda i: F.struct(F.xxhash64(F.col("key"), i, F.get("x.parts", i)).alias("key"), i.cast("int").alias("last")))
-        level = shared_keys(large.where(F.col("last") < n - 1).select("content", F.explode(deeper).alias("y")).select("y.key", "y.last", "content"))
-    return stored(functools.reduce(DataFrame.union, found).distinct())
+    level = members.join(roots.hint("merge"), F.col("content") == F.col("of"), "left").select("key", "last", "content", F.coalesce("root", "content").alias("root"))
+    level = stored(level)
+    sizes = level.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda x: F.ceil(x / most).cast("int")
+    sizes = stored(sizes.where("n > top.n").select("k", F.col("top.root").alias("main"), blocks(F.col("n") - F.col("top.n")).alias("rows"), blocks(F.col("n")).alias("columns")))
+    kind = nodes.schema["sketch"].dataType
+    sketch = {f"s_{f}": f"sketch.{f}" for f in kind.names} if isinstance(kind, StructType) else {"s": "sketch"}
+    nodes = nodes.select(F.col("content").alias("c"), "parts", *(F.col(path).alias(name) for name, path in sketch.items()))
+    here = level.join(sizes.hint("merge"), F.col("key") == F.col("k")).drop("k")
+    here = stored(here.join(nodes.hint("merge"), F.col("content") == F.col("c")).drop("c"))
+    dealt = lambda salt, among: F.pmod(F.xxhash64("content", F.lit(salt)), F.col(among)).cast("int")
+    each = lambda among: F.explode(F.sequence(F.lit(0), F.col(among) - 1))
+    met = here.select("key", "last", "content", "root", "main", "parts", *sketch, dealt(1, "columns").alias("column"), each("rows").alias("row"))
+    asking = here.where("root <> main").select(F.col("key").alias("k"), F.col("content").alias("b"), F.col("root").alias("own"), *(F.col(c).alias(f"y_{c}") for c in ("parts", *sketch)), dealt(2, "rows").alias("r"), each("columns").alias("c"))
+    # The work is the product of two blocks' rows, not their bytes: tasks of few bytes are not to be put together.
+    tasks = int(here.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met, asking = met.repartition(tasks, "key", "row", "column"), asking.repartition(tasks, "k", "r", "c")
+    x, y = ({"parts": F.col(f"{p}parts"), "sketch": {n[2:]: F.col(f"{p}{n}") for n in sketch} if len(sketch) > 1 else F.col(f"{p}s")} for p in ("", "y_"))
+    first = sum(F.when((F.get(x["parts"], F.lit(i)) == F.get(y["parts"], F.lit(i))) & (F.col("last") >= i), 1).otherwise(0) for i in range(n)) == size
+    once = (F.col("root") == F.col("main")) | (F.col("content") < F.col("b"))
+    on = (F.col("key") == F.col("k")) & (F.col("row") == F.col("r")) & (F.col("column") == F.col("c"))
+    met = met.join(asking.hint("merge"), on & (F.col("root") != F.col("own")) & once & near(x, y) & first)
+    return stored(met.select(F.least("content", "b").alias("a"), F.greatest("content", "b").alias("b")).distinct())

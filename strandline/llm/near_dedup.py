@@ -20,8 +20,8 @@ segments of 23 bits, and every segment is decoded by its margins (how far the sh
 its bits: the codeword that agrees best with them is the same for 0.26 of segments at a similarity of 0.8, for 0.43 at 0.9.
 Each two segments' codewords make a key of 24 bits, so texts that agree in two of the segments share one: 0.91 of pairs at
 0.8, 0.95 at 0.83, 0.99 at 0.9. Candidates are joined to the hub of their bucket, compared by fingerprint, and verified by
-the exact similarity of their words; what these links do not connect meets the others of its buckets, and buckets with many
-such texts, as chance makes them among some 10^9, are split by a third segment and further ones (graph.open_pairs).
+the exact similarity of their words; what these links do not connect meets all others of its buckets, whatever their size
+(graph.open_pairs).
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other; a null
 doc_id is given a component but names none; repeated rows give repeated rows; an empty table gives an empty result.
@@ -36,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.graph import combined, components, hub_pairs, open_pairs, shared_keys
+from strandline.llm.graph import combined, components, hub_pairs, odd_fields, odd_sketches, open_pairs, shared_keys, within
 from strandline.llm.shared import cut, only_rows, slices, stored, text_hashes
 
 BITS, SEGMENTS = 3, 14
 CUTS = (22, 21, 21)
+#: Longs of a fingerprint of signatures().
+WIDTH = -(-SEGMENTS * 23 // 64)
 #: Fixed value: generator polynomial x^11+x^9+x^7+x^6+x^5+x+1 of the binary Golay code.
 GENERATOR = 0b101011100011
 
@@ -206,8 +208,9 @@ def contents_of(words, n_texts: int) -> np.ndarray:
     return out
 
 
-def margins_of(words, contents: np.ndarray, k: int) -> np.ndarray:
-    """(texts, SEGMENTS * 23) votes of each text's shingles for each bit less those against it, as a share of all."""
+def margins_of(words, contents: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, SEGMENTS * 23) votes of each text's shingles for each bit less those against it, as a share of all; and the
+    odd_sketches() of the shingles."""
     from strandline.llm.words import mix
 
     h, at = words.shingles(k)
@@ -227,11 +230,11 @@ def margins_of(words, contents: np.ndarray, k: int) -> np.ndarray:
         for w in range(out.shape[1] // 64):
             bits = np.unpackbits(mix(part * np.uint64(2 * w + 3) + np.uint64(w)).view(np.uint8).reshape(-1, 8), axis=1)
             out[of[first], w * 64 : (w + 1) * 64] += 2 * np.add.reduceat(bits, first, 0, dtype=np.int32) - n
-    return out[:, :size] / np.maximum(np.bincount(row, minlength=n_texts), 1)[:, None]
+    return out[:, :size] / np.maximum(np.bincount(row, minlength=n_texts), 1)[:, None], odd_sketches(h, row, n_texts)
 
 
 def signatures(docs: DataFrame, k: int = 5, extra: tuple[str, ...] = ()) -> DataFrame:
-    """The extra columns (of type long), content (a hash of the words), codes (a codeword for each segment), bits (signs of the margins)."""
+    """The extra columns (of type long), content (a hash of the words), codes (a codeword for each segment), bits (signs of the margins), odd (odd_sketches() of the shingles)."""
 
     def run(batches):
         from strandline.llm.words import FOLDED, Words
@@ -241,17 +244,17 @@ def signatures(docs: DataFrame, k: int = 5, extra: tuple[str, ...] = ()) -> Data
             for s, e in slices(texts):
                 words = Words(texts.slice(s, e - s), FOLDED)
                 content = contents_of(words, e - s)
-                margin = margins_of(words, content, k)
+                margin, odd = margins_of(words, content, k)
                 codes = np.zeros((e - s, SEGMENTS), np.int16)
                 for i in range(0, e - s, 512):
                     for j in range(SEGMENTS):
                         codes[i : i + 512, j] = (margin[i : i + 512, j * 23 : (j + 1) * 23] @ codewords()).argmax(1)
                 packed = np.packbits(np.pad(margin > 0, ((0, 0), (0, -margin.shape[1] % 64))), axis=1).view(np.int64)
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(kind)) for x, kind in ((codes, pa.int16()), (packed, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s, e - s) for c in extra), pa.array(content.view(np.int64)), *lists], names=[*extra, "content", "codes", "bits"])
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(kind)) for x, kind in ((codes, pa.int16()), (packed, pa.int64()), (odd, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s, e - s) for c in extra), pa.array(content.view(np.int64)), *lists], names=[*extra, "content", "codes", "bits", "odd"])
 
     fields = "".join(f"{c} long, " for c in extra)
-    return docs.select(*extra, "text").mapInArrow(run, f"{fields}content long, codes array<short>, bits array<long>")
+    return docs.select(*extra, "text").mapInArrow(run, f"{fields}content long, codes array<short>, bits array<long>, odd array<long>")
 
 
 def jaccard(a: bytes, b: bytes, k: int) -> float:
@@ -261,23 +264,23 @@ def jaccard(a: bytes, b: bytes, k: int) -> float:
 
 def similar_texts(docs: DataFrame, rows: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """(a, b): links of contents whose texts are similar. docs: t1, t2 (hashes of the text) and text; rows: signatures() with t1, t2."""
-    nodes = stored(rows.groupBy("content").agg(F.min_by(F.struct("t1", "t2", "codes", "bits"), F.struct("t1", "t2")).alias("x")).select("content", "x.*"))
+    nodes = stored(rows.groupBy("content").agg(F.min_by(F.struct("t1", "t2", "codes", F.struct(*(F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(WIDTH)), *odd_fields("odd")).alias("sketch")), F.struct("t1", "t2")).alias("x")).select("content", "x.*"))
     members = shared_keys(nodes.select("content", F.explode(combined("codes", SEGMENTS, 2)).alias("x")).select("x.key", "x.last", "content"))
-    links = _similar(docs, nodes, hub_pairs(members.select("key", "content")), k, least)
-    parts = nodes.select("content", F.col("codes").cast("array<long>").alias("parts"), F.col("bits").alias("sketch"))
-    more = open_pairs(members, parts, links, SEGMENTS, lambda x, y: apart(x["sketch"], y["sketch"]) <= int(0.22 * SEGMENTS * 23))
+    near = lambda x, y: within(x, y, least) & (apart(x, y) <= int(0.22 * SEGMENTS * 23))
+    sides = [nodes.select(F.col("content").alias(c), F.col("sketch").alias(x)).hint("merge") for c, x in (("a", "x"), ("b", "y"))]
+    pairs = hub_pairs(members.select("key", "content", "n")).join(sides[0], "a").join(sides[1], "b").where(near(F.col("x"), F.col("y"))).select("a", "b")
+    links = _similar(docs, nodes, stored(pairs), k, least)
+    more = open_pairs(members, nodes.select("content", F.col("codes").alias("parts"), "sketch"), links, SEGMENTS, lambda x, y: near(x["sketch"], y["sketch"]))
     return links.union(_similar(docs, nodes, more, k, least))
 
 
-def apart(p: Column, q: Column) -> Column:
-    """The number of bits in which two fingerprints of signatures() differ."""
-    return sum(F.bit_count(F.get(p, F.lit(i)).bitwiseXOR(F.get(q, F.lit(i)))) for i in range(-(-SEGMENTS * 23 // 64)))
+def apart(p, q) -> Column:
+    """The number of bits in which two fingerprints, given by their columns bits0 and on, differ."""
+    return sum(F.bit_count(p[f"bits{i}"].bitwiseXOR(q[f"bits{i}"])) for i in range(WIDTH))
 
 
 def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
-    """The rows of pairs (a, b) whose texts are similar: first by their bits, then by their shingles."""
-    left, right = nodes.select(F.col("content").alias("a"), F.col("bits").alias("p")), nodes.select(F.col("content").alias("b"), F.col("bits").alias("q"))
-    pairs = stored(pairs.join(left, "a").join(right, "b").where(apart(F.col("p"), F.col("q")) <= int(0.22 * SEGMENTS * 23)).select("a", "b"))
+    """The rows of pairs (a, b), a stored table, whose texts are similar by their shingles."""
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     wanted = stored(nodes.join(wanted, F.col("content") == F.col("c")).select("content", F.col("t1").alias("_t1"), F.col("t2").alias("_t2")))
     texts = docs.join(wanted, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))).groupBy("content").agg(F.min("text").alias("text"))

@@ -8,8 +8,9 @@ Two sorts of paragraphs are compared, over five-word shingles:
   Colliding paragraphs are joined to the hub of their bucket, the paragraph that most others collide with, and verified on
   their words: the exact Jaccard similarity of their shingles (with edits also the similarity by word edit distance, which
   one word changed in twelve leaves at 0.92) must be SIMILAR.
-  Then paragraphs that these links do not connect meet the others of their buckets, linked or not; a bucket with many such
-  paragraphs is split by its members' further band keys first (graph.open_pairs), so none is expanded into all its pairs.
+  Then paragraphs that these links do not connect meet all others of their buckets, linked or not, whatever the bucket's
+  size (graph.open_pairs); of these pairs only those are made that a bound on the shingles in one of the two alone (the
+  parities of graph.odd_sketches) leaves possible.
 * Content-defined paragraphs, because a passage may be pasted into the middle of a line: of every `spread` consecutive
   shingles the one with the least hash begins a paragraph of `length` shingles. spread + length - 1 shingles make
   min_words words, so any common run of min_words words holds such a paragraph, whole, in every text, wherever it stands.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.graph import combined, components, hub_pairs, open_pairs, shared_keys
+from strandline.llm.graph import LONGS, combined, components, hub_pairs, odd_fields, odd_sketches, open_pairs, shared_keys, within
 from strandline.llm.shared import slices, stored
 
 K, MIN_WORDS, SIMILAR = 5, 50, 0.8
@@ -166,7 +167,7 @@ def looked_at(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     """A second scan of the texts that wanted (doc_id, text_hash, word, words) names.
 
     For words = 0: doc_id, text_hash, word, words, start, end and content of every run of min_words words that holds the
-    content-defined paragraph at word. Else content (as given in wanted) and passage, the paragraph's words.
+    content-defined paragraph at word. Else content (as given in wanted), passage, the paragraph's words, and sketch, of its shingles.
     """
     spread, length = layout(min_words)
     size = length + K - 1
@@ -182,7 +183,7 @@ def looked_at(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
                 base = np.searchsorted(words.row, np.arange(e - s + 1))
                 data, offsets = raw(part)
                 folded = PLAIN[data]
-                runs, rows, passages, contents = [], [], [], []
+                runs, passages, contents, spans = [], [], [], []
                 for i in range(e - s):
                     starts = np.array([w["word"] for w in wants[s + i] if not w["words"]], np.int64)
                     if len(starts):
@@ -194,17 +195,25 @@ def looked_at(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
                             text = folded[offsets[i] + words.start[a] : offsets[i] + words.end[b]]
                             passages.append(np.where(text == SPACE, ord(" "), text)[text != DROP].astype(np.uint8).tobytes())
                             contents.append(w["content"])
+                            spans.append((a, b))
                 runs = np.concatenate(runs) if runs else np.zeros(0, np.int64)
                 n, m = len(runs), len(passages)
+                sketches = np.zeros((0, LONGS + 1), np.int64)
+                if m:
+                    h, at = words.shingles(K)
+                    first, end = np.searchsorted(at, np.array(spans) + np.array([0, 2 - K])).T
+                    owner = np.repeat(np.arange(m), end - first)
+                    sketches = odd_sketches(h[np.arange(len(owner)) + np.repeat(first - np.append(0, np.cumsum(end - first)[:-1]), end - first)], owner, m)
+                sketches = pa.FixedSizeListArray.from_arrays(pa.array(sketches.ravel()), LONGS + 1).cast(pa.list_(pa.int64()))
                 rows = pa.array(words.row[runs].astype(np.int64) + s)
                 some = lambda x: pa.concat_arrays([x, pa.nulls(m, x.type)])
                 ints = (runs - base[words.row[runs]], np.full(n, min_words), words.start[runs], words.end[runs + min_words - 1]) if n else [np.zeros(0)] * 4
                 content = pa.array(np.concatenate((run_hash(words.hashes, runs, min_words).view(np.int64), np.array(contents, np.int64))))
-                yield pa.RecordBatch.from_arrays([some(batch.column("doc_id").take(rows)), some(batch.column("text_hash").take(rows)), *(some(pa.array(x.astype(np.int32))) for x in ints), content, pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(passages, pa.binary())])], names=["doc_id", "text_hash", "word", "words", "start", "end", "content", "passage"])
+                yield pa.RecordBatch.from_arrays([some(batch.column("doc_id").take(rows)), some(batch.column("text_hash").take(rows)), *(some(pa.array(x.astype(np.int32))) for x in ints), content, pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(passages, pa.binary())]), pa.concat_arrays([pa.nulls(n, sketches.type), sketches])], names=["doc_id", "text_hash", "word", "words", "start", "end", "content", "passage", "sketch"])
 
     wants = wanted.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.collect_set(F.struct("word", "words", "content")).alias("wants"))
     rows = _identified(docs).join(wants, (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("t"))).drop("d", "t")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, word int, words int, start int, end int, content long, passage binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, word int, words int, start int, end int, content long, passage binary, sketch array<long>")
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -247,7 +256,7 @@ def verified(pairs: DataFrame, passages: DataFrame, edits: bool) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     left, right = passages.select(F.col("content").alias("a"), F.col("passage").alias("left")), passages.select(F.col("content").alias("b"), F.col("passage").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def near_links(docs: DataFrame, every: DataFrame, ends: DataFrame, min_words: int, edits: bool) -> tuple[DataFrame, DataFrame]:
@@ -259,12 +268,15 @@ def near_links(docs: DataFrame, every: DataFrame, ends: DataFrame, min_words: in
     wanted = ends.select("doc_id", "text_hash", "word", F.lit(0).alias("words"), F.lit(0).cast("long").alias("content")).unionByName(least.select("at.*", "content"))
     seen = stored(looked_at(docs, wanted, min_words))
     passages = seen.where("passage is not null")
-    links = stored(verified(stored(hub_pairs(members.select("key", "content"))), passages, edits))
-    # Two paragraphs at a similarity of 0.8 agree in 9 of the 14 bands on average, in fewer than three with probability 1e-4.
-    agree = lambda x, y: sum((F.get(x["parts"], F.lit(i)) == F.get(y["parts"], F.lit(i))).cast("int") for i in range(BANDS)) >= (1 if edits else 3)
-    more = open_pairs(members, parts.withColumn("sketch", F.lit(0)), links, BANDS, agree)
+    near = lambda x, y: F.lit(True) if edits else within(x["sketch"], y["sketch"], SIMILAR)
+    sketches = passages.select("content", F.struct(*odd_fields("sketch")).alias("sketch"))
+    sides = [sketches.select(F.col("content").alias(c), F.struct("sketch").alias(x)).hint("merge") for c, x in (("a", "x"), ("b", "y"))]
+    pairs = stored(hub_pairs(members.select("key", "content", "n")).join(sides[0], "a").join(sides[1], "b").where(near(F.col("x"), F.col("y"))).select("a", "b"))
+    links = stored(verified(pairs, passages, edits))
+    parts = sketches.join(parts.withColumnRenamed("content", "c").hint("merge"), F.col("content") == F.col("c"))
+    more = open_pairs(members, parts, links, BANDS, near, size=1)
     links = links.union(stored(verified(more, passages, edits)))
-    return links, seen.where("passage is null").drop("passage")
+    return links, seen.where("passage is null").drop("passage", "sketch")
 
 
 def repeated(rows: DataFrame) -> DataFrame:

@@ -565,6 +565,42 @@ def test_near_copies_are_found_where_buckets_hold_many_other_texts(spark):
         assert sum((i, 10_000 + i) in got for i in range(400)) >= (400 if most == 4096 else 320)
 
 
+@pytest.mark.parametrize("most", [4096, 16])
+def test_pairs_of_large_buckets_are_all_of_them(spark, most):
+    """Values so few that every bucket holds many texts: whatever the size of a block, the pairs are those of brute force."""
+    rng = random.Random(78)
+    parts = {i: [rng.randrange(3) for _ in range(6)] for i in range(200)}
+    linked = [(i, i + 1) for i in range(0, 40, 2)] + [(i, 150) for i in range(100, 150)]
+    root = brute_components(linked)
+    agree = lambda p, q: sum(u == v for u, v in zip(p, q))
+    want = sorted((i, j) for i in parts for j in parts if i < j and agree(parts[i], parts[j]) >= 4 and root.get(i, i) != root.get(j, j))
+    table = spark.createDataFrame(list(parts.items()), "content long, parts array<long>").withColumn("sketch", F.lit(0))
+    members = graph.shared_keys(table.select("content", F.explode(graph.combined("parts", 6, 2)).alias("x")).select("x.key", "x.last", "content"))
+    near = lambda x, y: sum((x["parts"][i] == y["parts"][i]).cast("int") for i in range(6)) >= 4
+    got = graph.open_pairs(members, table, spark.createDataFrame(linked, "a long, b long"), 6, near, most)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == want and len(want) > 1000
+
+
+def test_odd_sketches_leave_out_no_similar_pair(spark):
+    rng = np.random.default_rng(79)
+    h, owner, sets = [], [], []
+    for i in range(60):
+        own = rng.integers(0, 1 << 63, int(rng.integers(20, 400)), dtype=np.uint64)
+        for share in (0, 0.05, 0.09, 0.12, 0.3):
+            some = np.where(rng.random(len(own)) < share, rng.integers(0, 1 << 63, len(own), dtype=np.uint64), own)
+            some = np.concatenate((some, some[:9]))  # repeats count once
+            h.append(some)
+            owner.append(np.full(len(some), len(sets)))
+            sets.append(set(some.tolist()))
+    rows = graph.odd_sketches(np.concatenate(h), np.concatenate(owner), len(sets)).tolist()
+    table = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, odd array<long>").select("i", F.struct(*graph.odd_fields("odd")).alias("x"))
+    met = table.join(table.select(F.col("i").alias("j"), F.col("x").alias("y")), F.expr("i < j")).where(graph.within(F.col("x"), F.col("y"), 0.8))
+    got = {(r["i"], r["j"]) for r in met.select("i", "j").collect()}
+    similar = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert got >= {(i, j) for i in range(300) for j in range(i + 1, 300) if similar(i, j) >= 0.8}
+    assert len(got) < 600 and not [p for p in got if similar(*p) < 0.5]
+
+
 def test_repeated_rows_and_clashing_names_in_the_stages(spark):
     schema = "doc_id long, text string, __own_1 string, __own_2 int, tags map<string,string>"
     rows = [(1, "a b c", "z", 2, {"k": "v"}), (1, "a b c", "b", 1, {}), (1, "a b c", "b", 3, None), (2, "other words here", None, None, None), (None, "a b c", "a", 0, None)]
