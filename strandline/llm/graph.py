@@ -5,11 +5,11 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from strandline.llm.shared import cut, stored
+from strandline.llm.shared import cut, stored, tidy
 
 #: Longs of bits in an odd_sketches() row.
 LONGS = 8
@@ -40,7 +40,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     edges, seen = cut(edges), None
     for _ in range(max_rounds):
         edges = cut(_star(_star(edges, True), False))
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+        with tidy(edges.sparkSession):
+            now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
         if now == seen or now[0] == 0:
             break
         seen = now
@@ -60,11 +61,19 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return stored(keyed.join(shared.hint("merge"), F.col("key") == F.col("k")).drop("k"))
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): each member (key, content, n) with the hub of its bucket, the content with most collisions in all buckets."""
-    weights = stored(members.groupBy(F.col("content").alias("c")).agg(F.sum("n").alias("weight")))
-    hubs = stored(members.join(weights.hint("merge"), F.col("content") == F.col("c")).groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", "content"))["content"].alias("b")))
-    return members.join(hubs.hint("merge"), F.col("key") == F.col("k")).where("content <> b").select(F.col("content").alias("a"), "b").distinct()
+def hub_pairs(members: DataFrame, buckets: int = 16) -> DataFrame:
+    """(a, b): each member (key, content, n) with the hubs of its `buckets` largest buckets. A bucket's hub is the content
+    with most collisions in all buckets.
+
+    These links only save work: a group of very many alike contents is connected by a few rows for each of them, and what
+    stays unconnected meets all of its buckets, the others too, in open_pairs().
+    """
+    own = Window.partitionBy("content")
+    placed = members.withColumns({"weight": F.sum("n").over(own), "place": F.row_number().over(own.orderBy(F.desc("n"), "key"))})
+    placed = stored(placed.select("key", "content", "weight", "place"))
+    hubs = stored(placed.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", "content"))["content"].alias("b")))
+    placed = stored(placed.where(F.col("place") <= buckets).select("key", "content"))
+    return placed.join(hubs.hint("merge"), F.col("key") == F.col("k")).where("content <> b").select(F.col("content").alias("a"), "b").distinct()
 
 
 def combined(parts: str, n: int, size: int) -> Column:

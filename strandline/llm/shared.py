@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import uuid
 
@@ -15,12 +16,29 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Within it, an action's shuffle files are deleted when it ends, and not when the driver's JVM next collects its garbage.
+
+    A chain of many small tables would else keep the files of all its shuffles, three for each task, to its end.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that a lost executor costs a read and not the whole chain."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    with tidy(spark):
+        # The setting counts when a query is made, not when it runs.
+        return df.select("*").checkpoint(eager=True)
 
 
 #: Paths of the tables that stored() has written and nothing has released.
@@ -39,7 +57,8 @@ def appended(spark: SparkSession, frames) -> DataFrame:
     """One stored() table of all frames, which are taken and written one by one; at least one, all of one schema."""
     path, schema = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", None
     for df in frames:
-        df.write.mode("append").parquet(path)
+        with tidy(spark):
+            df.write.mode("append").parquet(path)
         schema = schema or df.schema
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
@@ -83,8 +102,9 @@ def only_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     for value, name in zip(text_hashes(), names[1:]):
         on = on & (value == F.col(name))
     out = docs.join(kept, on, "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
+    with tidy(docs.sparkSession):
+        if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+            return out
     others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))))
     row = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.coalesce(others, F.lit("")))
     once = out.groupBy(F.col("doc_id").alias(names[0]), *(value.alias(name) for value, name in zip(text_hashes(), names[1:]))).agg(row.alias("row"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -601,6 +602,24 @@ def test_odd_sketches_leave_out_no_similar_pair(spark):
     assert len(got) < 600 and not [p for p in got if similar(*p) < 0.5]
 
 
+def test_stored_tables_and_checkpoints_leave_no_shuffle_files(spark):
+    """Else a chain of many tables keeps the files of all its shuffles to its end; the session's setting stays as it was."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before, was = files(), spark.conf.get(name, None)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert shared.stored(counts).count() == shared.cut(counts).count() == 7 and spark.conf.get(name, None) == was
+    plain = files()
+    counts = spark.range(1000).groupBy((F.col("id") % 5).alias("k")).agg(F.max("id").alias("m"))
+    shared.stored(counts)
+    shared.cut(counts)
+    for _ in range(40):  # files go a moment after the action
+        if not (left := files() - before - plain):
+            break
+        time.sleep(0.25)
+    assert not left
+
+
 def test_repeated_rows_and_clashing_names_in_the_stages(spark):
     schema = "doc_id long, text string, __own_1 string, __own_2 int, tags map<string,string>"
     rows = [(1, "a b c", "z", 2, {"k": "v"}), (1, "a b c", "b", 1, {}), (1, "a b c", "b", 3, None), (2, "other words here", None, None, None), (None, "a b c", "a", 0, None)]
