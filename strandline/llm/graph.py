@@ -82,9 +82,9 @@ def combined(parts: str, n: int, size: int) -> Column:
     return F.array(*keys)
 
 
-def odd_sketches(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """(n, 1 + LONGS) longs for each of n sets, whose elements are h by owner (ascending): the number of different elements,
-    and 64 * LONGS bits, each the parity of how many of them hash there. Two sets' bits differ in no more places than the
+def odd_sketches(h: np.ndarray, owner: np.ndarray, n: int, longs: int = LONGS) -> np.ndarray:
+    """(n, 1 + longs) longs for each of n sets, whose elements are h by owner (ascending): the number of different elements,
+    and 64 * longs (a power of two) bits, each the parity of how many of them hash there. Two sets' bits differ in no more places than the
     sets do, so within() leaves out no pair that is similar."""
     from strandline.llm.words import mix
 
@@ -92,7 +92,7 @@ def odd_sketches(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     h, owner = h[order], owner[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner, width = h[first], owner[first].astype(np.int64), 64 * LONGS
+    h, owner, width = h[first], owner[first].astype(np.int64), 64 * longs
     bits = np.bincount(owner * width + (mix(h) & np.uint64(width - 1)).astype(np.int64), minlength=n * width).reshape(n, width) & 1
     return np.concatenate((np.bincount(owner, minlength=n)[:, None].astype(np.int64), np.packbits(bits.astype(bool), axis=1).view(np.int64)), axis=1)
 
@@ -112,6 +112,13 @@ def within(x, y, least: float) -> Column:
     return (F.abs(x["odd0"] - y["odd0"]) <= most) & (bits <= most)
 
 
+def within_wide(x, y, least: float) -> Column:
+    """within() by two odd_sketches() of any one width, given as arrays; true where one of them is null."""
+    most = (x[0] + y[0]) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)
+    bits = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda n, b: n + b)
+    return F.coalesce(bits - F.bit_count(x[0].bitwiseXOR(y[0])) <= most, F.lit(True))
+
+
 def open_pairs(members: DataFrame, nodes: DataFrame, links: DataFrame, n: int, near, most: int = 1 << 12, size: int = 2) -> DataFrame:
     """(a, b): all pairs of contents that share a key, may be near, and that links (a, b) do not connect already.
 
@@ -120,7 +127,7 @@ def open_pairs(members: DataFrame, nodes: DataFrame, links: DataFrame, n: int, n
     passes it is made. In each bucket all members but those of its largest component meet every member of another component,
     however many they are: no bucket is left out or cut short. A bucket of over `most` members is dealt in blocks of about
     `most`, and each two blocks meet in a task of their own. A pair is made once, in the bucket of the first values that it
-    has in common.
+    has in common; where n is 0 keys are no combinations, and a pair may be made in each bucket that it shares.
     """
     roots = stored(components(links).withColumnRenamed("node", "of"))
     level = members.join(roots.hint("merge"), F.col("content") == F.col("of"), "left").select("key", "last", "content", F.coalesce("root", "content").alias("root"))
@@ -141,7 +148,7 @@ def open_pairs(members: DataFrame, nodes: DataFrame, links: DataFrame, n: int, n
     tasks = int(here.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met, asking = met.repartition(tasks, "key", "row", "column"), asking.repartition(tasks, "k", "r", "c")
     x, y = ({"parts": F.col(f"{p}parts"), "sketch": {n[2:]: F.col(f"{p}{n}") for n in sketch} if len(sketch) > 1 else F.col(f"{p}s")} for p in ("", "y_"))
-    first = sum(F.when((F.get(x["parts"], F.lit(i)) == F.get(y["parts"], F.lit(i))) & (F.col("last") >= i), 1).otherwise(0) for i in range(n)) == size
+    first = F.lit(True) if not n else sum(F.when((F.get(x["parts"], F.lit(i)) == F.get(y["parts"], F.lit(i))) & (F.col("last") >= i), 1).otherwise(0) for i in range(n)) == size
     once = (F.col("root") == F.col("main")) | (F.col("content") < F.col("b"))
     on = (F.col("key") == F.col("k")) & (F.col("row") == F.col("r")) & (F.col("column") == F.col("c"))
     met = met.join(asking.hint("merge"), on & (F.col("root") != F.col("own")) & once & near(x, y) & first)

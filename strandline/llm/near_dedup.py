@@ -21,7 +21,9 @@ its bits: the codeword that agrees best with them is the same for 0.26 of segmen
 Each two segments' codewords make a key of 24 bits, so texts that agree in two of the segments share one: 0.91 of pairs at
 0.8, 0.95 at 0.83, 0.99 at 0.9. Candidates are joined to the hub of their bucket, compared by fingerprint, and verified by
 the exact similarity of their words; what these links do not connect meets all others of its buckets, whatever their size
-(graph.open_pairs).
+(graph.open_pairs). Pairs that share no key, or whose fingerprints differ too much by chance, are found by an exact way: of two
+sets of p and q shingles with a similarity of 0.8, the p // 5 + 1 and q // 5 + 1 first ones in any one order of all shingles have
+one in common, so what is still unconnected meets all others that have a shingle of its rarest() in theirs.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other; a null
 doc_id is given a component but names none; repeated rows give repeated rows; an empty table gives an empty result.
@@ -36,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.graph import combined, components, hub_pairs, odd_fields, odd_sketches, open_pairs, shared_keys, within
-from strandline.llm.shared import cut, only_rows, slices, stored, text_hashes
+from strandline.llm.graph import LONGS, combined, components, hub_pairs, odd_fields, odd_sketches, open_pairs, shared_keys, within, within_wide
+from strandline.llm.shared import cut, only_rows, slices, stored, text_hashes, tidy
 
 BITS, SEGMENTS = 3, 14
 CUTS = (22, 21, 21)
 #: Longs of a fingerprint of signatures().
 WIDTH = -(-SEGMENTS * 23 // 64)
+#: Longs of a long text's second odd_sketches() row.
+WIDE = 64
 #: Fixed value: generator polynomial x^11+x^9+x^7+x^6+x^5+x+1 of the binary Golay code.
 GENERATOR = 0b101011100011
 
@@ -208,11 +212,8 @@ def contents_of(words, n_texts: int) -> np.ndarray:
     return out
 
 
-def margins_of(words, contents: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, SEGMENTS * 23) votes of each text's shingles for each bit less those against it, as a share of all; and the
-    odd_sketches() of the shingles."""
-    from strandline.llm.words import mix
-
+def shingles_of(words, contents: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of the texts, and the text of each, ascending."""
     h, at = words.shingles(k)
     row, n_texts = words.row[at], len(contents)
     # A text of fewer than k words is one shingle of all of them.
@@ -222,6 +223,39 @@ def margins_of(words, contents: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
         h, row = np.concatenate((h, contents[few])), np.concatenate((row, few.astype(row.dtype)))
         order = np.argsort(row, kind="stable")
         h, row = h[order], row[order]
+    return h, row
+
+
+def _distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of each text, ascending."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order].astype(np.int64)
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[first], row[first]
+
+
+def rarest(h: np.ndarray, row: np.ndarray, n_texts: int, least: float, often: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, hashes): the first shingles of each text that decide whether it can have a similarity of `least` to another.
+
+    The order of all shingles is by their counts, those in often (ascending), else 0, and then by their hash. Any counts
+    give all pairs; right ones keep a shingle that many texts have out of their first ones.
+    """
+    h, row = _distinct(h, row)
+    if len(often) and len(h):
+        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+        order = np.lexsort((np.where(often[at] == h, counts[at], 0), row))
+        h = h[order]
+    size = np.bincount(row, minlength=n_texts)
+    taken = np.where(size, np.floor(size * (1 - least) + 1e-6).astype(np.int64) + 1, 0)
+    place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    return np.cumsum(taken), h[place < np.repeat(taken, size)]
+
+
+def margins_of(h: np.ndarray, row: np.ndarray, n_texts: int) -> np.ndarray:
+    """(texts, SEGMENTS * 23) votes of each text's shingles for each bit less those against it, as a share of all."""
+    from strandline.llm.words import mix
+
     size, out = SEGMENTS * 23, np.zeros((n_texts, -(-SEGMENTS * 23 // 64) * 64), np.float32)
     for s in range(0, len(h), 1 << 15):
         part, of = h[s : s + (1 << 15)], row[s : s + (1 << 15)]
@@ -230,11 +264,39 @@ def margins_of(words, contents: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
         for w in range(out.shape[1] // 64):
             bits = np.unpackbits(mix(part * np.uint64(2 * w + 3) + np.uint64(w)).view(np.uint8).reshape(-1, 8), axis=1)
             out[of[first], w * 64 : (w + 1) * 64] += 2 * np.add.reduceat(bits, first, 0, dtype=np.int32) - n
-    return out[:, :size] / np.maximum(np.bincount(row, minlength=n_texts), 1)[:, None], odd_sketches(h, row, n_texts)
+    return out[:, :size] / np.maximum(np.bincount(row, minlength=n_texts), 1)[:, None]
+
 
+def often_met(docs: DataFrame, k: int, sample: int = 1 << 13, least: int = 8, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending, and their counts) of the at most `most` shingles that most texts have, of a sample of about `sample`
+    texts. They only set the order of rarest(), which finds all pairs in any order."""
 
-def signatures(docs: DataFrame, k: int = 5, extra: tuple[str, ...] = ()) -> DataFrame:
-    """The extra columns (of type long), content (a hash of the words), codes (a codeword for each segment), bits (signs of the margins), odd (odd_sketches() of the shingles)."""
+    def run(batches):
+        from strandline.llm.words import FOLDED, Words
+
+        for batch in batches:
+            texts = batch.column("text")
+            for s, e in slices(texts):
+                words = Words(texts.slice(s, e - s), FOLDED)
+                h, row = shingles_of(words, contents_of(words, e - s), k)
+                yield pa.RecordBatch.from_arrays([pa.array(_distinct(h, row)[0].view(np.int64))], names=["h"])
+
+    with tidy(docs.sparkSession):
+        share = max(1, docs.count() // sample)
+        counts = docs.where(F.pmod("t2", F.lit(share)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
+        found = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).collect()
+    h, n = np.array([r["h"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def signatures(docs: DataFrame, k: int = 5, extra: tuple[str, ...] = (), least: float = 0.8) -> DataFrame:
+    """The extra columns (of type long), content (a hash of the words), codes (a codeword for each segment), bits (signs of the margins), odd (odd_sketches() of the shingles), rare (the rarest() shingles),
+    wide (for texts of more shingles than odd has bits: odd_sketches() of WIDE longs).
+
+    docs: text, its text_hashes() t1 and t2, and the extra columns.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(often_met(docs, k))
 
     def run(batches):
         from strandline.llm.words import FOLDED, Words
@@ -244,17 +306,25 @@ def signatures(docs: DataFrame, k: int = 5, extra: tuple[str, ...] = ()) -> Data
             for s, e in slices(texts):
                 words = Words(texts.slice(s, e - s), FOLDED)
                 content = contents_of(words, e - s)
-                margin, odd = margins_of(words, content, k)
+                h, row = shingles_of(words, content, k)
+                margin, odd = margins_of(h, row, e - s), odd_sketches(h, row, e - s)
+                ends, rare = rarest(h, row, e - s, least, *known.value)
+                rare = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(rare.view(np.int64)))
+                long = odd[:, 0] > 64 * LONGS
+                some = long[row]
+                sketch = odd_sketches(h[some], (np.cumsum(long) - 1)[row[some]], int(long.sum()), WIDE)
+                wide = pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), WIDE + 1).cast(pa.list_(pa.int64()))
+                wide = wide.take(pa.array(np.cumsum(long) - 1, mask=~long))
                 codes = np.zeros((e - s, SEGMENTS), np.int16)
                 for i in range(0, e - s, 512):
                     for j in range(SEGMENTS):
                         codes[i : i + 512, j] = (margin[i : i + 512, j * 23 : (j + 1) * 23] @ codewords()).argmax(1)
                 packed = np.packbits(np.pad(margin > 0, ((0, 0), (0, -margin.shape[1] % 64))), axis=1).view(np.int64)
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(kind)) for x, kind in ((codes, pa.int16()), (packed, pa.int64()), (odd, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s, e - s) for c in extra), pa.array(content.view(np.int64)), *lists], names=[*extra, "content", "codes", "bits", "odd"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s, e - s) for c in extra), pa.array(content.view(np.int64)), *lists, rare, wide], names=[*extra, "content", "codes", "bits", "odd", "rare", "wide"])
 
     fields = "".join(f"{c} long, " for c in extra)
-    return docs.select(*extra, "text").mapInArrow(run, f"{fields}content long, codes array<short>, bits array<long>, odd array<long>")
+    return docs.select(*extra, "text").mapInArrow(run, f"{fields}content long, codes array<short>, bits array<long>, odd array<long>, rare array<long>, wide array<long>")
 
 
 def jaccard(a: bytes, b: bytes, k: int) -> float:
@@ -263,15 +333,23 @@ def jaccard(a: bytes, b: bytes, k: int) -> float:
 
 
 def similar_texts(docs: DataFrame, rows: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
-    """(a, b): links of contents whose texts are similar. docs: t1, t2 (hashes of the text) and text; rows: signatures() with t1, t2."""
-    nodes = stored(rows.groupBy("content").agg(F.min_by(F.struct("t1", "t2", "codes", F.struct(*(F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(WIDTH)), *odd_fields("odd")).alias("sketch")), F.struct("t1", "t2")).alias("x")).select("content", "x.*"))
+    """(a, b): links of contents whose texts are similar, that connect all pairs of a similarity of least. docs: t1, t2 (hashes
+    of the text) and text; rows: signatures() with t1, t2 and this least."""
+    nodes = stored(rows.groupBy("content").agg(F.min_by(F.struct("t1", "t2", "codes", "rare", "wide", F.struct(*(F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(WIDTH)), *odd_fields("odd")).alias("sketch")), F.struct("t1", "t2")).alias("x")).select("content", "x.*"))
     members = shared_keys(nodes.select("content", F.explode(combined("codes", SEGMENTS, 2)).alias("x")).select("x.key", "x.last", "content"))
     near = lambda x, y: within(x, y, least) & (apart(x, y) <= int(0.22 * SEGMENTS * 23))
     sides = [nodes.select(F.col("content").alias(c), F.col("sketch").alias(x)).hint("merge") for c, x in (("a", "x"), ("b", "y"))]
     pairs = hub_pairs(members.select("key", "content", "n")).join(sides[0], "a").join(sides[1], "b").where(near(F.col("x"), F.col("y"))).select("a", "b")
     links = _similar(docs, nodes, stored(pairs), k, least)
     more = open_pairs(members, nodes.select("content", F.col("codes").alias("parts"), "sketch"), links, SEGMENTS, lambda x, y: near(x["sketch"], y["sketch"]))
-    return links.union(_similar(docs, nodes, more, k, least))
+    links = links.union(_similar(docs, nodes, more, k, least))
+    # The rest: pairs that share no key above or whose fingerprints are too far apart, by their rarest shingles.
+    members = shared_keys(nodes.select("content", F.lit(0).alias("last"), F.explode("rare").alias("key")))
+    rest = open_pairs(members, nodes.select("content", F.lit(0).alias("parts"), "sketch"), links, 0, lambda x, y: within(x["sketch"], y["sketch"], least))
+    # The short sketches of long texts are full, so these are told apart by wide ones before their texts are fetched.
+    sides = [nodes.select(F.col("content").alias(c), F.col("wide").alias(x)).hint("merge") for c, x in (("a", "x"), ("b", "y"))]
+    rest = stored(rest.join(sides[0], "a").join(sides[1], "b").where(within_wide(F.col("x"), F.col("y"), least)).select("a", "b"))
+    return links.union(_similar(docs, nodes, rest, k, least))
 
 
 def apart(p, q) -> Column:
@@ -313,7 +391,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFra
     """
     t1, t2 = text_hashes()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), t1.alias("t1"), t2.alias("t2"))
-    rows = stored(signatures(keyed, k, ("doc_id", "t1", "t2")))
+    rows = stored(signatures(keyed, k, ("doc_id", "t1", "t2"), least))
     low = rows.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("low"))
     roots = stored(components(similar_texts(keyed, rows, k, least)))
     best = low.join(roots, F.col("content") == F.col("node"), "left").groupBy(F.coalesce("root", "content").alias("root")).agg(F.min("low").alias("low"))

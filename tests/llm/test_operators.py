@@ -582,6 +582,39 @@ def test_pairs_of_large_buckets_are_all_of_them(spark, most):
     assert sorted((r["a"], r["b"]) for r in got.collect()) == want and len(want) > 1000
 
 
+def test_near_stage_loses_no_pair_at_its_threshold(spark):
+    """Pairs a little above a Jaccard similarity of 0.8, of which one in ten shares no key, with a line that all texts begin with."""
+    rng = random.Random(80)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(7))
+    line, rows = [word() for _ in range(20)], []
+    for i in range(250):
+        w = line + [word() for _ in range(80)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(word() if j in (40, 70) else t for j, t in enumerate(w)))]
+    assert all(0.8 <= similarity(rows[i][1], rows[i + 1][1]) < 0.82 for i in range(0, 500, 2))
+    assert sorted(r["doc_id"] for r in near_dedup.drop_near_copies(docs(spark, rows)).collect()) == list(range(0, 500, 2))
+
+
+def test_hub_rows_are_bounded_for_each_content(spark):
+    """Copies that share 91 buckets make at most 16 rows each for their hubs, and these connect them."""
+    members = spark.range(91).select(F.col("id").alias("key")).crossJoin(spark.range(300).select(F.col("id").alias("content"))).withColumn("n", F.lit(300))
+    pairs = graph.hub_pairs(members)
+    assert spark.read.parquet(shared._tables[-1]).count() == 16 * 300
+    assert pairs.count() == 299 and graph.components(pairs).count() == 300
+
+
+def test_first_shingles_meet_in_any_order():
+    rng = np.random.default_rng(81)
+    for least in (0.5, 0.8, 0.9):
+        for _ in range(200):
+            own = rng.integers(0, 1 << 63, int(rng.integers(1, 60)), dtype=np.uint64)
+            other = np.concatenate((own[rng.random(len(own)) < 0.95], rng.integers(0, 1 << 63, int(rng.integers(0, 4)), dtype=np.uint64)))
+            often = np.sort(rng.choice(own, len(own) // 2, replace=False))
+            ends, first = near_dedup.rarest(np.concatenate((own, other)), np.repeat([0, 1], [len(own), len(other)]), 2, least, often, rng.integers(1, 9, len(often)))
+            same = len(set(own.tolist()) & set(other.tolist()))
+            if same >= least * len(set(own.tolist()) | set(other.tolist())):
+                assert set(first[: ends[0]].tolist()) & set(first[ends[0] :].tolist())
+
+
 def test_odd_sketches_leave_out_no_similar_pair(spark):
     rng = np.random.default_rng(79)
     h, owner, sets = [], [], []
@@ -597,7 +630,13 @@ def test_odd_sketches_leave_out_no_similar_pair(spark):
     table = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, odd array<long>").select("i", F.struct(*graph.odd_fields("odd")).alias("x"))
     met = table.join(table.select(F.col("i").alias("j"), F.col("x").alias("y")), F.expr("i < j")).where(graph.within(F.col("x"), F.col("y"), 0.8))
     got = {(r["i"], r["j"]) for r in met.select("i", "j").collect()}
+    wide = graph.odd_sketches(np.concatenate(h), np.concatenate(owner), len(sets), 64).tolist()
+    wide = spark.createDataFrame([(i, r if i % 7 else None) for i, r in enumerate(wide)], "i int, x array<long>")
+    met = wide.join(wide.select(F.col("i").alias("j"), F.col("x").alias("y")), F.expr("i < j")).where(graph.within_wide(F.col("x"), F.col("y"), 0.8))
+    by_wide = {(r["i"], r["j"]) for r in met.select("i", "j").collect()}
     similar = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert by_wide >= {(i, j) for i in range(300) for j in range(i + 1, 300) if similar(i, j) >= 0.8 or not i % 7 or not j % 7}
+    assert not [(i, j) for i, j in by_wide if i % 7 and j % 7 and similar(i, j) < 0.7]
     assert got >= {(i, j) for i in range(300) for j in range(i + 1, 300) if similar(i, j) >= 0.8}
     assert len(got) < 600 and not [p for p in got if similar(*p) < 0.5]
 
