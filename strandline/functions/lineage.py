@@ -27,6 +27,18 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in scratch(); the shuffle files of the query that makes it are deleted when it is written."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old, path = spark.conf.get(name, None), scratch(df.sparkSession)
+    spark.conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint in shared_dir()."""
     spark = df.sparkSession

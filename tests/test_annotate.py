@@ -141,3 +141,27 @@ def test_low_coverage_keeps_coordinates_without_sequence(world, monkeypatch):
     assert {r["feature_idx"]: r for r in lift.lift(records, proteins, hits).collect()} == got
     plain = {r["feature_idx"]: r for r in lift.lift(records, proteins, hits, lift.LiftConfig(min_coverage=0.2, codons=False)).collect()}
     assert plain[1]["status"] == "ok" and plain[1]["query_end"] == a + 89
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_parents_against_a_walk(spark, several):
+    """Trees, tails that lead into cycles, a loop of one name, and (several) names with two parents, by breadth-first search."""
+    import random
+
+    rng = random.Random(7)
+    links = [(f"t{i}", f"t{i * 2 // 3}") for i in range(1, 90)] + [(f"c{i}", f"c{(i + 1) % 7}") for i in range(7)] + [("tail1", "c3"), ("tail2", "tail1"), ("self", "self"), ("top", None), ("lost", "nowhere")]
+    links += [(f"t{i}", f"t{rng.randrange(90)}") for i in range(20, 60)] if several else []
+    parents, want = {}, {}
+    for name, parent in links:
+        parents.setdefault(name, set()).update({parent} - {None})
+    for name in parents:
+        level, d = parents[name], 1
+        while level:
+            want.update({(name, x): d for x in level})
+            level, d = {y for x in level for y in parents.get(x, ())} - {x for n, x in want if n == name}, d + 1
+    table = spark.createDataFrame(links, "name string, parent string")
+    got = alias.parent_closure(table).collect()
+    assert {(r["name"], r["ancestor"]): r["distance"] for r in got} == want and len(got) == len(want)
+    faults = {(n, "cycle") for n, x in want if n == x} | {("lost", "missing parent")} | {(n, "missing parent") for n, ps in parents.items() if ps - parents.keys()}
+    got = alias.parent_faults(table.select("name").distinct(), table).collect()
+    assert {tuple(r) for r in got} == faults and len(got) == len(faults)
