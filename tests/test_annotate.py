@@ -165,3 +165,10 @@ def test_parents_against_a_walk(spark, several):
     faults = {(n, "cycle") for n, x in want if n == x} | {("lost", "missing parent")} | {(n, "missing parent") for n, ps in parents.items() if ps - parents.keys()}
     got = alias.parent_faults(table.select("name").distinct(), table).collect()
     assert {tuple(r) for r in got} == faults and len(got) == len(faults)
+
+
+def test_faults_make_no_paths(spark, monkeypatch):
+    """Faults of names with one parent each come from a row for each name, not from all pairs of a name and an ancestor."""
+    monkeypatch.setattr(alias, "parent_closure", None)
+    links = spark.createDataFrame([("p", "q"), ("q", "r"), ("r", "q"), ("s", "gone")], "name string, parent string")
+    assert sorted(map(tuple, alias.parent_faults(links.select("name"), links).collect())) == [("q", "cycle"), ("r", "cycle"), ("s", "missing parent")]
