@@ -172,3 +172,15 @@ def test_faults_make_no_paths(spark, monkeypatch):
     monkeypatch.setattr(alias, "parent_closure", None)
     links = spark.createDataFrame([("p", "q"), ("q", "r"), ("r", "q"), ("s", "gone")], "name string, parent string")
     assert sorted(map(tuple, alias.parent_faults(links.select("name"), links).collect())) == [("q", "cycle"), ("r", "cycle"), ("s", "missing parent")]
+
+
+@pytest.mark.parametrize("name", ["direct_extract_status"])
+def test_sequences_are_not_broadcast(spark, tmp_path, name):
+    import __spark_entry__
+
+    spark.range(50).selectExpr("id as p_partkey", "'a' as p_name", "'b' as p_type", "'c' as p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    columns = "id as l_orderkey, id % 50 as l_partkey, id % 9 as l_suppkey, cast(id % 7 as int) as l_linenumber, 40D as l_quantity, 1D as l_extendedprice, 0.1D as l_discount, 0D as l_tax, 'R' as l_returnflag, 'F' as l_linestatus, timestamp'2020-01-01' as l_shipdate"
+    spark.range(300).selectExpr(*columns.split(", ")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = __spark_entry__.queries()[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [record_id" in plan and "BroadcastHashJoin [record_id" not in plan and df.count() > 0
