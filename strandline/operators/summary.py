@@ -79,7 +79,7 @@ def display_rows(lifted: DataFrame, reference_names: DataFrame) -> DataFrame:
 def fasta_rows(lifted: DataFrame, genes: list[str] | None, approved: DataFrame, least_coverage: float = 0.5, least_identity: float = 0.0, accepted: tuple[str, ...] = ("ok", "direct", "ok_rescued", "ok_extrapolated")) -> DataFrame:
     """(gene, record_id, query_start, query_end, fasta) of features that may be exported: approved, or accepted and good enough."""
     rows = lifted.where("sequence <> ''") if genes is None else lifted.where(F.col("gene").isin(genes) & (F.col("sequence") != ""))
-    rows = rows.withColumn("key", export_key()).join(approved.select("key", F.lit(True).alias("_ok")).distinct(), "key", "left")
+    rows = rows.withColumn("key", export_key()).join(approved.select("key", F.lit(True).alias("_ok")).distinct().hint("merge"), "key", "left")
     good = F.col("status").isin(*accepted) & (F.coalesce("coverage", F.lit(1e9)) >= least_coverage) & (F.coalesce("identity", F.lit(1e9)) >= least_identity)
     header = F.concat(F.lit(">"), F.concat_ws("|", "record_id", "gene", F.col("query_start").cast("string"), F.col("query_end").cast("string"), "strand"))
     return rows.where(F.coalesce("_ok", F.lit(False)) | good).select("gene", "record_id", "query_start", "query_end", F.concat(header, F.lit("\n"), F.col("sequence")).alias("fasta"))
