@@ -174,7 +174,7 @@ def test_faults_make_no_paths(spark, monkeypatch):
     assert sorted(map(tuple, alias.parent_faults(links.select("name"), links).collect())) == [("q", "cycle"), ("r", "cycle"), ("s", "missing parent")]
 
 
-@pytest.mark.parametrize("name", ["direct_extract_status", "fasta_counts"])
+@pytest.mark.parametrize("name", ["direct_extract_status", "fasta_rows", "fasta_counts"])
 def test_sequences_are_not_broadcast(spark, tmp_path, name):
     import __spark_entry__
 
